@@ -2,10 +2,47 @@
 
 from __future__ import annotations
 
-from tidecurve.llm import media
+from pyspark.sql import functions as F
+
+from tidecurve.llm import chat, licenses, media
 from tidecurve.llm.common import table
 
 
+def op4_chat(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    chats = chat.format_chat(turns.withColumn("parts", chat.text_part(F.col("text"))))
+    back = chats.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_spans")))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+SQL_op4_chat = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+  SELECT *, regexp_replace(regexp_replace(text, '(<)(\\*)(\||/?s>|/?<SYS>>|</SYS>>|/?start_of_turn>|/?end_of_turn>)', '\1\\\2\3', 'g'),
+                           '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g') AS shown FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, shown)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, shown)) AS loss_sha256,
+  CAST(sum(8 + length(url_encode(role)) + 1 + length(shown) + 8) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
+def op8_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op10_media(spark, sf_dir):
     return media.media_column(table(spark, sf_dir, "documents"))
 
