@@ -13,57 +13,59 @@ by ``detect`` (its own columns are named by the caller and replace equal names);
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecurve.llm.spans import regex_spans
 
-#: Label | keyword | name as a regex | address as a regex. Labels are SPDX short names in lower case.
+#: Label | keywords (one of them stands in any text with the name) | name as a regex | address as a regex. Labels are SPDX short names in lower case.
 LICENCES = r"""
 mit | mit | mit(?: \(expat\))? | opensource\.org/licenses?/mit
 mit-0 | mit-0 | mit-0|mit no attribution | opensource\.org/licenses?/mit-0
 apache-1.1 | apache | apache(?: software)? license,? (?:version |v)?1\.1 | apache\.org/licenses/license-1\.1
 apache-2.0 | apache | apache(?: software)?(?: license)?,? (?:version |v)?2(?:\.0)? | apache\.org/licenses/license-2\.0
-gpl-2.0 | g | (?:gnu )?(?:general public license|gpl)(?:,| \(gpl\))* ?(?:version |v)?2(?:\.0)? | gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0
-gpl-3.0 | g | (?:gnu )?(?:general public license|gpl)(?:,| \(gpl\))* ?(?:version |v)?3(?:\.0)? | gnu\.org/licenses/gpl-3\.0
-lgpl-2.1 | l | (?:gnu )?(?:lesser general public license|lgpl)(?:,| \(lgpl\))* ?(?:version |v)?2\.1 | gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1
-lgpl-3.0 | l | (?:gnu )?(?:lesser general public license|lgpl)(?:,| \(lgpl\))* ?(?:version |v)?3(?:\.0)? | gnu\.org/licenses/lgpl-3\.0
-agpl-3.0 | a | (?:gnu )?(?:affero general public license|agpl)(?:,| \(agpl\))* ?(?:version |v)?3(?:\.0)? | gnu\.org/licenses/agpl-3\.0
+gpl-2.0 | gpl,general public | (?:gnu )?(?:general public license|gpl)(?:,| \(gpl\))* ?(?:version |v)?2(?:\.0)? | gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0
+gpl-3.0 | gpl,general public | (?:gnu )?(?:general public license|gpl)(?:,| \(gpl\))* ?(?:version |v)?3(?:\.0)? | gnu\.org/licenses/gpl-3\.0
+lgpl-2.1 | lgpl,lesser general | (?:gnu )?(?:lesser general public license|lgpl)(?:,| \(lgpl\))* ?(?:version |v)?2\.1 | gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1
+lgpl-3.0 | lgpl,lesser general | (?:gnu )?(?:lesser general public license|lgpl)(?:,| \(lgpl\))* ?(?:version |v)?3(?:\.0)? | gnu\.org/licenses/lgpl-3\.0
+agpl-3.0 | agpl,affero | (?:gnu )?(?:affero general public license|agpl)(?:,| \(agpl\))* ?(?:version |v)?3(?:\.0)? | gnu\.org/licenses/agpl-3\.0
 gfdl-1.3 | free documentation | (?:gnu )?free documentation license,? (?:version |v)?1\.3 | gnu\.org/licenses/fdl-1\.3
 bsd-2-clause | bsd | (?:simplified bsd|bsd[- ]2[- ]clause|2[- ]clause bsd) | opensource\.org/licenses?/bsd-2-clause
 bsd-3-clause | bsd | (?:new bsd|modified bsd|bsd[- ]3[- ]clause|3[- ]clause bsd) | opensource\.org/licenses?/bsd-3-clause
 bsd-4-clause | bsd | (?:original bsd|bsd[- ]4[- ]clause|4[- ]clause bsd) | opensource\.org/licenses?/bsd-4-clause
 0bsd | bsd | (?:0bsd|zero[- ]clause bsd) | opensource\.org/licenses?/0bsd
 isc | isc | isc | opensource\.org/licenses?/isc
-mpl-1.1 | m | (?:mozilla public license|mpl),? (?:version |v)?1\.1 | mozilla\.org/(?:en-us/)?mpl/1\.1
-mpl-2.0 | m | (?:mozilla public license|mpl),? (?:version |v)?2(?:\.0)? | mozilla\.org/(?:en-us/)?mpl/2\.0
-epl-1.0 | e | (?:eclipse public license|epl),? (?:version |v)?1\.0 | eclipse\.org/legal/epl-v10
-epl-2.0 | e | (?:eclipse public license|epl),? (?:version |v)?2(?:\.0)? | eclipse\.org/legal/epl-(?:v20|2\.0)
-cddl-1.0 | c | (?:common development and distribution license|cddl),? (?:version |v)?1\.0 | opensource\.org/licenses?/cddl-1\.0
-eupl-1.2 | e | (?:european union public licen[cs]e|eupl),? (?:version |v)?1\.2 | joinup\.ec\.europa\.eu/(?:\S*/)?eupl
+mpl-1.1 | mpl,mozilla | (?:mozilla public license|mpl),? (?:version |v)?1\.1 | mozilla\.org/(?:en-us/)?mpl/1\.1
+mpl-2.0 | mpl,mozilla | (?:mozilla public license|mpl),? (?:version |v)?2(?:\.0)? | mozilla\.org/(?:en-us/)?mpl/2\.0
+epl-1.0 | epl,eclipse | (?:eclipse public license|epl),? (?:version |v)?1\.0 | eclipse\.org/legal/epl-v10
+epl-2.0 | epl,eclipse | (?:eclipse public license|epl),? (?:version |v)?2(?:\.0)? | eclipse\.org/legal/epl-(?:v20|2\.0)
+cddl-1.0 | cddl,common development | (?:common development and distribution license|cddl),? (?:version |v)?1\.0 | opensource\.org/licenses?/cddl-1\.0
+eupl-1.2 | eupl,european union | (?:european union public licen[cs]e|eupl),? (?:version |v)?1\.2 | joinup\.ec\.europa\.eu/(?:\S*/)?eupl
 artistic-2.0 | artistic | artistic license,? (?:version |v)?2(?:\.0)? | opensource\.org/licenses?/artistic-2\.0
 bsl-1.0 | boost | boost software license,? (?:version |v)?1\.0 | boost\.org/license_1_0
 zlib | zlib | zlib(?:/libpng)? | opensource\.org/licenses?/zlib
 unlicense | unlicense | unlicense | unlicense\.org
-wtfpl | wtfpl | (?:wtfpl|do what the fuck you want to public license) | wtfpl\.net
+wtfpl | wtfpl,do what the | (?:wtfpl|do what the fuck you want to public license) | wtfpl\.net
 psf-2.0 | python | python software foundation license(?:,? (?:version |v)?2)? | python\.org/(?:\S*/)?license
 postgresql | postgresql | postgresql | opensource\.org/licenses?/postgresql
-ofl-1.1 | o | (?:sil open font license|ofl)(?:,? (?:version |v)?1\.1)? | scripts\.sil\.org/ofl
+ofl-1.1 | ofl,open font | (?:sil open font license|ofl)(?:,? (?:version |v)?1\.1)? | scripts\.sil\.org/ofl
 openssl | openssl | openssl | openssl\.org/source/license
 afl-3.0 | academic | academic free license,? (?:version |v)?3(?:\.0)? | opensource\.org/licenses?/afl-3\.0
-osl-3.0 | o | (?:open software license|osl),? (?:version |v)?3(?:\.0)? | opensource\.org/licenses?/osl-3\.0
-ms-pl | m | (?:microsoft public license|ms-pl) | opensource\.org/licenses?/ms-pl
-odbl-1.0 | o | (?:open database license|odbl)(?:,? (?:version |v)?1\.0)? | opendatacommons\.org/licenses/odbl
-odc-by-1.0 | o | (?:open data commons attribution license|odc-by)(?:,? (?:version |v)?1\.0)? | opendatacommons\.org/licenses/by
-cc0-1.0 | c | (?:cc0|creative commons zero)(?:[ -]?1\.0)? | creativecommons\.org/publicdomain/zero
-cc-by-4.0 | c | (?:cc[ -]by|creative commons attribution)[ -](?:international )?4\.0 | creativecommons\.org/licenses/by/4\.0
-cc-by-3.0 | c | (?:cc[ -]by|creative commons attribution)[ -](?:unported )?3\.0 | creativecommons\.org/licenses/by/3\.0
-cc-by-sa-4.0 | c | (?:cc[ -]by[ -]sa|creative commons attribution[ -]share ?alike)[ -](?:international )?4\.0 | creativecommons\.org/licenses/by-sa/4\.0
-cc-by-sa-3.0 | c | (?:cc[ -]by[ -]sa|creative commons attribution[ -]share ?alike)[ -](?:unported )?3\.0 | creativecommons\.org/licenses/by-sa/3\.0
-cc-by-nc-4.0 | c | (?:cc[ -]by[ -]nc|creative commons attribution[ -]non-?commercial)[ -](?:international )?4\.0 | creativecommons\.org/licenses/by-nc/4\.0
-cc-by-nd-4.0 | c | (?:cc[ -]by[ -]nd|creative commons attribution[ -]no ?deriv(?:ative)?s)[ -](?:international )?4\.0 | creativecommons\.org/licenses/by-nd/4\.0
-cc-by-nc-sa-4.0 | c | (?:cc[ -]by[ -]nc[ -]sa|creative commons attribution[ -]non-?commercial[ -]share ?alike)[ -](?:international )?4\.0 | creativecommons\.org/licenses/by-nc-sa/4\.0
-cc-by-nc-nd-4.0 | c | (?:cc[ -]by[ -]nc[ -]nd|creative commons attribution[ -]non-?commercial[ -]no ?deriv(?:ative)?s)[ -](?:international )?4\.0 | creativecommons\.org/licenses/by-nc-nd/4\.0
+osl-3.0 | osl,open software | (?:open software license|osl),? (?:version |v)?3(?:\.0)? | opensource\.org/licenses?/osl-3\.0
+ms-pl | ms-pl,microsoft public | (?:microsoft public license|ms-pl) | opensource\.org/licenses?/ms-pl
+odbl-1.0 | odbl,open database | (?:open database license|odbl)(?:,? (?:version |v)?1\.0)? | opendatacommons\.org/licenses/odbl
+odc-by-1.0 | odc-by,open data commons | (?:open data commons attribution license|odc-by)(?:,? (?:version |v)?1\.0)? | opendatacommons\.org/licenses/by
+cc0-1.0 | cc0,creative commons | (?:cc0|creative commons zero)(?:[ -]?1\.0)? | creativecommons\.org/publicdomain/zero
+cc-by-4.0 | cc by,cc-by,creative commons | (?:cc[ -]by|creative commons attribution)[ -](?:international )?4\.0 | creativecommons\.org/licenses/by/4\.0
+cc-by-3.0 | cc by,cc-by,creative commons | (?:cc[ -]by|creative commons attribution)[ -](?:unported )?3\.0 | creativecommons\.org/licenses/by/3\.0
+cc-by-sa-4.0 | cc by,cc-by,creative commons | (?:cc[ -]by[ -]sa|creative commons attribution[ -]share ?alike)[ -](?:international )?4\.0 | creativecommons\.org/licenses/by-sa/4\.0
+cc-by-sa-3.0 | cc by,cc-by,creative commons | (?:cc[ -]by[ -]sa|creative commons attribution[ -]share ?alike)[ -](?:unported )?3\.0 | creativecommons\.org/licenses/by-sa/3\.0
+cc-by-nc-4.0 | cc by,cc-by,creative commons | (?:cc[ -]by[ -]nc|creative commons attribution[ -]non-?commercial)[ -](?:international )?4\.0 | creativecommons\.org/licenses/by-nc/4\.0
+cc-by-nd-4.0 | cc by,cc-by,creative commons | (?:cc[ -]by[ -]nd|creative commons attribution[ -]no ?deriv(?:ative)?s)[ -](?:international )?4\.0 | creativecommons\.org/licenses/by-nd/4\.0
+cc-by-nc-sa-4.0 | cc by,cc-by,creative commons | (?:cc[ -]by[ -]nc[ -]sa|creative commons attribution[ -]non-?commercial[ -]share ?alike)[ -](?:international )?4\.0 | creativecommons\.org/licenses/by-nc-sa/4\.0
+cc-by-nc-nd-4.0 | cc by,cc-by,creative commons | (?:cc[ -]by[ -]nc[ -]nd|creative commons attribution[ -]non-?commercial[ -]no ?deriv(?:ative)?s)[ -](?:international )?4\.0 | creativecommons\.org/licenses/by-nc-nd/4\.0
 public-domain | public domain | public domain | creativecommons\.org/publicdomain/mark
 proprietary | rights reserved | all rights reserved | proprietary-license
 """
@@ -76,38 +78,38 @@ FORMS = (
     (r"(?<![a-z0-9-]){name}\s+licen[cs]e(?![a-z0-9])", "licen", 0.7),
 )
 #: Any rule's text holds one of these; most documents hold none.
-GATE = r"(?i)licen[cs]e|spdx|creative ?commons|cc0|cc[- ]by|public domain|all rights reserved|unlicense|wtfpl|gnu\.org|apache\.org|opensource\.org|mozilla\.org|eclipse\.org|python\.org|boost\.org|sil\.org|opendatacommons|openssl\.org|europa\.eu|(?:under|by)\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?[a-z0-9]"
+GATE = r"(?i)licen[cs]e|spdx|creative ?commons|cc0|cc[- ]by|(?:gnu|apache|opensource|mozilla|eclipse|python|boost|sil|unlicense)\.org|wtfpl\.net|opendatacommons|openssl\.org|europa\.eu|(?:released|distributed|available|published|provided|covered)\s+(?:only\s+)?(?:under|by)\s"
 SEP, WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+KEPT = "array<struct<start:int,stop:int,priority:int,rule:int,label:string,confidence:double>>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def rules() -> list[dict]:
-    """The ordered rules: rule number, priority, label, keyword, regex, confidence."""
+    """The ordered rules: rule number, priority, label, keywords, regex, confidence."""
     found = []
     for priority, (form, hint, confidence) in enumerate(FORMS):
         for line in LICENCES.strip().split("\n"):
             label, keyword, rest = (x.strip() for x in line.split(" | ", 2))
             name, _, url = rest.rpartition(" | ")
             regex = form.replace("{label}", label.replace(".", r"\.").replace("+", r"\+")).replace("{name}", f"(?:{name})").replace("{url}", url)
-            found.append({"rule": len(found), "priority": priority, "label": label, "keyword": keyword if "{url}" not in form else "", "hint": hint, "regex": regex, "confidence": confidence})
+            found.append({"rule": len(found), "priority": priority, "label": label, "keywords": keyword.split(",") if "{url}" not in form else [re.match(r"[a-z0-9-]+", url)[0]], "hint": hint, "regex": regex, "confidence": confidence})
     return found
 
 
 def _rules_column() -> Column:
     q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return F.expr("array(" + ",".join(f"named_struct('rule',{r['rule']},'priority',{r['priority']},'label',{q(r['label'])},'keyword',{q(r['keyword'])},'regex',{q(r['regex'])},'confidence',{r['confidence']}d)" for r in rules()) + ")")
+    return F.expr("array(" + ",".join(f"named_struct('rule',{r['rule']},'priority',{r['priority']},'label',{q(r['label'])},'keywords',array({','.join(map(q, r['keywords']))}),'regex',{q(r['regex'])},'confidence',{r['confidence']}d)" for r in rules()) + ")")
 
 
 def detections(low: Column) -> Column:
     """array<struct<start,stop,priority,rule,label,confidence>> over lower-cased text, suppressed ones left out; by start."""
     levels = range(len(FORMS))
     hinted = F.array(*[F.greatest(*[F.contains(low, F.lit(x)) for x in (*hint.split("|"), hint.split("|")[0])]) for _, hint, _ in FORMS])
-    live = F.filter(_rules_column(), lambda r: F.get(hinted, r["priority"]) & F.contains(low, r["keyword"]))
+    live = F.filter(_rules_column(), lambda r: F.get(hinted, r["priority"]) & F.exists(r["keywords"], lambda k: F.contains(low, k)))
     found = F.flatten(F.transform(live, lambda r: F.transform(regex_spans(low, r["regex"]), lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("less"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence")))))
-    kept = "array<struct<start:int,stop:int,priority:int,rule:int,label:string,confidence:double>>"
-    start = F.struct(*[F.lit(-1).alias(f"m{p}") for p in levels], F.expr(f"cast(array() as {kept})").alias("kept"))
+    start = F.struct(*[F.lit(-1).alias(f"m{p}") for p in levels], F.expr(f"cast(array() as {KEPT})").alias("kept"))
 
     def step(acc: Column, d: Column) -> Column:
         stop, reach = -d["less"], F.lit(-1)
@@ -122,8 +124,9 @@ def detections(low: Column) -> Column:
 
 def detect(docs: DataFrame, text: str = "text", out: str = "detections") -> DataFrame:
     """docs and a column of its license detections."""
-    given = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn(out, F.when(given.rlike(GATE), detections(F.translate(given, UPPER, LOWER))).otherwise(F.expr("cast(array() as array<struct<start:int,stop:int,priority:int,rule:int,label:string,confidence:double>>)")))
+    low = f"{out}__low"  # a column of its own, so that it is computed once and not for each rule
+    gated = docs.withColumn(low, F.when(F.col(text).rlike(GATE), F.translate(text, UPPER, LOWER)))
+    return gated.withColumn(out, F.when(F.col(low).isNull(), F.expr(f"cast(array() as {KEPT})")).otherwise(detections(F.col(low)))).drop(low)
 
 
 def phrase_places(norm: Column, n_words: Column) -> Column:
