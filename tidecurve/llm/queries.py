@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidecurve.llm import chat, licenses, media
+from tidecurve.llm import bpe, chat, licenses, media, packing, quality
 from tidecurve.llm.common import table
 
 
+def op1_packing(spark, sf_dir):
+    return packing.pack(packing.sequences(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
+
+
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op4_chat(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -39,6 +48,12 @@ FROM escaped GROUP BY conv_id
 """
 
 
+def op5_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
