@@ -11,9 +11,9 @@ SPANS = "array<struct<start:int,stop:int,found:string>>"
 def regex_spans(text: Column, pattern: Column | str) -> Column:
     """array<struct<start,stop,found>> of the leftmost matches that don't overlap, in order.
 
-    Each match is taken with the gap before it, so that the lengths (in code points) add up to offsets. The
-    pattern may use \\G for the end of the match before. Patterns must not have capturing groups."""
-    full = F.concat(F.lit(r"([\s\S]*?)(?:"), pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(")"))
+    Each match is taken with the gap before it, so that the lengths (in code points) add up to offsets; it is
+    anchored at the end of the match before, so that a text is passed once. The pattern may use \\G for the end of the match before. Patterns must not have capturing groups."""
+    full = F.concat(F.lit(r"\G([\s\S]*?)(?:"), pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(")"))
     whole, gaps = F.regexp_extract_all(text, full, F.lit(0)), F.regexp_extract_all(text, full, F.lit(1))
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("spans"))
 
