@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidecurve.llm import bpe, chat, licenses, media, packing, quality
+from tidecurve.llm import bpe, chat, html_text, licenses, media, packing, quality
 from tidecurve.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op5_bpe(spark, sf_dir):
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_html(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
