@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidecurve.llm import bpe, chat, html_text, licenses, media, packing, quality
+from tidecurve.llm import bpe, chat, html_text, licenses, media, packing, pii, quality
 from tidecurve.llm.common import table
 
 
@@ -12,6 +12,15 @@ def op1_packing(spark, sf_dir):
     return packing.pack(packing.sequences(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
 
 
+def op2_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs)).select("doc_id", "pii")
+    base = F.filter("pii", lambda s: s["base"])
+    told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    counts = [F.size(F.filter("pii", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("pii")).alias("spans"))
+
+
 def op3_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
