@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidecurve.llm import bpe, chat, html_text, licenses, media, packing, pii, quality
+from tidecurve.llm import bpe, chat, html_text, licenses, lsh_forest, media, packing, pii, quality
 from tidecurve.llm.common import table
 
 
@@ -71,6 +71,10 @@ def op8_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op9_minhash(spark, sf_dir):
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark, sf_dir):
     return media.media_column(table(spark, sf_dir, "documents"))
 
