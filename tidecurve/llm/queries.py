@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidecurve.llm import bpe, chat, html_text, licenses, lsh_forest, media, packing, pii, quality
+from tidecurve.llm import bpe, chat, html_text, licenses, line_dedup, lsh_forest, media, packing, pii, quality
 from tidecurve.llm.common import table
 
 
@@ -67,6 +67,10 @@ def op6_html(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_lines(spark, sf_dir):
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
