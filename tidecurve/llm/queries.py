@@ -17,7 +17,11 @@ def op2_pii(spark, sf_dir):
     found = pii.find(docs, pii.fit(docs)).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["base"])
     told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+
+    def count(kind):
+        return F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    counts = map(count, pii.BASE)
     return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("pii")).alias("spans"))
 
 
