@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tidecurve.plans import signal_queries
+
+PARTS = (signal_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for part in PARTS for k, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for part in PARTS for k, s in part.SQLS.items() if s}
