@@ -1,7 +1,7 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures (Bawa, Condie and Ganesan, 2005).
 
 1. A pass over the texts gives each document its number of shingles, a 128-bit fingerprint of its shingle set and a
-   signature of 64 min-hashes. Documents of equal sets become one class, named by its smallest id.
+   signature of 128 min-hashes. Documents of equal sets become one class, named by its smallest id.
 2. The forest: 12 orders of the signature, each sorted over the whole corpus by a range shuffle on
    (tree, signature in that order, id); the id splits even groups of thousands. A scan of each sorted partition takes
    the regions whose common prefix has two hashes or more and goes deeper, one hash at a time, only where a region
@@ -12,7 +12,7 @@
    and a link that joins components isn't passed over because others were found.
 
 A pair at the threshold of 0.75 shares two hashes in one of 12 trees with probability 0.99995, and
-its signatures agree in half of 64 places at least with probability above 0.99999.
+its signatures agree in 58 % of 128 places at least with probability 0.999995.
 
 Null, empty and blank texts have no set and link with nothing. Rows of one id are one node: they link if any of their
 texts does. A null id is no node (component null, not kept). Repeated rows get equal results; other columns are not
@@ -33,16 +33,18 @@ from tidecurve.llm.common import written
 from tidecurve.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
-HASHES, TREES, LEVELS, DEPTH, BLOCK = 64, 12, 8, 2, 1024
-LIKELY = 0.5
+HASHES, TREES, LEVELS, DEPTH, BLOCK = 128, 12, 8, 2, 1024
+STEP = HASHES // TREES  # between the first hashes of two trees
+LIKELY = 0.58
 #: Trees whose pairs are confirmed in round one.
-FIRST = 3
+FIRST = 6
 #: Up to so many ids are broadcast to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 _RANDOM = np.random.default_rng(20)
 _WEIGHTS = _RANDOM.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A = _RANDOM.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_HEADS = (np.arange(TREES)[:, None] * STEP + np.arange(DEPTH)).ravel()
 _B = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
@@ -88,12 +90,12 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return _mixed(least).astype(np.uint16)
 
 
-SIGNED = "key long, n_shingles long, high long, low long, signature binary, sketch binary"
+SIGNED = "key long, n_shingles long, high long, low long, signature binary, sketch binary, heads binary"
 
 
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, high, low, sig, sketch = [], [], [], [], []
+        n, high, low, sig, sketch, heads = [], [], [], [], [], []
         for t in batch.column(1).to_pylist():
             s = shingle_set(t)
             n.append(len(s))
@@ -101,8 +103,9 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low.append(int(_mixed(s, 2).sum(dtype=np.uint64).astype(np.int64)))
             x = signature(s)
             sig.append(x.astype(">u2").tobytes() if len(s) else b"")
+            heads.append(x[_HEADS].astype(">u2").tobytes() if len(s) else b"")
             sketch.append(x.astype(np.uint8).tobytes() if len(s) else b"")  # eight bits of each hash: enough to compare
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())], names=[x.split()[0] for x in SIGNED.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary()), pa.array(heads, pa.binary())], names=[x.split()[0] for x in SIGNED.split(", ")])
 
 
 class Scan:
@@ -113,22 +116,14 @@ class Scan:
         self.pairs: list[tuple[np.ndarray, ...]] = []
 
     def block(self, rows: np.ndarray) -> None:
-        tree, node, sketch, comp = self.tree[rows[0]], self.node[rows], self.sketch[rows], self.comp[rows]
+        """A spanning forest of the likeliest pairs of some rows (Prim's)."""
+        node, sketch = self.node[rows], self.sketch[rows]
         m = len(rows)
-        if m < 2 or (comp == comp[0]).all() and self.everything:
-            return
-        if self.everything:
-            for i in range(m - 1):
-                alike = (sketch[i + 1 :] == sketch[i]).mean(1)
-                j = i + 1 + np.flatnonzero((alike >= LIKELY) & (comp[i + 1 :] != comp[i]))
-                if len(j):
-                    self.pairs.append((np.full(len(j), tree), np.full(len(j), node[i]), node[j]))
-            return
         best, near, out = np.full(m, -1.0), np.zeros(m, int), np.ones(m, bool)
         at, found = 0, []
         for _ in range(m - 1):
             out[at] = False
-            alike = (sketch == sketch[at]).mean(1)
+            alike = np.count_nonzero(sketch == sketch[at], axis=1) / HASHES
             better = out & (alike > best)
             best[better], near[better] = alike[better], at
             at = int(np.where(out, best, -2.0).argmax())
@@ -136,9 +131,29 @@ class Scan:
                 found.append((near[at], at))
         if found:
             a, b = np.array(found).T
-            self.pairs.append((np.full(len(a), tree), node[a], node[b]))
+            self.pairs.append((np.full(len(a), self.tree[rows[0]]), node[a], node[b]))
+
+    def across(self, lo: int, hi: int) -> None:
+        """Every likely pair of different components in a region whose first common tree this is. Any such pair has
+        an end outside of the region's largest component, so only those rows are compared with all."""
+        comp, tree = self.comp[lo:hi], self.tree[lo]
+        kinds, which, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(kinds) < 2:
+            return
+        small = which != counts.argmax()
+        sketch, heads, node = self.sketch[lo:hi], self.heads[lo:hi], self.node[lo:hi]
+        place = np.arange(hi - lo)
+        for i in np.flatnonzero(small):
+            j = np.flatnonzero((comp != comp[i]) & (~small | (place > i)))
+            j = j[np.count_nonzero(sketch[j] == sketch[i], axis=1) >= LIKELY * HASHES]
+            if len(j):
+                j = j[(heads[j] == heads[i]).all(2).argmax(1) == tree]
+                self.pairs.append((np.full(len(j), tree), np.full(len(j), node[i]), node[j]))
 
     def region(self, lo: int, hi: int, depth: int) -> None:
+        if self.everything:
+            self.across(lo, hi)
+            return
         if hi - lo <= BLOCK:
             self.block(np.arange(lo, hi))
             return
@@ -153,33 +168,34 @@ class Scan:
         for at in range(0, len(starts), BLOCK):  # and the parts among each other, by their first rows
             self.block(np.unique(np.concatenate([starts[:1], starts[at : at + BLOCK]])))
 
-    def take(self, rows: tuple[np.ndarray, ...], last: bool) -> tuple[np.ndarray, ...] | None:
-        """Scan the whole regions; the rows of the last one, which may go on, are returned."""
-        tree, self.levels, self.sketch, self.node, self.comp = rows
-        self.tree = tree
-        n = len(tree)
+    def take(self, rows: tuple[np.ndarray, ...], last: bool) -> Iterator[pa.RecordBatch]:
+        """Scan the whole regions; the rows of the last one, which may go on, are held."""
+        tree, self.levels, self.sketch, self.heads, self.node, self.comp = rows
+        self.tree, n = tree, len(tree)
         change = (tree[1:] != tree[:-1]) | (self.levels[1:, :DEPTH] != self.levels[:-1, :DEPTH]).any(1)
         starts = np.concatenate([[0], np.flatnonzero(change) + 1]) if n else np.empty(0, int)
         ends = np.concatenate([starts[1:], [n]]) if n else starts
-        keep = 0 if last or not n else int(starts[-1])
         for k in np.flatnonzero(ends - starts > 1):
             if last or ends[k] < n:
                 self.region(int(starts[k]), int(ends[k]), DEPTH)
-        return None if last else tuple(x[keep:] for x in rows)
+                if len(self.pairs) > 1000:
+                    yield from self.told()
+        yield from self.told()
+        self.held = None if last or not n else tuple(x[int(starts[-1]) :].copy() for x in rows)
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        self.held = None
         for batch in batches:
-            tree, levels, sketch, node, comp = (batch.column(i) for i in range(5))
+            tree, levels, sketch, heads, node, comp = (batch.column(i) for i in range(6))
             rows = (
                 tree.to_numpy(), np.frombuffer(b"".join(levels.to_pylist()), ">u2").reshape(-1, LEVELS).astype(np.uint16),
-                np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, HASHES), node.to_numpy(), comp.to_numpy(),
-            )
-            held = self.take(rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows, strict=True)), False)
-            yield from self.told()
-        if held is not None:
-            self.take(held, True)
-            yield from self.told()
+                np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, HASHES),
+                np.frombuffer(b"".join(heads.to_pylist()), ">u2").reshape(len(tree), -1, DEPTH), node.to_numpy(), comp.to_numpy(),
+            ) if len(tree) else None
+            if rows:
+                yield from self.take(rows if self.held is None else tuple(np.concatenate(x) for x in zip(self.held, rows, strict=True)), False)
+        if self.held is not None:
+            yield from self.take(self.held, True)
 
     def told(self) -> Iterator[pa.RecordBatch]:
         if self.pairs:
@@ -191,10 +207,9 @@ class Scan:
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """Rows of all trees, sorted within range partitions. classes: node, signature, sketch, component."""
-    step = 2 * (HASHES // TREES)
-    order = F.substring(F.concat("signature", "signature"), F.col("tree") * step + 1, F.lit(2 * LEVELS))
-    rows = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", order.alias("levels"), "sketch", "node", "component")
+    """Rows of all trees, sorted within range partitions. classes: node, signature, sketch, heads, component."""
+    order = F.substring(F.concat("signature", "signature"), F.col("tree") * (2 * STEP) + 1, F.lit(2 * LEVELS))
+    rows = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", order.alias("levels"), "sketch", "heads", "node", "component")
     return rows.repartitionByRange("tree", "levels", "node").sortWithinPartitions("tree", "levels", "node")
 
 
@@ -217,8 +232,8 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, hashes of a, hashes of b) the pairs whose sets are alike enough."""
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):  # buffers, not copies
+            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(p, q, assume_unique=True)) if 100 * min(len(p), len(q)) >= PERCENT * max(len(p), len(q)) else 0
             keep.append(both > 0 and 100 * both >= PERCENT * (len(p) + len(q) - both))
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
@@ -235,19 +250,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """key, n_shingles, component_id (the smallest key reachable), kept, for each row of docs."""
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     told = written(docs.mapInArrow(signed, SIGNED), "signed")
-    sets = told.where("n_shingles > 0 and key is not null").groupBy("n_shingles", "high", "low", "signature", "sketch").agg(F.min("key").alias("node"))
+    sets = told.where("n_shingles > 0 and key is not null").groupBy("n_shingles", "high", "low", "signature", "sketch", "heads").agg(F.min("key").alias("node"))
     classes = written(sets, "classes")
-    nodes = classes.select("node", "signature", "sketch", F.col("node").alias("component"))
+    nodes = classes.select("node", "signature", "sketch", F.lit(b"").alias("heads"), F.col("node").alias("component"))
     first = written(likely_pairs(nodes, False), "likely")
     ends = written(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
     members = shingle_sets(docs, ends)
     links = written(confirm(first.where(F.col("tree") < FIRST).select("a", "b").distinct(), members), "links")
     found = components(links)
-    some = classes.join(ends, "node", "left_semi").join(found, "node", "left").select("node", "signature", "sketch", F.coalesce("component", "node").alias("component"))
+    some = classes.join(ends, "node", "left_semi").join(found, "node", "left").select("node", "signature", "sketch", "heads", F.coalesce("component", "node").alias("component"))
     rest = written(likely_pairs(some, True).select("a", "b").distinct(), "rest")
     more = written(confirm(rest, members), "links")
     final = components(links.unionByName(more))
-    named = classes.join(final, "node", "left").select("n_shingles", "high", "low", "signature", "sketch", "node", F.coalesce("component", "node").alias("component"))
+    named = classes.join(final, "node", "left").select("n_shingles", "high", "low", "node", F.coalesce("component", "node").alias("component"))
     same = [told[c].eqNullSafe(named[c]) for c in ("n_shingles", "high", "low")]
     joined = told.join(named, same[0] & same[1] & same[2], "left").select(told["key"], told["n_shingles"], named["component"])
     component = F.coalesce("component", "key")
