@@ -7,9 +7,10 @@ insertions, deletions or replacements, and so on from line to line.
 1. Exact copies are counted on 128-bit hashes with aggregation before the shuffle, so a line of any frequency is one row.
 2. A line of length l is cut into EDITS + 1 segments, and each is an index row (segment number, l, segment). Of two lines
    within EDITS edits the longer holds one of the other's segments near its place: for each length from l - EDITS to l the
-   substrings that can be it are probed (the multi-match-aware selection). Both sides are rows of two numbers.
+   substrings that can be it are probed (the multi-match-aware selection). Both sides are rows of three numbers: key, line, and
+   counts of eight letters, which rule out most pairs that differ in more than a few characters.
 3. Candidate pairs are verified on whole lines by a banded bit-parallel edit distance: a fold over the shorter line with the
-   band's vertical differences as bits of one number.
+   band's vertical differences as bits of one number, after what both lines share at their ends is set aside.
 4. Links give classes (connected components), classes give each occurrence its verdict.
 
 Frequent segments are dealt anew by adaptive skew joins. Hash tables of copies and candidates are broadcast
@@ -28,6 +29,7 @@ from tidecurve.llm.common import written
 from tidecurve.llm.graph import components
 
 EDITS, FUZZY_CHARS, BROADCAST_ROWS = 2, 16, 1_000_000
+LETTERS = "etaonirs"
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -105,6 +107,29 @@ def characters(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
 
 
+def common_prefix(x: Column, y: Column, length: Column) -> Column:
+    """Length of the common prefix of two strings, `length` at most: by halving steps that compare whole substrings."""
+    step = lambda p, n: p + F.when((p + n <= length) & (F.substring(x, p + 1, n) == F.substring(y, p + 1, n)), n).otherwise(0)
+    return F.aggregate(F.transform(F.sequence(F.lit(24), F.lit(0)), lambda i: F.pow(F.lit(2), i).cast("int")), F.lit(0), step)
+
+
+def letter_counts(line: Column) -> Column:
+    """Counts of some frequent letters, up to 255, as the bytes of one number: an edit changes their sum of differences by 2 at most."""
+    total = F.lit(0).cast("long")
+    for i, letter in enumerate(LETTERS):
+        n = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
+        total = total.bitwiseOR(F.shiftleft(F.least(n, F.lit(255)).cast("long"), 8 * i))
+    return total
+
+
+def letters_fit(a: Column, b: Column, edits: int = EDITS) -> Column:
+    byte = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
+    apart = F.lit(0).cast("long")
+    for i in range(len(LETTERS)):
+        apart = apart + F.abs(byte(a, i) - byte(b, i))
+    return apart <= 2 * edits
+
+
 def lines_of(docs: DataFrame, distinct: bool = False) -> DataFrame:
     """key, version (a hash of the text), pos, line, h1, h2 of the lines with a word; with distinct, each line of a text once."""
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
@@ -117,19 +142,23 @@ def near_lines(docs: DataFrame, counted: DataFrame) -> DataFrame:
     """Links a1, a2, b1, b2 (hashes of two different lines within EDITS edits). counted: h1, h2, first, n of all lines."""
     copied = written(counted.where("n > 1").select("h1", "h2", "first"), "copied")
     fuzzy = lines_of(docs, distinct=True).withColumn("length", F.length("line")).where(F.col("length") >= FUZZY_CHARS)
-    once = fuzzy.join(small(copied), ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("first") == F.col("key")))
-    index = once.select(F.col("h1").alias("a"), F.explode(F.array(*index_keys(F.col("line"), F.col("length")))).alias("k"))
-    probes = once.select(F.col("h1").alias("b"), F.explode(F.array(*probe_keys(F.col("line"), F.col("length")))).alias("k"))
-    pairs = index.join(probes, "k").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "candidates")
+    once = fuzzy.join(small(copied), ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("first") == F.col("key"))).withColumn("letters", letter_counts(F.col("line")))
+    index = once.select(F.col("h1").alias("a"), F.col("letters").alias("x"), F.explode(F.array(*index_keys(F.col("line"), F.col("length")))).alias("k"))
+    probes = once.select(F.col("h1").alias("b"), F.col("letters").alias("y"), F.explode(F.array(*probe_keys(F.col("line"), F.col("length")))).alias("k"))
+    met = index.join(probes, (index["k"] == probes["k"]) & (F.col("a") != F.col("b")) & letters_fit(F.col("x"), F.col("y")))
+    pairs = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "wanted")
-    texts = fuzzy.join(small(wanted), "h1", "left_semi").groupBy("h1", "h2", "line").agg(F.max("length").alias("length"))
-    texts = written(texts.select("h1", "h2", "length", characters(F.col("line")).alias("chars")), "lines")
-    left, right = (texts.select(F.col("h1").alias(x), F.col("h2").alias(f"{x}2"), F.col("length").alias(f"{x}n"), F.col("chars").alias(f"{x}c")) for x in "ab")
+    texts = written(fuzzy.join(small(wanted), "h1", "left_semi").groupBy("h1", "h2", "line").agg(F.max("length").alias("length")), "lines")
+    left, right = (texts.select(F.col("h1").alias(x), F.col("h2").alias(f"{x}2"), F.col("length").alias(f"{x}n"), F.col("line").alias(f"{x}l")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").where(F.abs(F.col("an") - F.col("bn")) <= EDITS)
-    longer = F.col("an") >= F.col("bn")
-    distance = banded_distance(F.when(longer, F.col("ac")).otherwise(F.col("bc")), F.when(longer, F.col("bc")).otherwise(F.col("ac")))
-    return both.where(distance <= EDITS).select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
+    # What two lines share at both ends isn't verified anew: the fold runs over the parts between.
+    both = both.withColumn("head", common_prefix(F.col("al"), F.col("bl"), F.least("an", "bn")))
+    both = both.withColumn("tail", common_prefix(F.reverse("al"), F.reverse("bl"), F.least("an", "bn") - F.col("head")))
+    both = both.withColumn("swap", F.col("an") < F.col("bn"))
+    middle = lambda x, n: characters(F.substring(x, F.col("head") + 1, n - F.col("head") - F.col("tail")))
+    chosen = lambda x, y: (F.when(F.col("swap"), F.col(y[0])).otherwise(F.col(x[0])), F.when(F.col("swap"), F.col(y[1])).otherwise(F.col(x[1])))
+    both = both.withColumn("long", middle(*chosen(("al", "an"), ("bl", "bn")))).withColumn("short", middle(*chosen(("bl", "bn"), ("al", "an"))))
+    return both.where(banded_distance(F.col("long"), F.col("short")) <= EDITS).select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
 
 
 def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
