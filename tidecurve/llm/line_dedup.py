@@ -158,7 +158,9 @@ def near_lines(docs: DataFrame, counted: DataFrame) -> DataFrame:
     middle = lambda x, n: characters(F.substring(x, F.col("head") + 1, n - F.col("head") - F.col("tail")))
     chosen = lambda x, y: (F.when(F.col("swap"), F.col(y[0])).otherwise(F.col(x[0])), F.when(F.col("swap"), F.col(y[1])).otherwise(F.col(x[1])))
     both = both.withColumn("long", middle(*chosen(("al", "an"), ("bl", "bn")))).withColumn("short", middle(*chosen(("bl", "bn"), ("al", "an"))))
-    return both.where(banded_distance(F.col("long"), F.col("short")) <= EDITS).select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
+    # Written, as a filter would be pushed below these columns with all their expressions put in its place.
+    both = written(both.select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2", "long", "short"), "middles")
+    return both.where(banded_distance(F.col("long"), F.col("short")) <= EDITS).select("a1", "a2", "b1", "b2")
 
 
 def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
