@@ -52,7 +52,7 @@ class _Words(dict):
     """Hashes of words, kept up to a number of them."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 50_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -90,11 +90,19 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return _mixed(least).astype(np.uint16)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that what is made of one is small; what Arrow holds unused at the end goes back."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 SIGNED = "key long, n_shingles long, high long, low long, signature binary, sketch binary, heads binary"
 
 
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         n, high, low, sig, sketch, heads = [], [], [], [], [], []
         for t in batch.column(1).to_pylist():
             s = shingle_set(t)
@@ -222,7 +230,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "hashes"])
 
     return docs.join(wanted, docs["key"] == nodes["node"], "left_semi").select("key", "text").mapInArrow(run, "node long, hashes binary")
@@ -230,7 +238,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, hashes of a, hashes of b) the pairs whose sets are alike enough."""
-    for batch in batches:
+    for batch in parts(batches):
         keep = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):  # buffers, not copies
             p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
