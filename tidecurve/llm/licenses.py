@@ -79,7 +79,8 @@ FORMS = (
 )
 #: Any rule's text holds one of these; most documents hold none.
 GATE = r"(?i)licen[cs]e|spdx|creative ?commons|cc0|cc[- ]by|(?:gnu|apache|opensource|mozilla|eclipse|python|boost|sil|unlicense)\.org|wtfpl\.net|opendatacommons|openssl\.org|europa\.eu|(?:released|distributed|available|published|provided|covered)\s+(?:only\s+)?(?:under|by)\s"
-SEP, WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Of the text as it is: capitals belong to words, as they do once they are lower-cased.
+SEP, WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 KEPT = "array<struct<start:int,stop:int,priority:int,rule:int,label:string,confidence:double>>"
