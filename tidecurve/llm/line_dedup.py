@@ -8,7 +8,7 @@ insertions, deletions or replacements, and so on from line to line.
 2. A line of length l is cut into EDITS + 1 segments, and each is an index row (segment number, l, segment). Of two lines
    within EDITS edits the longer holds one of the other's segments near its place: for each length from l - EDITS to l the
    substrings that can be it are probed (the multi-match-aware selection). Both sides are rows of three numbers: key, line, and
-   counts of eight letters, which rule out most pairs that differ in more than a few characters.
+   counts of seven letters, which rule out most pairs that differ in more than a few characters.
 3. Candidate pairs are verified on whole lines by a banded bit-parallel edit distance: a fold over the shorter line with the
    band's vertical differences as bits of one number, after what both lines share at their ends is set aside.
 4. Links give classes (connected components), classes give each occurrence its verdict.
@@ -29,7 +29,7 @@ from tidecurve.llm.common import written
 from tidecurve.llm.graph import components
 
 EDITS, FUZZY_CHARS, BROADCAST_ROWS = 2, 16, 1_000_000
-LETTERS = "etaonirs"
+LETTERS = "etaonir"
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -114,14 +114,20 @@ def common_prefix(x: Column, y: Column, length: Column) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of some frequent letters, up to 255, as the bytes of one number: an edit changes their sum of differences by 2 at most."""
-    total = F.lit(0).cast("long")
+    """Counts of some frequent letters, up to 255, as the low bytes of one number, and the low bits of the length as the
+    highest: an edit changes the letters' sum of differences by 2 at most."""
+    total = F.shiftleft(F.length(line).bitwiseAND(F.lit(255)).cast("long"), 56)
     for i, letter in enumerate(LETTERS):
         n = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
         total = total.bitwiseOR(F.shiftleft(F.least(n, F.lit(255)).cast("long"), 8 * i))
     return total
 
 
+def same_length(a: Column, b: Column) -> Column:
+    """Of two numbers of letter_counts() whose lengths differ by a few at most."""
+    return F.shiftrightunsigned(a, 56) == F.shiftrightunsigned(b, 56)
+
+
 def letters_fit(a: Column, b: Column, edits: int = EDITS) -> Column:
     byte = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
     apart = F.lit(0).cast("long")
@@ -143,9 +149,12 @@ def near_lines(docs: DataFrame, counted: DataFrame) -> DataFrame:
     copied = written(counted.where("n > 1").select("h1", "h2", "first"), "copied")
     fuzzy = lines_of(docs, distinct=True).withColumn("length", F.length("line")).where(F.col("length") >= FUZZY_CHARS)
     once = fuzzy.join(small(copied), ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("first") == F.col("key"))).withColumn("letters", letter_counts(F.col("line")))
-    index = once.select(F.col("h1").alias("a"), F.col("letters").alias("x"), F.explode(F.array(*index_keys(F.col("line"), F.col("length")))).alias("k"))
-    probes = once.select(F.col("h1").alias("b"), F.col("letters").alias("y"), F.explode(F.array(*probe_keys(F.col("line"), F.col("length")))).alias("k"))
-    met = index.join(probes, (index["k"] == probes["k"]) & (F.col("a") != F.col("b")) & letters_fit(F.col("x"), F.col("y")))
+    keyed = written(once.select(F.col("h1").alias("id"), "letters", F.array(*index_keys(F.col("line"), F.col("length"))).alias("own"), F.array(*probe_keys(F.col("line"), F.col("length"))).alias("asked")), "keyed")
+    index = keyed.select(F.col("id").alias("a"), F.col("letters").alias("x"), F.explode("own").alias("k"))
+    probes = keyed.select(F.col("id").alias("b"), F.col("letters").alias("y"), F.explode("asked").alias("k"))
+    # Lines of one length meet in both directions, so one of them will do.
+    once_each = (F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & ~same_length(F.col("x"), F.col("y")))
+    met = index.join(probes, (index["k"] == probes["k"]) & once_each & letters_fit(F.col("x"), F.col("y")))
     pairs = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "wanted")
     texts = written(fuzzy.join(small(wanted), "h1", "left_semi").groupBy("h1", "h2", "line").agg(F.max("length").alias("length")), "lines")
