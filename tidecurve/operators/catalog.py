@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidecurve.config import DEFAULT, Thresholds
 from tidecurve.functions import text
+from tidecurve.operators.tables import settled
 
 
 def exact_candidates(labels: DataFrame, aliases: DataFrame, on: str) -> DataFrame:
@@ -43,12 +44,12 @@ def fuzzy_candidates(labels: DataFrame, aliases: DataFrame, k: int = 5, cfg: Thr
 
 def resolve_labels(labels: DataFrame, aliases: DataFrame, k: int = 5, cfg: Thresholds = DEFAULT) -> DataFrame:
     """label_id, food_id, confidence, method: exact, else exact without stop words, else fuzzy; at most k a label."""
-    named = labels.withColumn("normalized", text.normalize(F.col("label"))).where("normalized <> ''").withColumn("stripped", text.strip_stopwords(F.col("normalized")))
-    first = exact_candidates(named, aliases, "normalized")
-    rest = named.join(first, "label_id", "left_anti")
-    second = exact_candidates(rest.where("stripped <> normalized"), aliases, "stripped")
+    named = settled(labels.withColumn("normalized", text.normalize(F.col("label"))).where("normalized <> ''").withColumn("stripped", text.strip_stopwords(F.col("normalized"))))
+    first = settled(exact_candidates(named, aliases, "normalized"))
+    rest = settled(named.join(first, "label_id", "left_anti"))
+    second = settled(exact_candidates(rest.where("stripped <> normalized"), aliases, "stripped"))
     third = fuzzy_candidates(rest.join(second, "label_id", "left_anti"), aliases, k, cfg)
-    met = first.unionByName(second).unionByName(third)
+    met = first.unionByName(second).unionByName(settled(third))
     place = F.row_number().over(Window.partitionBy("label_id").orderBy(F.desc("confidence"), "food_id"))
     return met.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
@@ -68,15 +69,16 @@ def resolve_texts(texts: DataFrame, aliases: DataFrame, cfg: Thresholds = DEFAUL
     clean = texts.withColumn("text", text.squeeze_ends(F.coalesce("text", F.lit("")))).where("text <> ''")
     whole = exact(best_candidates(resolve_labels(clean.select(F.col("text_id").alias("label_id"), "user_id", F.col("text").alias("label")), aliases, cfg=cfg)))
     wholes = clean.join(whole.select(F.col("label_id").alias("text_id"), "food_id", "confidence", "method"), "text_id").select("text_id", "user_id", F.lit(0).alias("item_no"), F.lit(0).alias("part_no"), text.parsed_item(F.col("text")).alias("item"), "food_id", "confidence", "method")
+    wholes = settled(wholes)
     rest = clean.join(wholes.select("text_id"), "text_id", "left_anti")
     items = rest.select("text_id", "user_id", F.posexplode(F.transform(text.split_items(F.col("text")), text.parsed_item)).alias("item_no", "item"))
-    items = items.withColumn("label_id", F.concat_ws(":", "text_id", "item_no"))
-    found = best_candidates(resolve_labels(items.select("label_id", "user_id", F.col("item.label").alias("label")), aliases, cfg=cfg))
+    items = settled(items.withColumn("label_id", F.concat_ws(":", "text_id", "item_no")))
+    found = settled(best_candidates(resolve_labels(items.select("label_id", "user_id", F.col("item.label").alias("label")), aliases, cfg=cfg)))
     sure = exact(found).select("label_id")
     parts = items.join(sure, "label_id", "left_anti").select("text_id", "user_id", "item_no", F.col("label_id").alias("item_id"), F.posexplode(text.split_on_connector(F.col("item.label"))).alias("part_no", "part"))
-    parts = parts.withColumn("label_id", F.concat_ws(":", "item_id", "part_no"))
+    parts = settled(parts.withColumn("label_id", F.concat_ws(":", "item_id", "part_no")))
     part_found = best_candidates(resolve_labels(parts.select("label_id", "user_id", F.col("part").alias("label")), aliases, cfg=cfg))
-    told = parts.join(part_found, "label_id", "left")
+    told = settled(parts.join(part_found, "label_id", "left"))
     counts = told.groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") >= cfg.auto_assign_min).alias("hits"))
     split = counts.where((F.col("hits") >= 2) | ((F.col("hits") == 1) & (F.col("n") == 2))).select("item_id")
     split_rows = told.join(split, "item_id").select("text_id", "user_id", "item_no", "part_no", text.parsed_item(F.col("part")).alias("item"), "food_id", "confidence", "method")

@@ -55,7 +55,7 @@ def stopwords(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", text.strip_stopwords(text.normalize(F.col("text"))).alias("stripped"))
 
 
-@query(rf"""WITH t AS (SELECT l_orderkey, array_to_string(list(p_name ORDER BY l_linenumber, p_name), CASE WHEN l_orderkey % 3 = 0 THEN ', ' WHEN l_orderkey % 3 = 1 THEN ' y ' ELSE ' + ' END) AS x FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
+@query(rf"""WITH t AS (SELECT l_orderkey, CASE l_orderkey % 3 WHEN 0 THEN string_agg(p_name, ', ' ORDER BY l_linenumber, p_name) WHEN 1 THEN string_agg(p_name, ' y ' ORDER BY l_linenumber, p_name) ELSE string_agg(p_name, ' + ' ORDER BY l_linenumber, p_name) END AS x FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
 SELECT l_orderkey, CAST(i - 1 AS INT) AS item_no, p[i] AS item FROM (SELECT l_orderkey, list_filter(list_transform(regexp_split_to_array(x, '(?i)\s*(?:,|;|\+|\||\by\b|\be\b|/)\s*'), lambda s: trim(s)), lambda s: s <> '') AS p FROM t), range(1, 100) r(i) WHERE i <= len(p)""")
 def split_items(spark, sf_dir):
     """Items of a meal told as one text, with three ways to part them."""
