@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values.
 STOPWORDS = ("de", "del", "la", "el", "los", "las", "al", "a", "en", "un", "una", "mi", "mis")
@@ -54,7 +55,7 @@ def header(x: Column) -> Column:
     return squeeze(unaccented(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_exact(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """normalize() by full compatibility decomposition, for scripts beyond Latin. Slower: batches pass through Python."""
     for t in texts:
