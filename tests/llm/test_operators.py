@@ -145,6 +145,45 @@ def test_near_duplicates_against_all_pairs(spark):
     assert lsh_forest.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_round_two_compares_regions_that_partitions_cut(spark):
+    """One region of thousands of rows, whose partners are its first and last rows in the order of its tree."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    n, partners = 4000, 40
+    sig = r.integers(0, 1 << 16, (n, lsh_forest.HASHES)).astype(np.uint16)
+    sig[:, :2] = 7  # the region of the first tree
+    sig[n - partners :, 20:] = sig[:partners, 20:]
+    sig[:partners, 2], sig[n - partners :, 2] = 0, 65535
+    comp = np.where(r.random(n) < 0.6, 1_000_000, np.arange(n))
+    comp[:partners], comp[n - partners :] = np.arange(partners), 1_000_000
+    heads, sketch = sig[:, lsh_forest._HEADS], sig.astype(np.uint8)
+    rows = [(i, sig[i].astype(">u2").tobytes(), sketch[i].tobytes(), heads[i].astype(">u2").tobytes(), int(comp[i])) for i in range(n)]
+    classes = spark.createDataFrame(rows, "node long, signature binary, sketch binary, heads binary, component long")
+    want = set()
+    for i in range(n):
+        like = np.flatnonzero((np.count_nonzero(sketch[i + 1 :] == sketch[i], axis=1) >= lsh_forest.LIKELY * lsh_forest.HASHES) & (comp[i + 1 :] != comp[i]))
+        want |= {(i, i + 1 + int(j)) for j in like}
+    assert len(want) == partners
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for limit in (lsh_forest.BROADCAST_IDS, 0):  # regions broadcast or joined by a shuffle
+            held, lsh_forest.BROADCAST_IDS = lsh_forest.BROADCAST_IDS, limit
+            try:
+                got = {(x.a, x.b) for x in lsh_forest.likely_pairs(classes, True).collect()}
+            finally:
+                lsh_forest.BROADCAST_IDS = held
+            assert got == want
+        groups = lsh_forest.groups(classes).groupBy("region", "i", "j").count()
+        assert groups.agg(F.max("count")).first()[0] <= 2.5 * lsh_forest.BLOCK
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (None, 5)], "a long, b long")
     got = {r.node: r.component for r in graph.components(links).collect()}

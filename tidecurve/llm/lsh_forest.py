@@ -9,7 +9,9 @@
 3. Round one: of each region a spanning forest of its likeliest pairs; those of the first trees are confirmed on full
    shingle sets, and their components are found. Round two: over all trees, every likely pair whose ends are still
    in different components is confirmed on full sets. So a group of thousands costs a few pairs for each member,
-   and a link that joins components isn't passed over because others were found.
+   and a link that joins components isn't passed over because others were found. Round two has no sorted partitions,
+   whose boundaries cut regions: regions of several components are dealt as groups, those of more than ``BLOCK``
+   rows as blocks, where each block meets each block of the rows outside the region's largest component.
 
 A pair at the threshold of 0.75 shares two hashes in one of 12 trees with probability 0.99995, and
 its signatures agree in 58 % of 128 places at least with probability 0.999995.
@@ -36,6 +38,8 @@ SHINGLE, PERCENT = 5, 75
 HASHES, TREES, LEVELS, DEPTH, BLOCK = 128, 12, 8, 2, 1024
 STEP = HASHES // TREES  # between the first hashes of two trees
 LIKELY = 0.58
+#: Sides of a row in a group of round two.
+TOLD, ASKS, BOTH = 0, 1, 2
 #: Trees whose pairs are confirmed in round one.
 FIRST = 6
 #: Up to so many ids are broadcast to pick documents; more are joined by a shuffle.
@@ -116,13 +120,61 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary()), pa.array(heads, pa.binary())], names=[x.split()[0] for x in SIGNED.split(", ")])
 
 
-class Scan:
-    """Likely pairs from rows sorted by (tree, signature in the tree's order, id)."""
+class Groups:
+    """Likely pairs from rows sorted by group; a group may go on in the next batch."""
 
-    def __init__(self, everything: bool) -> None:
-        self.everything = everything  # every likely pair of different components; else a spanning forest
+    def __init__(self) -> None:
         self.pairs: list[tuple[np.ndarray, ...]] = []
 
+    def take(self, rows: tuple[np.ndarray, ...], last: bool) -> Iterator[pa.RecordBatch]:
+        """Scan the whole groups; the rows of the last one, which may go on, are held."""
+        n = len(rows[0])
+        starts = np.concatenate([[0], np.flatnonzero(self.changes(rows)) + 1]) if n else np.empty(0, int)
+        ends = np.concatenate([starts[1:], [n]]) if n else starts
+        for k in np.flatnonzero(ends - starts > 1):
+            if last or ends[k] < n:
+                self.group(int(starts[k]), int(ends[k]))
+                if len(self.pairs) > 1000:
+                    yield from self.told()
+        yield from self.told()
+        self.held = None if last or not n else tuple(x[int(starts[-1]) :].copy() for x in rows)
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        self.held = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = self.read(batch)
+                yield from self.take(rows if self.held is None else tuple(np.concatenate(x) for x in zip(self.held, rows, strict=True)), False)
+        if self.held is not None:
+            yield from self.take(self.held, True)
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        if self.pairs:
+            tree, a, b = (np.concatenate(x) for x in zip(*self.pairs, strict=True))
+            self.pairs = []
+            keep = a != b
+            columns = (tree[keep].astype(np.int32), np.minimum(a, b)[keep], np.maximum(a, b)[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tree", "a", "b"])
+
+
+def _bytes(column: pa.Array, dtype: str, *shape: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), *shape)
+
+
+class Scan(Groups):
+    """Spanning forests of the regions, from rows sorted by (tree, signature in the tree's order, id)."""
+
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        tree, levels, sketch, node = batch.columns
+        return tree.to_numpy(), _bytes(levels, ">u2", LEVELS).astype(np.uint16), _bytes(sketch, np.uint8, HASHES), node.to_numpy()
+
+    def changes(self, rows: tuple[np.ndarray, ...]) -> np.ndarray:
+        self.tree, self.levels, self.sketch, self.node = rows
+        return (self.tree[1:] != self.tree[:-1]) | (self.levels[1:, :DEPTH] != self.levels[:-1, :DEPTH]).any(1)
+
+    def group(self, lo: int, hi: int) -> None:
+        self.region(lo, hi, DEPTH)
+
     def block(self, rows: np.ndarray) -> None:
         """A spanning forest of the likeliest pairs of some rows (Prim's)."""
         node, sketch = self.node[rows], self.sketch[rows]
@@ -141,27 +193,7 @@ class Scan:
             a, b = np.array(found).T
             self.pairs.append((np.full(len(a), self.tree[rows[0]]), node[a], node[b]))
 
-    def across(self, lo: int, hi: int) -> None:
-        """Every likely pair of different components in a region whose first common tree this is. Any such pair has
-        an end outside of the region's largest component, so only those rows are compared with all."""
-        comp, tree = self.comp[lo:hi], self.tree[lo]
-        kinds, which, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(kinds) < 2:
-            return
-        small = which != counts.argmax()
-        sketch, heads, node = self.sketch[lo:hi], self.heads[lo:hi], self.node[lo:hi]
-        place = np.arange(hi - lo)
-        for i in np.flatnonzero(small):
-            j = np.flatnonzero((comp != comp[i]) & (~small | (place > i)))
-            j = j[np.count_nonzero(sketch[j] == sketch[i], axis=1) >= LIKELY * HASHES]
-            if len(j):
-                j = j[(heads[j] == heads[i]).all(2).argmax(1) == tree]
-                self.pairs.append((np.full(len(j), tree), np.full(len(j), node[i]), node[j]))
-
     def region(self, lo: int, hi: int, depth: int) -> None:
-        if self.everything:
-            self.across(lo, hi)
-            return
         if hi - lo <= BLOCK:
             self.block(np.arange(lo, hi))
             return
@@ -176,53 +208,71 @@ class Scan:
         for at in range(0, len(starts), BLOCK):  # and the parts among each other, by their first rows
             self.block(np.unique(np.concatenate([starts[:1], starts[at : at + BLOCK]])))
 
-    def take(self, rows: tuple[np.ndarray, ...], last: bool) -> Iterator[pa.RecordBatch]:
-        """Scan the whole regions; the rows of the last one, which may go on, are held."""
-        tree, self.levels, self.sketch, self.heads, self.node, self.comp = rows
-        self.tree, n = tree, len(tree)
-        change = (tree[1:] != tree[:-1]) | (self.levels[1:, :DEPTH] != self.levels[:-1, :DEPTH]).any(1)
-        starts = np.concatenate([[0], np.flatnonzero(change) + 1]) if n else np.empty(0, int)
-        ends = np.concatenate([starts[1:], [n]]) if n else starts
-        for k in np.flatnonzero(ends - starts > 1):
-            if last or ends[k] < n:
-                self.region(int(starts[k]), int(ends[k]), DEPTH)
-                if len(self.pairs) > 1000:
-                    yield from self.told()
-        yield from self.told()
-        self.held = None if last or not n else tuple(x[int(starts[-1]) :].copy() for x in rows)
 
-    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        self.held = None
-        for batch in batches:
-            tree, levels, sketch, heads, node, comp = (batch.column(i) for i in range(6))
-            rows = (
-                tree.to_numpy(), np.frombuffer(b"".join(levels.to_pylist()), ">u2").reshape(-1, LEVELS).astype(np.uint16),
-                np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, HASHES),
-                np.frombuffer(b"".join(heads.to_pylist()), ">u2").reshape(len(tree), -1, DEPTH), node.to_numpy(), comp.to_numpy(),
-            ) if len(tree) else None
-            if rows:
-                yield from self.take(rows if self.held is None else tuple(np.concatenate(x) for x in zip(self.held, rows, strict=True)), False)
-        if self.held is not None:
-            yield from self.take(self.held, True)
+class Meet(Groups):
+    """Every likely pair of different components, from rows sorted by (region, i, j). Of a pair, the first tree in which
+    its ends share a region tells it: ends of one region meet in one group of it at least."""
 
-    def told(self) -> Iterator[pa.RecordBatch]:
-        if self.pairs:
-            tree, a, b = (np.concatenate(x) for x in zip(*self.pairs, strict=True))
-            self.pairs = []
-            keep = a != b
-            columns = (tree[keep].astype(np.int32), np.minimum(a, b)[keep], np.maximum(a, b)[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tree", "a", "b"])
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        region, i, j, side, sketch, heads, node, comp = batch.columns
+        return np.stack([region.to_numpy(), i.to_numpy(), j.to_numpy()], 1), side.to_numpy(), _bytes(sketch, np.uint8, HASHES), _bytes(heads, ">u2", TREES, DEPTH), node.to_numpy(), comp.to_numpy()
+
+    def changes(self, rows: tuple[np.ndarray, ...]) -> np.ndarray:
+        self.at, self.side, self.sketch, self.heads, self.node, self.comp = rows
+        return (self.at[1:] != self.at[:-1]).any(1)
+
+    def group(self, lo: int, hi: int) -> None:
+        tree, side = self.at[lo, 0] >> 32, self.side[lo:hi]
+        of = lo + np.flatnonzero(side != ASKS)
+        sketch, heads, node, comp, both = self.sketch[of], self.heads[of], self.node[of], self.comp[of], side[of - lo] == BOTH
+        for i in lo + np.flatnonzero(side != TOLD):
+            j = np.flatnonzero((comp != self.comp[i]) & (~both | (of > i)))
+            j = j[np.count_nonzero(sketch[j] == self.sketch[i], axis=1) >= LIKELY * HASHES]
+            if len(j):
+                j = j[(heads[j] == self.heads[i]).all(2).argmax(1) == tree]
+                self.pairs.append((np.full(len(j), tree), np.full(len(j), self.node[i]), node[j]))
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """Rows of all trees, sorted within range partitions. classes: node, signature, sketch, heads, component."""
+    """Rows of all trees, sorted within range partitions. classes: node, signature, sketch."""
     order = F.substring(F.concat("signature", "signature"), F.col("tree") * (2 * STEP) + 1, F.lit(2 * LEVELS))
-    rows = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", order.alias("levels"), "sketch", "heads", "node", "component")
+    rows = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", order.alias("levels"), "sketch", "node")
     return rows.repartitionByRange("tree", "levels", "node").sortWithinPartitions("tree", "levels", "node")
 
 
+def groups(classes: DataFrame) -> DataFrame:
+    """Rows of the regions (tree and first hashes) that hold several components, by groups (region, i, j). Any pair of
+    different components has an end outside of the region's largest component: those rows, in blocks i, ask the
+    region's rows, in blocks j. A region of one block is one group, where a row may be BOTH.
+    classes: node, component, sketch, heads."""
+    head = F.substring("heads", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
+    region = F.col("tree").cast("long") * F.lit(1 << 32) + F.conv(F.hex(head), 16, 10).cast("long")
+    rows = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(region.alias("region"), "sketch", "heads", "node", "component")
+    kinds = rows.groupBy("region", "component").agg(F.count("*").alias("n"))
+    mixed = kinds.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    mixed = written(mixed.select("region", F.col("most.component").alias("largest"), F.when(F.col("n") > BLOCK, blocks(F.col("n") - F.col("most.n"))).otherwise(1).alias("askers"), blocks(F.col("n")).alias("blocks")), "regions")
+    if mixed.count() <= BROADCAST_IDS:
+        placed = rows.join(F.broadcast(mixed), "region")
+    else:  # of regions of more than a block there are few, and only their rows would make large groups in a shuffle
+        large = F.broadcast(mixed.where("blocks > 1"))
+        placed = rows.join(large, "region").unionByName(rows.join(large, "region", "left_anti").join(mixed.where("blocks = 1"), "region"))
+    asks, place = F.col("component") != F.col("largest"), F.xxhash64("node", "sketch")
+    i, j = F.pmod(place, "askers").cast("int"), F.pmod(place, "blocks").cast("int")
+    to = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    told = F.transform(F.sequence(F.lit(0), F.col("askers") - 1), lambda x: to(x, j, F.lit(TOLD)))
+    asking = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: to(i, x, F.lit(ASKS)))
+    whole = F.array(to(F.lit(0), F.lit(0), F.when(asks, BOTH).otherwise(TOLD)))
+    dealt = F.when(F.col("blocks") == 1, whole).when(asks, F.concat(told, asking)).otherwise(told)
+    dealt = placed.select("region", F.explode(dealt).alias("to"), "sketch", "heads", "node", "component").select("region", "to.i", "to.j", "to.side", "sketch", "heads", "node", "component")
+    return dealt.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
+
+
 def likely_pairs(classes: DataFrame, everything: bool) -> DataFrame:
-    return forest(classes).mapInArrow(lambda batches: Scan(everything).run(batches), "tree int, a long, b long")
+    """Every likely pair of different components; else spanning forests."""
+    if everything:
+        return groups(classes).mapInArrow(lambda batches: Meet().run(batches), "tree int, a long, b long")
+    return forest(classes).mapInArrow(lambda batches: Scan().run(batches), "tree int, a long, b long")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -260,13 +310,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     told = written(docs.mapInArrow(signed, SIGNED), "signed")
     sets = told.where("n_shingles > 0 and key is not null").groupBy("n_shingles", "high", "low", "signature", "sketch", "heads").agg(F.min("key").alias("node"))
     classes = written(sets, "classes")
-    nodes = classes.select("node", "signature", "sketch", F.lit(b"").alias("heads"), F.col("node").alias("component"))
-    first = written(likely_pairs(nodes, False), "likely")
+    first = written(likely_pairs(classes.select("node", "signature", "sketch"), False), "likely")
     ends = written(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
     members = shingle_sets(docs, ends)
     links = written(confirm(first.where(F.col("tree") < FIRST).select("a", "b").distinct(), members), "links")
     found = components(links)
-    some = classes.join(ends, "node", "left_semi").join(found, "node", "left").select("node", "signature", "sketch", "heads", F.coalesce("component", "node").alias("component"))
+    some = classes.join(ends, "node", "left_semi").join(found, "node", "left").select("node", "sketch", "heads", F.coalesce("component", "node").alias("component"))
     rest = written(likely_pairs(some, True).select("a", "b").distinct(), "rest")
     more = written(confirm(rest, members), "links")
     final = components(links.unionByName(more))
