@@ -248,6 +248,48 @@ def test_licenses(spark):
     assert "apache-2.0" in got[0].labels and got[2].labels == "gpl-3.0" and "cc-by-nc-4.0" in got[3].labels and got[6].labels == ""
 
 
+def shortest(parsed):
+    """A short text that a parsed regex matches."""
+    out = ""
+    for op, x in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "IN":
+            out += " " if str(x[0][0]) == "CATEGORY" else "x" if str(x[0][0]) == "NEGATE" else chr(x[0][1])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += shortest(x[2]) * x[0]
+        elif op == "SUBPATTERN":
+            out += shortest(x[3])
+        elif op == "BRANCH":
+            out += shortest(x[1][0])
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+def test_every_license_rule_has_a_text_that_fires_it(spark):
+    texts = []
+    for r in licenses.rules():
+        text = shortest(re._parser.parse(r["regex"]))
+        if r["hint"].startswith("://") and "." not in text:  # no host of its own
+            text = "https://" + text
+        assert re.fullmatch(r["regex"], text), text
+        texts += [(r["label"], text), (r["label"], f"So: {text.upper()}, see")]
+    notices = [
+        ("proprietary", "Copyright 2020 Acme Ltd. All Rights\nReserved."), ("public-domain", "It was released into the public domain."),
+        ("public-domain", "We dedicate any and all copyright interest to the\npublic domain."), ("wtfpl", "Terms: wtfpl.net"),
+        ("eupl-1.2", "see joinup.ec.europa.eu/collection/eupl for terms"),
+    ]
+    none = ["overall rights reserved", "some rights reserved", "a public domain", "all rights are reserved", "into the public domains"]
+    texts += notices + [(None, t) for t in none]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    missed = [(label, t) for i, (label, t) in enumerate(texts) if (label or "") not in got[i].labels.split(",")]
+    assert not missed
+    assert all(got[i].score > 0 for i in range(len(texts) - len(none)))
+
+
 def test_media(spark, tmp_path):
     texts = ["", None, "x", "é" * 100, "z" * 5000, "x"]
     df = with_clashes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).repartition(3)

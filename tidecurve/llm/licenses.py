@@ -1,7 +1,7 @@
 """License detection by ordered signature rules, in DataFrame functions only.
 
 Rules are regexes over lower-cased text, built from a table of licences and a few forms of mention (tag,
-address, notice, name with version, name). A document that shows no licensing word is passed over by one
+address, notice, name with version, name), and a few notices of their own wording (rights reserved, public domain). A document that shows no licensing word is passed over by one
 regex; in the others a rule runs only where its keyword stands in the text. Rules are ordered by
 priority; a detection that lies within another of the same or a better priority is suppressed (of equal
 intervals the better priority, then the earlier rule stays). All is computed within the row: no shuffle, and
@@ -72,13 +72,19 @@ proprietary | rights reserved | all rights reserved | proprietary-license
 #: Forms of mention by priority: regex around {label}, {name} or {url}; keyword that must stand in the text; confidence.
 FORMS = (
     (r"spdx-license-identifier:\s*{label}(?:-only|-or-later|\+)?(?![a-z0-9.-])", "spdx", 1.0),
-    (r"(?:https?://)?(?:www\.)?{url}", "://|www.|.org", 0.95),
+    (r"(?:https?://)?(?:www\.)?{url}", "://|www.|.org|.net|.eu", 0.95),
     (r"(?:licensed|released|distributed|available|published|provided|covered)\s+(?:only\s+)?(?:under|by)\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?{name}(?:\s+licen[cs]e)?(?![a-z0-9-])", "under| by", 0.9),
     (r"licen[cs]e\s*[:=]\s*[\x22']?{name}(?![a-z0-9-])", "licen", 0.85),
     (r"(?<![a-z0-9-]){name}\s+licen[cs]e(?![a-z0-9])", "licen", 0.7),
 )
+#: Notices that fit no form: label | keywords | regex | confidence. Their priority comes after the forms.
+NOTICES = r"""
+public-domain | public | (?<![a-z0-9])(?:released|placed|put|donated|dedicated)\s+(?:into|in|to)\s+the\s+public\s+domain(?![a-z0-9-]) | 0.9
+public-domain | public | (?<![a-z0-9])dedicate[sd]?\s+(?:[^\s.]+\s+){1,8}to\s+the\s+public\s+domain(?![a-z0-9-]) | 0.9
+proprietary | rights | (?<![a-z0-9])all\s+rights\s+reserved(?![a-z0-9]) | 0.6
+"""
 #: Any rule's text holds one of these; most documents hold none.
-GATE = r"(?i)licen[cs]e|spdx|creative ?commons|cc0|cc[- ]by|(?:gnu|apache|opensource|mozilla|eclipse|python|boost|sil|unlicense)\.org|wtfpl\.net|opendatacommons|openssl\.org|europa\.eu|(?:released|distributed|available|published|provided|covered)\s+(?:only\s+)?(?:under|by)\s"
+GATE = r"(?i)licen[cs]e|spdx|rights\s+reserved|public\s+domain|creative ?commons|cc0|cc[- ]by|(?:gnu|apache|opensource|mozilla|eclipse|python|boost|sil|unlicense)\.org|wtfpl\.net|opendatacommons|openssl\.org|europa\.eu|(?:released|distributed|available|published|provided|covered)\s+(?:only\s+)?(?:under|by)\s"
 #: Of the text as it is: capitals belong to words, as they do once they are lower-cased.
 SEP, WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
@@ -95,7 +101,10 @@ def rules() -> list[dict]:
             label, keyword, rest = (x.strip() for x in line.split(" | ", 2))
             name, _, url = rest.rpartition(" | ")
             regex = form.replace("{label}", label.replace(".", r"\.").replace("+", r"\+")).replace("{name}", f"(?:{name})").replace("{url}", url)
-            found.append({"rule": len(found), "priority": priority, "label": label, "keywords": keyword.split(",") if "{url}" not in form else [re.match(r"[a-z0-9-]+", url)[0]], "hint": hint, "regex": regex, "confidence": confidence})
+            found.append({"rule": len(found), "priority": priority, "label": label, "keywords": [label] if "{label}" in form else [re.match(r"[a-z0-9-]+", url)[0]] if "{url}" in form else keyword.split(","), "hint": hint, "regex": regex, "confidence": confidence})
+    for line in NOTICES.strip().split("\n"):
+        label, keyword, regex, confidence = (x.strip() for x in line.split(" | "))
+        found.append({"rule": len(found), "priority": len(FORMS), "label": label, "keywords": keyword.split(","), "hint": "", "regex": regex, "confidence": float(confidence)})
     return found
 
 
@@ -106,8 +115,8 @@ def _rules_column() -> Column:
 
 def detections(low: Column) -> Column:
     """array<struct<start,stop,priority,rule,label,confidence>> over lower-cased text, suppressed ones left out; by start."""
-    levels = range(len(FORMS))
-    hinted = F.array(*[F.greatest(*[F.contains(low, F.lit(x)) for x in (*hint.split("|"), hint.split("|")[0])]) for _, hint, _ in FORMS])
+    levels = range(len(FORMS) + 1)
+    hinted = F.array(*[F.greatest(*[F.contains(low, F.lit(x)) for x in (*hint.split("|"), hint.split("|")[0])]) for _, hint, _ in FORMS], F.lit(True))
     live = F.filter(_rules_column(), lambda r: F.get(hinted, r["priority"]) & F.exists(r["keywords"], lambda k: F.contains(low, k)))
     found = F.flatten(F.transform(live, lambda r: F.transform(regex_spans(low, r["regex"]), lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("less"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence")))))
     start = F.struct(*[F.lit(-1).alias(f"m{p}") for p in levels], F.expr(f"cast(array() as {KEPT})").alias("kept"))
