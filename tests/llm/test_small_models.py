@@ -67,6 +67,17 @@ def test_main_text():
     assert html_text.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
+def test_wrappers_named_after_furniture_keep_the_main_text():
+    words = "Some words of the text, a sentence that goes on for a while. " * 5
+    comments = "<div id=comments>" + f"<article class=comment-body><p>{words * 3}</p></article>" * 3 + "</div>"
+    related = "<div class=related-posts><article><p>Another one</p></article></div>"
+    for wrapper in ('class="content has-sidebar"', "class=content-sidebar-wrap", "id=with-banner"):
+        for tag in ("article", "main", "div"):
+            page = f"<body><div {wrapper}><div class=sidebar><p>Side</p></div><{tag}><p>{words}</p></{tag}>{related if tag == 'article' else ''}</div>{comments if tag == 'article' else ''}</body>"
+            assert html_text.main_text(page) == words.strip(), page
+    assert html_text.main_text(f"<body><div class=ad><p>Buy</p></div><main><article><p>{words}</p></article>{comments}</main></body>") == words.strip()
+
+
 def test_images_give_back_their_bytes():
     for data in (b"", b"x", bytes(range(256)) * 3, b"\0" * 64):
         payload, n = media.from_image(media.to_image(data))

@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density (Sun, Song and Liao, 2011).
 
 A page becomes a tree of its elements. Elements that are furniture by their meaning (menus, scripts, forms, notices,
-comments and so on) are taken out. For every other node i with C characters, T tags, LC characters
+comments and so on) are taken out. One that only its class or id names as furniture stays if it holds half of the
+text of the page's articles or more (without articles, of its main elements; without these, of the body): such
+as a wrapper "has-sidebar"; comments and related items, which may be articles too, don't. For every other node i with C characters, T tags, LC characters
 and LT tags of links, and LCb and Cb those of the body::
 
     density = C/T * log(C/LC * T/LT) / log(ln(C/(C-LC) * LC + LCb/Cb * C + e))
@@ -44,27 +46,26 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 WORDS = re.compile(r"[a-z0-9]+")
 
 
-def _furniture(tag: str, told: str, in_article: bool) -> bool:
+def _furniture(tag: str, told: str, in_article: bool) -> str:
+    """"kind" if an element is furniture by what it is, "name" if its class or id says so, or nothing."""
     if tag in FURNITURE:
-        return True
-    if tag in KEPT:
-        return False
+        return "kind"
     if tag == "header" and not in_article:
-        return True
+        return "kind"
     if not told.strip(" /"):
-        return False
+        return ""
     a = {k.lower(): x or y or z for k, x, y, z in ATTRIBUTE.findall(told)}
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "") in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
-        return True
+    if tag not in KEPT and ("hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "") in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""))):
+        return "kind"
     names = WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}".lower())
-    return any(n in NAMES or n == "header" and not in_article for n in names)
+    return "name" if any(n in NAMES or n == "header" and not in_article for n in names) else ""
 
 
 class Page:
     """The tree as columns over node numbers (parents before children) and the text runs in page order."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.out, self.article = ["html"], [-1], [False], [False]
+        self.tag, self.parent, self.out, self.article, self.named = ["html"], [-1], [False], [False], [False]
         self.runs: list[tuple[int, int, str]] = []  # node, block, text
         self.open, self.block = [0], 0
         at, n = 0, len(source)
@@ -86,6 +87,27 @@ class Page:
                 if tag in RAW and not m[3].endswith("/"):
                     close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
                     at = close.start() if close else n
+        if any(self.named):
+            self._settle()
+
+    def _settle(self) -> None:
+        """Take out what is furniture by name only, but for elements that hold half of the page's prose or more."""
+        n = len(self.tag)
+        chars = [0] * n
+        for node, _, text in self.runs:
+            chars[node] += len("".join(text.split()))
+        for prose in ("article", "main", "html"):
+            inside, held = [False] * n, [0] * n
+            for i, p in enumerate(self.parent):
+                inside[i] = p >= 0 and inside[p] or self.tag[i] == prose and not (prose == "article" and self.named[i])
+                held[i] = chars[i] if inside[i] else 0
+            for i in range(n - 1, 0, -1):
+                held[self.parent[i]] += held[i]
+            if held[0]:
+                break
+        for i, p in enumerate(self.parent):
+            self.out[i] = self.out[i] or p >= 0 and self.out[p] or self.named[i] and self.tag[i] not in KEPT and 2 * held[i] < max(held[0], 1)
+        self.runs = [r for r in self.runs if not self.out[r[0]]]
 
     def _close_to(self, depth: int) -> None:
         del self.open[depth:]
@@ -115,7 +137,9 @@ class Page:
         up = self.open[-1]
         self.tag.append(tag)
         self.parent.append(up)
-        self.out.append(self.out[up] or _furniture(tag, told, self.article[up]))
+        furniture = _furniture(tag, told, self.article[up])
+        self.out.append(self.out[up] or furniture == "kind")
+        self.named.append(furniture == "name")
         self.article.append(self.article[up] or tag in ("article", "main"))
         if tag not in VOID and not told.endswith("/"):
             self.open.append(len(self.tag) - 1)
