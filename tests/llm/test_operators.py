@@ -207,6 +207,26 @@ def test_packing(spark):
     assert packing.pack(seqs.limit(0)).count() == 0
 
 
+def test_repeated_sequences_are_ranked_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 100)
+    docs = [(None, None)] * 3000 + [(i, "w " * (i % 5)) for i in range(50)]
+    seqs = packing.sequences(spark.createDataFrame(docs, "doc_id long, text string"), window=30)
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = packing.pack(seqs, buckets=2, budget=60).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 3050 and sum(r.key is None for r in rows) == 3000
+    places = sorted((r.bucket, r.batch * max(1, 60 // max(r.bound, 1)) + r.place) for r in rows)
+    assert len(set(places)) == 3050 and all(sorted(x for b, x in places if b == k) == list(range(sum(b == k for b, _ in places))) for k in {b for b, _ in places})
+    tasks = [r.task for r in rows]
+    assert max(map(tasks.count, set(tasks))) < 1500
+
+
 def test_quality_keeps_clean_rows(spark):
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8)))

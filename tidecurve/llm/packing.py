@@ -6,8 +6,8 @@
    over it chooses at most ``buckets`` upper bounds that minimise the padding of all sequences together.
 3. Inside a bucket, sequences padded to its bound are dealt into batches of at most ``budget`` tokens.
    Places within a bucket are counted over hashed groups (their number follows the histogram's total), each
-   ranked by itself and moved by the counts of the groups before, so no task ranks a whole bucket; all batches but
-   a bucket's last are full.
+   ranked by itself and moved by the counts of the groups before, so no task ranks a whole bucket; repeated
+   sequences are ranked as counts, in pieces of their own groups. All batches but a bucket's last are full.
 
 Null and empty texts are one sequence of length 0 (in the first bucket). Rows are told apart by key, and equal keys
 by length; repeated rows are repeated sequences and get places of their own. An empty table has no buckets and gives
@@ -79,16 +79,19 @@ def sequences(docs: DataFrame, key: str = "doc_id", text: str | None = "text", l
 
 def pack(seqs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """key, part, length, bucket, bound, batch, place, padding of each sequence. batch counts within its bucket."""
-    seqs = written(seqs, "sequences")  # a few numbers for each text: the texts are read once
-    histogram = sorted(tuple(r) for r in seqs.groupBy("length").count().collect())  # at most window + 1 rows
+    seqs = written(seqs.groupBy("key", "part", "length").agg(F.count("*").alias("n")), "sequences")  # a few numbers for each text: the texts are read once
+    histogram = sorted(tuple(r) for r in seqs.groupBy("length").agg(F.sum("n")).collect())  # at most window + 1 rows
     bounds = optimal_bounds([r[0] for r in histogram], [r[1] for r in histogram], buckets)
     groups = 1 + sum(r[1] for r in histogram) // (GROUP_ROWS * max(1, len(bounds)))
     edges = F.array(*[F.lit(b) for b in bounds or [0]])
     bucket = F.size(F.filter(edges, lambda b: b < F.col("length"))).cast("int")
-    dealt = seqs.withColumn("bucket", bucket).withColumn("bound", F.get(edges, F.col("bucket"))).withColumn("grp", F.pmod(F.xxhash64("key", "part", "length"), F.lit(groups)).cast("int"))
-    sizes = dealt.groupBy("bucket", "grp").agg(F.count("*").alias("n"))
+    most = max(1, GROUP_ROWS // 16)  # repeats in one piece
+    pieces = seqs.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / most)))).withColumn("n", F.least(F.lit(most), F.col("n") - F.col("piece") * most))
+    dealt = pieces.withColumn("bucket", bucket).withColumn("bound", F.get(edges, F.col("bucket"))).withColumn("grp", F.pmod(F.xxhash64("key", "part", "length", "piece"), F.lit(groups)).cast("int"))
+    sizes = dealt.groupBy("bucket", "grp").agg(F.sum("n").alias("n"))
     before = sizes.select("bucket", "grp", (F.sum("n").over(Window.partitionBy("bucket").orderBy("grp")) - F.col("n")).alias("before"))
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "grp").orderBy("key", "part", "length")) - 1)
+    order = Window.partitionBy("bucket", "grp").orderBy("key", "part", "length", "piece").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.withColumn("first", F.sum("n").over(order) - F.col("n")).withColumn("rank", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     capacity = F.greatest(F.floor(F.lit(budget) / F.greatest(F.col("bound"), F.lit(1))), F.lit(1)).cast("long")
     place = F.col("rank") + F.col("before")
     return ranked.join(before, ["bucket", "grp"]).select(
