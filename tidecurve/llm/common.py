@@ -6,6 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table is broadcast by hand up to so many bytes in memory.
+BROADCAST_BYTES = 16_000_000
+#: Bytes of a row's fixed part and of a value of a type (strings and arrays of this library's tables: class names, line numbers).
+ROW_BYTES, WIDE_BYTES = 32, 64
 
 _OWN: dict[str, str] = {}
 
@@ -15,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a session without that
-    setting (a local test) gets a temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without that
+    setting (a test) gets a temporary folder; a cluster must name one that its machines share."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -35,4 +43,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     executors, and gives the optimizer the true size of what follows."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables that written() gave and that no frame in use reads any more: what was made of them is written too."""
+    for df in tables:
+        if path := getattr(df, "written_at", None):
+            hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            df.written_at = None
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The frame, marked for broadcast if it takes BROADCAST_BYTES at most by its rows and columns; else any join of it
+    is Spark's choice. It should be a written table: it is counted."""
+    width = ROW_BYTES + sum(WIDE_BYTES if f.dataType.typeName() in ("string", "binary", "array", "struct") else 8 for f in df.schema)
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df

@@ -1,20 +1,27 @@
 """Line deduplication by a segment-partition edit join (Li, Deng, Wang and Feng, 2011), in DataFrame functions only.
 
 Of each class of lines the first (smallest document id, then position) stays and the others go. Equal lines are one
-class, whatever their length; lines of ``FUZZY_CHARS`` code points or more join the class of any line within ``EDITS``
-insertions, deletions or replacements, and so on from line to line.
+class, whatever their length; lines of ``min_chars`` code points or more join the class of any other such line within
+``EDITS`` insertions, deletions or replacements, and so on from line to line.
 
 1. Exact copies are counted on 128-bit hashes with aggregation before the shuffle, so a line of any frequency is one row.
 2. A line of length l is cut into EDITS + 1 segments, and each is an index row (segment number, l, segment). Of two lines
    within EDITS edits the longer holds one of the other's segments near its place: for each length from l - EDITS to l the
    substrings that can be it are probed (the multi-match-aware selection). Both sides are rows of three numbers: key, line, and
    counts of seven letters, which rule out most pairs that differ in more than a few characters.
-3. Candidate pairs are verified on whole lines by a banded bit-parallel edit distance: a fold over the shorter line with the
+3. A segment that more than ``HOT`` lines index (a template, a family of variants) isn't paired as it is. Its lines get two
+   sketches of 64 bits, in which each edit flips four bits at most. First each line is compared with ``STARS`` lines of its
+   segment only, so that a family of any size costs a few pairs a line; then lines of the segment that are still in different
+   components and whose sketches allow it, in blocks of ``BLOCK`` lines. What is emitted follows the number of
+   lines, for families of true links as for templates whose variants aren't links.
+4. Candidate pairs are verified on whole lines by a banded bit-parallel edit distance: a fold over the shorter line with the
    band's vertical differences as bits of one number, after what both lines share at their ends is set aside.
-4. Links give classes (connected components), classes give each occurrence its verdict.
+5. Links give classes (connected components), classes give each occurrence its verdict. No link between classes is
+   passed over; links within a class that a shorter path already joined aren't all listed.
 
-Frequent segments are dealt anew by adaptive skew joins. Hash tables of copies and candidates are broadcast
-below ``BROADCAST_ROWS`` rows and joined by a shuffle beyond.
+Tables of copies, classes and candidates are broadcast up to ``BROADCAST_BYTES`` and joined by a shuffle beyond.
+
+Two edits turn a short line into another line altogether, so ``min_chars`` (16) is a parameter: on both ends of a link.
 
 Defined cases: a line without a word is left alone; a null text stays null and an empty one empty; rows that repeat an id and a
 text are one document and get equal results; a null id comes last; other columns are kept; an empty table stays empty.
@@ -25,19 +32,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecurve.llm.common import written
+from tidecurve.llm.common import released, small, written
 from tidecurve.llm.graph import components
 
-EDITS, FUZZY_CHARS, BROADCAST_ROWS = 2, 16, 1_000_000
+EDITS, MIN_CHARS = 2, 16
+#: Lines that index a segment beyond which it is hot; lines of it that all others are compared with first; lines in a block.
+HOT, STARS, BLOCK = 16, 4, 4096
 LETTERS = "etaonir"
 WORD = r"[^\x20\x09-\x0D]"
 
 
-def small(df: DataFrame) -> DataFrame:
-    """The frame, marked for broadcast if it has few rows. It should be a written table: it is counted."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def hashes(line: Column) -> tuple[Column, Column]:
     return F.xxhash64(line), F.xxhash64(F.lit(7), line)
 
@@ -144,18 +148,30 @@ def lines_of(docs: DataFrame, distinct: bool = False) -> DataFrame:
     return cut.select("*", h1.alias("h1"), h2.alias("h2"))
 
 
-def near_lines(docs: DataFrame, counted: DataFrame) -> DataFrame:
-    """Links a1, a2, b1, b2 (hashes of two different lines within EDITS edits). counted: h1, h2, first, n of all lines."""
-    copied = written(counted.where("n > 1").select("h1", "h2", "first"), "copied")
-    fuzzy = lines_of(docs, distinct=True).withColumn("length", F.length("line")).where(F.col("length") >= FUZZY_CHARS)
-    once = fuzzy.join(small(copied), ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("first") == F.col("key"))).withColumn("letters", letter_counts(F.col("line")))
-    keyed = written(once.select(F.col("h1").alias("id"), "letters", F.array(*index_keys(F.col("line"), F.col("length"))).alias("own"), F.array(*probe_keys(F.col("line"), F.col("length"))).alias("asked")), "keyed")
-    index = keyed.select(F.col("id").alias("a"), F.col("letters").alias("x"), F.explode("own").alias("k"))
-    probes = keyed.select(F.col("id").alias("b"), F.col("letters").alias("y"), F.explode("asked").alias("k"))
-    # Lines of one length meet in both directions, so one of them will do.
-    once_each = (F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & ~same_length(F.col("x"), F.col("y")))
-    met = index.join(probes, (index["k"] == probes["k"]) & once_each & letters_fit(F.col("x"), F.col("y")))
-    pairs = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+def sketches(line: Column) -> Column:
+    """struct(s, t): two 64-bit parities of a line's hashed pairs of neighbouring characters. A replaced character changes
+    two pairs, an inserted or deleted one takes or gives one and two: an edit flips four bits of either at most."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("t"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+    def step(acc: Column, c: Column) -> Column:
+        h, first = F.xxhash64(acc["last"], c), acc["last"].isNull()
+        flip = lambda x, n: F.when(first, acc[x]).otherwise(acc[x].bitwiseXOR(bit(F.shiftright(h, n)))).alias(x)
+        return F.struct(c.alias("last"), flip("s", 0), flip("t", 6))
+
+    return F.aggregate(characters(line), start, step, lambda acc: F.struct(acc["s"].alias("s"), acc["t"].alias("t")))
+
+
+def sketches_fit(x: str, y: str, edits: int = EDITS) -> Column:
+    apart = lambda c: F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")))
+    return (apart("s") <= 4 * edits) & (apart("t") <= 4 * edits)
+
+
+def verified(pairs: DataFrame, fuzzy: DataFrame) -> DataFrame:
+    """Of pairs a, b of line hashes the links a1, a2, b1, b2 (two hashes each). fuzzy: h1, h2, line, length."""
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    if pairs.isEmpty():
+        return pairs.select(F.col("a").alias("a1"), F.col("a").alias("a2"), F.col("b").alias("b1"), F.col("b").alias("b2"))
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "wanted")
     texts = written(fuzzy.join(small(wanted), "h1", "left_semi").groupBy("h1", "h2", "line").agg(F.max("length").alias("length")), "lines")
     left, right = (texts.select(F.col("h1").alias(x), F.col("h2").alias(f"{x}2"), F.col("length").alias(f"{x}n"), F.col("line").alias(f"{x}l")) for x in "ab")
@@ -169,49 +185,116 @@ def near_lines(docs: DataFrame, counted: DataFrame) -> DataFrame:
     both = both.withColumn("long", middle(*chosen(("al", "an"), ("bl", "bn")))).withColumn("short", middle(*chosen(("bl", "bn"), ("al", "an"))))
     # Written, as a filter would be pushed below these columns with all their expressions put in its place.
     both = written(both.select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2", "long", "short"), "middles")
-    return both.where(banded_distance(F.col("long"), F.col("short")) <= EDITS).select("a1", "a2", "b1", "b2")
+    links = written(both.where(banded_distance(F.col("long"), F.col("short")) <= EDITS).select("a1", "a2", "b1", "b2"), "links")
+    released(pairs, wanted, texts, both)
+    return links
+
 
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """a, b: every line of a hot segment with STARS lines that index it. rows: k, id, asks (a probe, not an index row), s, t."""
+    drawn = rows.where("not asks").groupBy("k").agg(*[F.min_by(F.struct("id", "s", "t"), F.xxhash64(F.lit(i), "id")).alias(f"star{i}") for i in range(STARS)])
+    met = rows.join(drawn, "k").select("id", "s", "t", F.explode(F.array(*[f"star{i}" for i in range(STARS)])).alias("star"))
+    met = met.select(F.col("id").alias("b"), F.col("s").alias("bs"), F.col("t").alias("bt"), F.col("star.id").alias("a"), F.col("star.s").alias("as"), F.col("star.t").alias("at"))
+    return met.where((F.col("a") != F.col("b")) & sketches_fit("a", "b")).select("a", "b")
 
-def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, version, pos, class, links, dropped of every line that has a copy or a near line; a class is named by two hashes."""
+
+def mixed_pairs(rows: DataFrame, block: int) -> DataFrame:
+    """a, b: lines of a hot segment in different components whose sketches allow a link; blocks of index rows meet blocks of probes."""
+    kinds = rows.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum((~F.col("asks")).cast("int")).alias("own"), F.sum(F.col("asks").cast("int")).alias("asked"))
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    kinds = kinds.where("low <> high and asked > 0").select("k", blocks("own").alias("own"), blocks("asked").alias("asked"))
+    placed = rows.join(kinds, "k").withColumn("at", F.xxhash64("id"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = lambda x, i, j: (F.col("k").alias(f"{x}k"), i.alias(f"{x}i"), j.alias(f"{x}j"), F.col("id").alias(x), F.col("component").alias(f"{x}c"), F.col("s").alias(f"{x}s"), F.col("t").alias(f"{x}t"))
+    own = placed.where("not asks").withColumn("of", each("asked")).select(*side("a", F.pmod("at", "own"), F.col("of")))
+    asked = placed.where("asks").withColumn("of", each("own")).select(*side("b", F.col("of"), F.pmod("at", "asked")))
+    same = (own["ak"] == asked["bk"]) & (own["ai"] == asked["bi"]) & (own["aj"] == asked["bj"])
+    return own.join(asked, same & (F.col("ac") != F.col("bc")) & sketches_fit("a", "b")).select("a", "b")
+
+
+def name(a: str, b: str) -> Column:
+    return F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string"))
+
+
+def line_components(links: DataFrame) -> DataFrame:
+    """node and component, both named by two hashes, of the ends of links."""
+    return components(links.select(name("a1", "a2").alias("a"), name("b1", "b2").alias("b")))
+
+
+def near_lines(docs: DataFrame, counted: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Links a1, a2, b1, b2 (hashes of two different lines within EDITS edits) that join all lines that are joined by such
+    links. counted: h1, h2, first, n of all lines."""
+    copied = written(counted.where("n > 1").select("h1", "h2", "first"), "copied")
+    fuzzy = lines_of(docs, distinct=True).withColumn("length", F.length("line")).where(F.col("length") >= min_chars)
+    once = fuzzy.join(small(copied), ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("first") == F.col("key"))).withColumn("letters", letter_counts(F.col("line")))
+    keyed = written(once.select(F.col("h1").alias("id"), "letters", F.array(*index_keys(F.col("line"), F.col("length"))).alias("own"), F.array(*probe_keys(F.col("line"), F.col("length"))).alias("asked")), "keyed")
+    hot = written(keyed.select(F.explode("own").alias("k")).groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("k"), "hot")
+    own, asked = (keyed.select("id", "letters", F.explode(c).alias("k")) for c in ("own", "asked"))
+    index = own.join(small(hot), "k", "left_anti").select(F.col("id").alias("a"), F.col("letters").alias("x"), "k")
+    probes = asked.select(F.col("id").alias("b"), F.col("letters").alias("y"), "k")
+    # Lines of one length meet in both directions, so one of them will do.
+    once_each = (F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & ~same_length(F.col("x"), F.col("y")))
+    pairs = index.join(probes, (index["k"] == probes["k"]) & once_each & letters_fit(F.col("x"), F.col("y"))).select("a", "b")
+    rows = own.join(small(hot), "k", "left_semi").select("k", "id", F.lit(False).alias("asks")).unionByName(asked.join(small(hot), "k", "left_semi").select("k", "id", F.lit(True).alias("asks")))
+    rows = written(rows.distinct(), "hot_rows")
+    if rows.isEmpty():
+        links = verified(pairs, fuzzy)
+        released(keyed, copied, hot)
+        return links
+    inside = written(rows.select(F.col("id").alias("h1")).distinct(), "hot_lines")
+    lines = fuzzy.join(small(inside), "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    lines = written(lines.select(F.col("h1").alias("id"), name("h1", "h2").alias("node"), sketches(F.col("line")).alias("both")).select("id", "node", "both.s", "both.t"), "sketches")
+    rows = written(rows.join(lines, "id"), "hot_rows")
+    links = verified(pairs.unionByName(star_pairs(rows)), fuzzy)
+    released(keyed, copied, hot)
+    rows = rows.join(small(written(line_components(links), "components")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return links.unionByName(verified(mixed_pairs(rows.drop("node"), BLOCK), fuzzy))
+
+
+def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """key, version, pos, class, size, dropped of every line that has a copy or a near line; a class is named by two
+    hashes, and size is the number of different lines in it."""
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     counted = written(lines_of(docs).groupBy("h1", "h2").agg(F.min("key").alias("first"), F.count("*").alias("n")), "counted")
-    links = written(near_lines(docs, counted), "links")
-    name = lambda a, b: F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string"))
-    groups = components(links.select(name("a1", "a2").alias("a"), name("b1", "b2").alias("b")))
-    sides = links.select(name("a1", "a2").alias("node")).unionByName(links.select(name("b1", "b2").alias("node")))
-    degree = sides.groupBy("node").agg(F.count("*").alias("links"))
-    near = groups.join(degree, "node").select("node", "component", "links")
-    known = counted.withColumn("node", name("h1", "h2")).join(small(written(near, "near")), "node", "left").where("n > 1 or component is not null")
-    known = known.withColumn("class", F.coalesce("component", "node")).select("h1", "h2", "first", "class", F.coalesce("links", F.lit(0)).alias("links"))
-    known = written(known, "known")
-    firsts = known.groupBy("class").agg(F.min("first").alias("first"))
+    near = written(line_components(near_lines(docs, counted, min_chars)), "near")
+    known = counted.withColumn("node", name("h1", "h2")).join(small(near), "node", "left").where("n > 1 or component is not null")
+    known = written(known.withColumn("class", F.coalesce("component", "node")).select("h1", "h2", "first", "class"), "known")
+    firsts = known.groupBy("class").agg(F.min("first").alias("first"), F.count("*").alias("size"))
     table = written(known.drop("first").join(firsts, "class"), "classes")
-    found = lines_of(docs).join(small(table), ["h1", "h2"]).select("key", "version", "pos", "class", "links", "first")
+    found = lines_of(docs).join(small(table), ["h1", "h2"]).select("key", "version", "pos", "class", "size", "first")
     place = F.dense_rank().over(Window.partitionBy("key", "class").orderBy("version", "pos"))
-    return found.withColumn("place", place).select("key", "version", "pos", "class", "links", (~(F.col("key").eqNullSafe(F.col("first")) & (F.col("place") == 1))).alias("dropped"))
+    return found.withColumn("place", place).select("key", "version", "pos", "class", "size", (~(F.col("key").eqNullSafe(F.col("first")) & (F.col("place") == 1))).alias("dropped"))
 
 
 def by_document(told: DataFrame) -> DataFrame:
-    """key, version, dropped (sorted line numbers), links of the documents that decisions() names."""
-    once = told.groupBy("key", "version", "pos").agg(F.max("dropped").alias("dropped"), F.max("links").alias("links"))
-    return once.groupBy("key", "version").agg(F.sort_array(F.collect_list(F.when(F.col("dropped"), F.col("pos")))).alias("dropped"), F.sum("links").alias("links"))
-
-
-def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: key, n_lines (with a word), n_dropped, n_links (of its lines), dropped (line numbers)."""
-    told = by_document(decisions(docs, key, text)).withColumnRenamed("key", "told_key")
+    """key, version, dropped (sorted line numbers), near (lines whose class holds other texts), classes (theirs and those of
+    dropped lines, sorted) of the documents that decisions() names."""
+    once = told.groupBy("key", "version", "pos").agg(F.max("dropped").alias("dropped"), F.max("size").alias("size"), F.max("class").alias("class"))
+    found = once.groupBy("key", "version").agg(
+        F.sort_array(F.collect_list(F.when(F.col("dropped"), F.col("pos")))).alias("dropped"), F.sum((F.col("size") > 1).cast("long")).alias("near"),
+        F.sort_array(F.collect_list(F.struct("pos", "class"))).alias("classes"),
+    )
+    return found.withColumn("classes", F.transform("classes", lambda c: F.concat_ws(":", c["pos"].cast("string"), c["class"])))
+
+
+def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row for each row of docs: key, n_lines (with a word), n_dropped, n_near (lines whose class holds other texts), dropped
+    (line numbers), classes (line number:class of each line that has a copy or a near line)."""
+    told = by_document(decisions(docs, key, text, min_chars)).withColumnRenamed("key", "told_key")
     t = F.coalesce(F.col(text), F.lit(""))
     n = F.size(F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))).cast("long")
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("v"), n.alias("n_lines"))
     joined = rows.join(told, rows["key"].eqNullSafe(told["told_key"]) & (rows["v"] == told["version"]), "left")
     dropped = F.coalesce("dropped", F.expr("cast(array() as array<int>)"))
-    return joined.select(F.col("key").alias(key), "n_lines", F.size(dropped).cast("long").alias("n_dropped"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.array_join(dropped.cast("array<string>"), ",").alias("dropped"))
+    return joined.select(
+        F.col("key").alias(key), "n_lines", F.size(dropped).cast("long").alias("n_dropped"), F.coalesce("near", F.lit(0)).cast("long").alias("n_near"),
+        F.array_join(dropped.cast("array<string>"), ",").alias("dropped"), F.coalesce(F.array_join("classes", ","), F.lit("")).alias("classes"),
+    )
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the dropped lines taken out of their texts; all rows and columns stay."""
-    told = written(by_document(decisions(docs, key, text)).where(F.size("dropped") > 0), "dropped").select(F.col("key").alias("__key"), F.col("version").alias("__version"), F.col("dropped").alias("__dropped"))
+    told = written(by_document(decisions(docs, key, text, min_chars)).select("key", "version", "dropped").where(F.size("dropped") > 0), "dropped").select(F.col("key").alias("__key"), F.col("version").alias("__version"), F.col("dropped").alias("__dropped"))
     joined = docs.join(small(told), docs[key].eqNullSafe(told["__key"]) & (F.xxhash64(docs[text]) == told["__version"]), "left")
     lines = F.split(docs[text], "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
