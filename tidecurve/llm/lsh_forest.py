@@ -2,19 +2,22 @@
 
 1. A pass over the texts gives each document its number of shingles, a 128-bit fingerprint of its shingle set and a
    signature of 128 min-hashes. Documents of equal sets become one class, named by its smallest id.
-2. The forest: 12 orders of the signature, each sorted over the whole corpus by a range shuffle on
+2. The forest: 12 orders of the signature, of which round one sorts six over the whole corpus by a range shuffle on
    (tree, signature in that order, id); the id splits even groups of thousands. A scan of each sorted partition takes
    the regions whose common prefix has two hashes or more and goes deeper, one hash at a time, only where a region
    holds more than ``BLOCK`` rows. Within a region the signatures say which pairs may reach the threshold.
-3. Round one: of each region a spanning forest of its likeliest pairs; those of the first trees are confirmed on full
-   shingle sets, and their components are found. Round two: over all trees, every likely pair whose ends are still
-   in different components is confirmed on full sets. So a group of thousands costs a few pairs for each member,
-   and a link that joins components isn't passed over because others were found. Round two has no sorted partitions,
-   whose boundaries cut regions: regions of several components are dealt as groups, those of more than ``BLOCK``
-   rows as blocks, where each block meets each block of the rows outside the region's largest component.
-
-A pair at the threshold of 0.75 shares two hashes in one of 12 trees with probability 0.99995, and
-its signatures agree in 58 % of 128 places at least with probability 0.999995.
+3. Round one: of each region a spanning forest of its likeliest pairs; they are confirmed on full shingle sets, and their
+   components are found. So a group of thousands costs a few pairs for each member.
+4. Round two makes the result whole: over all trees and all classes, every likely pair whose ends are still in
+   different components is compared on full sets. It has no sorted partitions, whose boundaries cut regions: regions of several
+   components are dealt as groups, large ones as blocks, where each block meets each block of the rows outside the region's
+   largest component. A group tells the rows that have a likely partner in it, the full sets of these rows are joined to
+   them, and the group is compared again on full sets by posting lists of its shingles. It emits a spanning forest
+   of its links, so no step emits all pairs: what moves follows the number of rows, for groups above the threshold
+   and for templates below it.
+
+A pair at the threshold of 0.75 shares two hashes in one of 12 trees with probability 0.99995, and its signatures agree in
+58 % of 128 places at least with probability 0.999995; round two looks at each such pair whatever the partitions are.
 
 Null, empty and blank texts have no set and link with nothing. Rows of one id are one node: they link if any of their
 texts does. A null id is no node (component null, not kept). Repeated rows get equal results; other columns are not
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecurve.llm.common import written
+from tidecurve.llm.common import released, small, written
 from tidecurve.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -40,10 +43,10 @@ STEP = HASHES // TREES  # between the first hashes of two trees
 LIKELY = 0.58
 #: Sides of a row in a group of round two.
 TOLD, ASKS, BOTH = 0, 1, 2
-#: Trees whose pairs are confirmed in round one.
+#: Trees that round one sorts and scans.
 FIRST = 6
-#: Up to so many ids are broadcast to pick documents; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows of a region that round one holds at once; shingles of the rows of a block of round two; entries of posting lists at once.
+HELD, BLOCK_SHINGLES, ENTRIES = 32_768, 1 << 20, 1 << 22
 
 _RANDOM = np.random.default_rng(20)
 _WEIGHTS = _RANDOM.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,40 +124,46 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Groups:
-    """Likely pairs from rows sorted by group; a group may go on in the next batch."""
+    """What is told of rows sorted by group; a group may go on in the next batch."""
+
+    names, most = ("tree", "a", "b"), 1 << 62
 
     def __init__(self) -> None:
-        self.pairs: list[tuple[np.ndarray, ...]] = []
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.held: list[tuple[np.ndarray, ...]] = []
 
-    def take(self, rows: tuple[np.ndarray, ...], last: bool) -> Iterator[pa.RecordBatch]:
-        """Scan the whole groups; the rows of the last one, which may go on, are held."""
+    def take(self, last: bool) -> Iterator[pa.RecordBatch]:
+        """Scan the whole groups of what is held; the rows of the last one, which may go on, stay held."""
+        rows = self.held[0] if len(self.held) == 1 else tuple(np.concatenate(x) for x in zip(*self.held, strict=True))
         n = len(rows[0])
-        starts = np.concatenate([[0], np.flatnonzero(self.changes(rows)) + 1]) if n else np.empty(0, int)
-        ends = np.concatenate([starts[1:], [n]]) if n else starts
+        starts = np.concatenate([[0], np.flatnonzero(self.changes(rows)) + 1])
+        ends = np.concatenate([starts[1:], [n]])
+        full = last or n - starts[-1] > self.most
         for k in np.flatnonzero(ends - starts > 1):
-            if last or ends[k] < n:
+            if full or ends[k] < n:
                 self.group(int(starts[k]), int(ends[k]))
-                if len(self.pairs) > 1000:
+                if len(self.found) > 1000:
                     yield from self.told()
         yield from self.told()
-        self.held = None if last or not n else tuple(x[int(starts[-1]) :].copy() for x in rows)
+        self.held = [] if last else [tuple(x[n - 1 if full else int(starts[-1]) :].copy() for x in rows)]
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        self.held = None
         for batch in batches:
-            if batch.num_rows:
-                rows = self.read(batch)
-                yield from self.take(rows if self.held is None else tuple(np.concatenate(x) for x in zip(self.held, rows, strict=True)), False)
-        if self.held is not None:
-            yield from self.take(self.held, True)
+            for at in range(0, batch.num_rows, 4096):
+                rows = self.read(batch.slice(at, 4096))
+                goes_on = bool(self.held) and not self.changes(tuple(np.concatenate([x[-1:], y]) for x, y in zip(self.held[-1], rows, strict=True))).any()
+                self.held.append(rows)
+                if not goes_on or sum(len(x[0]) for x in self.held) > self.most:  # a group that goes on is only gathered
+                    yield from self.take(False)
+        if self.held:
+            yield from self.take(True)
+        pa.default_memory_pool().release_unused()
 
     def told(self) -> Iterator[pa.RecordBatch]:
-        if self.pairs:
-            tree, a, b = (np.concatenate(x) for x in zip(*self.pairs, strict=True))
-            self.pairs = []
-            keep = a != b
-            columns = (tree[keep].astype(np.int32), np.minimum(a, b)[keep], np.maximum(a, b)[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tree", "a", "b"])
+        if self.found:
+            columns = [np.concatenate(x) for x in zip(*self.found, strict=True)]
+            self.found = []
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(self.names))
 
 
 def _bytes(column: pa.Array, dtype: str, *shape: int) -> np.ndarray:
@@ -164,6 +173,8 @@ def _bytes(column: pa.Array, dtype: str, *shape: int) -> np.ndarray:
 class Scan(Groups):
     """Spanning forests of the regions, from rows sorted by (tree, signature in the tree's order, id)."""
 
+    most = HELD
+
     def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         tree, levels, sketch, node = batch.columns
         return tree.to_numpy(), _bytes(levels, ">u2", LEVELS).astype(np.uint16), _bytes(sketch, np.uint8, HASHES), node.to_numpy()
@@ -191,7 +202,8 @@ class Scan(Groups):
                 found.append((near[at], at))
         if found:
             a, b = np.array(found).T
-            self.pairs.append((np.full(len(a), self.tree[rows[0]]), node[a], node[b]))
+            keep = node[a] != node[b]
+            self.found.append((np.full(keep.sum(), self.tree[rows[0]], np.int32), np.minimum(node[a], node[b])[keep], np.maximum(node[a], node[b])[keep]))
 
     def region(self, lo: int, hi: int, depth: int) -> None:
         if hi - lo <= BLOCK:
@@ -210,8 +222,10 @@ class Scan(Groups):
 
 
 class Meet(Groups):
-    """Every likely pair of different components, from rows sorted by (region, i, j). Of a pair, the first tree in which
-    its ends share a region tells it: ends of one region meet in one group of it at least."""
+    """The rows with a likely partner of another component in their group, from rows sorted by (region, i, j). Of a pair,
+    the first tree in which its ends share a region tells it: ends of one region meet in one group of it at least."""
+
+    names = ("region", "i", "j", "side", "node", "component")
 
     def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         region, i, j, side, sketch, heads, node, comp = batch.columns
@@ -224,19 +238,65 @@ class Meet(Groups):
     def group(self, lo: int, hi: int) -> None:
         tree, side = self.at[lo, 0] >> 32, self.side[lo:hi]
         of = lo + np.flatnonzero(side != ASKS)
-        sketch, heads, node, comp, both = self.sketch[of], self.heads[of], self.node[of], self.comp[of], side[of - lo] == BOTH
+        sketch, heads, comp, both = self.sketch[of], self.heads[of], self.comp[of], side[of - lo] == BOTH
+        wanted = np.zeros(hi - lo, bool)
         for i in lo + np.flatnonzero(side != TOLD):
             j = np.flatnonzero((comp != self.comp[i]) & (~both | (of > i)))
             j = j[np.count_nonzero(sketch[j] == self.sketch[i], axis=1) >= LIKELY * HASHES]
+            j = j[(heads[j] == self.heads[i]).all(2).argmax(1) == tree]
             if len(j):
-                j = j[(heads[j] == self.heads[i]).all(2).argmax(1) == tree]
-                self.pairs.append((np.full(len(j), tree), np.full(len(j), self.node[i]), node[j]))
+                wanted[i - lo], wanted[of[j] - lo] = True, True
+        if wanted.any():
+            k = lo + np.flatnonzero(wanted)
+            region, i, j = self.at[k].T
+            self.found.append((region, i.astype(np.int32), j.astype(np.int32), self.side[k], self.node[k], self.comp[k]))
+
+
+class Judge(Groups):
+    """Spanning forests of the links between components, from rows (region, i, j, side, node, component, hashes) sorted by group."""
+
+    names = ("a", "b")
+
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        region, i, j, side, node, comp, hashes = batch.columns
+        sets = np.empty(len(hashes), object)
+        sets[:] = [np.frombuffer(x.as_buffer(), np.uint64) for x in hashes]
+        return np.stack([region.to_numpy(), i.to_numpy(), j.to_numpy()], 1), side.to_numpy(), node.to_numpy(), comp.to_numpy(), sets
+
+    def changes(self, rows: tuple[np.ndarray, ...]) -> np.ndarray:
+        self.at, self.side, self.node, self.comp, self.sets = rows
+        return (self.at[1:] != self.at[:-1]).any(1)
+
+    def group(self, lo: int, hi: int) -> None:
+        side, node, sets = self.side[lo:hi], self.node[lo:hi], self.sets[lo:hi]
+        of, size, comp = np.flatnonzero(side != ASKS), np.array([len(x) for x in sets]), self.comp[lo:hi].copy()
+        # Posting lists: for each shingle of the rows that are asked, their places among them.
+        shingles = np.concatenate(sets[of])
+        order = np.argsort(shingles, kind="stable")
+        place = np.repeat(np.arange(len(of), dtype=np.int32), size[of])[order]
+        known, first, count = np.unique(shingles[order], return_index=True, return_counts=True)
+        for i in np.flatnonzero(side != TOLD):
+            if (comp[of] == comp[i]).all():
+                continue
+            at = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
+            at = at[known[at] == sets[i]]
+            shared = np.zeros(len(of), np.int64)
+            upto = np.cumsum(count[at])
+            for cut in np.split(at, np.flatnonzero(np.diff(upto // ENTRIES)) + 1):
+                if n := int(count[cut].sum()):
+                    lists = np.repeat(first[cut] - np.cumsum(count[cut]) + count[cut], count[cut]) + np.arange(n)
+                    shared += np.bincount(place[lists], minlength=len(of))
+            linked = (shared > 0) & (100 * shared >= PERCENT * (size[i] + size[of] - shared)) & (node[of] != node[i])
+            for j in of[linked]:
+                if comp[j] != comp[i]:
+                    self.found.append((np.array([min(node[i], node[j])]), np.array([max(node[i], node[j])])))
+                    comp[comp == comp[j]] = comp[i]
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """Rows of all trees, sorted within range partitions. classes: node, signature, sketch."""
+    """Rows of the first trees, sorted within range partitions. classes: node, signature, sketch."""
     order = F.substring(F.concat("signature", "signature"), F.col("tree") * (2 * STEP) + 1, F.lit(2 * LEVELS))
-    rows = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", order.alias("levels"), "sketch", "node")
+    rows = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(FIRST - 1))).alias("tree")).select("tree", order.alias("levels"), "sketch", "node")
     return rows.repartitionByRange("tree", "levels", "node").sortWithinPartitions("tree", "levels", "node")
 
 
@@ -244,21 +304,22 @@ def groups(classes: DataFrame) -> DataFrame:
     """Rows of the regions (tree and first hashes) that hold several components, by groups (region, i, j). Any pair of
     different components has an end outside of the region's largest component: those rows, in blocks i, ask the
     region's rows, in blocks j. A region of one block is one group, where a row may be BOTH.
-    classes: node, component, sketch, heads."""
+    classes: node, component, n_shingles, sketch, heads."""
     head = F.substring("heads", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
     region = F.col("tree").cast("long") * F.lit(1 << 32) + F.conv(F.hex(head), 16, 10).cast("long")
-    rows = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(region.alias("region"), "sketch", "heads", "node", "component")
-    kinds = rows.groupBy("region", "component").agg(F.count("*").alias("n"))
-    mixed = kinds.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    mixed = written(mixed.select("region", F.col("most.component").alias("largest"), F.when(F.col("n") > BLOCK, blocks(F.col("n") - F.col("most.n"))).otherwise(1).alias("askers"), blocks(F.col("n")).alias("blocks")), "regions")
-    if mixed.count() <= BROADCAST_IDS:
-        placed = rows.join(F.broadcast(mixed), "region")
-    else:  # of regions of more than a block there are few, and only their rows would make large groups in a shuffle
-        large = F.broadcast(mixed.where("blocks > 1"))
-        placed = rows.join(large, "region").unionByName(rows.join(large, "region", "left_anti").join(mixed.where("blocks = 1"), "region"))
+    rows = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(region.alias("region"), "sketch", "heads", "node", "component", "n_shingles")
+    several = rows.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("region")
+    several = written(several, "regions")
+    kinds = rows.join(small(several), "region", "left_semi").groupBy("region", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    mixed = kinds.groupBy("region").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "component", "w")).alias("most"))
+    blocks = lambda n, w: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(w / F.lit(BLOCK_SHINGLES)), F.lit(1)).cast("int")
+    mixed = mixed.withColumn("blocks", blocks(F.col("n"), F.col("w"))).withColumn("askers", F.when(F.col("blocks") > 1, blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w"))).otherwise(1))
+    mixed = written(mixed.select("region", F.col("most.component").alias("largest"), "askers", "blocks"), "regions")
+    # Of regions of more than a block there are few, and only their rows would make large groups in a shuffle.
+    large = mixed.where("blocks > 1")
+    placed = rows.join(small(large), "region").unionByName(rows.join(small(large), "region", "left_anti").join(small(mixed.where("blocks = 1")), "region")).drop("n_shingles")
     asks, place = F.col("component") != F.col("largest"), F.xxhash64("node", "sketch")
-    i, j = F.pmod(place, "askers").cast("int"), F.pmod(place, "blocks").cast("int")
+    i, j = F.pmod(place, "askers").cast("int"), F.pmod(F.shiftright(place, 20), "blocks").cast("int")
     to = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
     told = F.transform(F.sequence(F.lit(0), F.col("askers") - 1), lambda x: to(x, j, F.lit(TOLD)))
     asking = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: to(i, x, F.lit(ASKS)))
@@ -268,22 +329,30 @@ def groups(classes: DataFrame) -> DataFrame:
     return dealt.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
 
 
-def likely_pairs(classes: DataFrame, everything: bool) -> DataFrame:
-    """Every likely pair of different components; else spanning forests."""
-    if everything:
-        return groups(classes).mapInArrow(lambda batches: Meet().run(batches), "tree int, a long, b long")
+def likely_pairs(classes: DataFrame) -> DataFrame:
+    """Spanning forests of the likely pairs of regions: tree, a, b."""
     return forest(classes).mapInArrow(lambda batches: Scan().run(batches), "tree int, a long, b long")
 
 
+def needed(classes: DataFrame) -> DataFrame:
+    """Rows of groups() that have a likely partner of another component there."""
+    return groups(classes).mapInArrow(lambda batches: Meet().run(batches), "region long, i int, j int, side int, node long, component long")
+
+
+def judged(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links between components among the rows of needed(), confirmed on full sets (node, hashes)."""
+    placed = rows.join(sets, "node").select("region", "i", "j", "side", "node", "component", "hashes")
+    placed = placed.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
+    return placed.mapInArrow(lambda batches: Judge().run(batches), "a long, b long").distinct()
+
+
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and its shingle set as bytes, for the documents whose key is among the nodes (distinct)."""
-    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "hashes"])
 
-    return docs.join(wanted, docs["key"] == nodes["node"], "left_semi").select("key", "text").mapInArrow(run, "node long, hashes binary")
+    return docs.join(small(nodes), docs["key"] == nodes["node"], "left_semi").select("key", "text").mapInArrow(run, "node long, hashes binary")
 
 
 def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,15 +379,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     told = written(docs.mapInArrow(signed, SIGNED), "signed")
     sets = told.where("n_shingles > 0 and key is not null").groupBy("n_shingles", "high", "low", "signature", "sketch", "heads").agg(F.min("key").alias("node"))
     classes = written(sets, "classes")
-    first = written(likely_pairs(classes.select("node", "signature", "sketch"), False), "likely")
-    ends = written(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    members = shingle_sets(docs, ends)
-    links = written(confirm(first.where(F.col("tree") < FIRST).select("a", "b").distinct(), members), "links")
-    found = components(links)
-    some = classes.join(ends, "node", "left_semi").join(found, "node", "left").select("node", "sketch", "heads", F.coalesce("component", "node").alias("component"))
-    rest = written(likely_pairs(some, True).select("a", "b").distinct(), "rest")
-    more = written(confirm(rest, members), "links")
+    first = written(likely_pairs(classes.select("node", "signature", "sketch")).select("a", "b").distinct(), "likely")
+    ends = lambda pairs: written(pairs.distinct(), "ends")
+    members = written(shingle_sets(docs, ends(first.select(F.explode(F.array("a", "b")).alias("node")))), "sets")
+    links = written(confirm(first, members), "links")
+    found = written(components(links), "components")
+    parted = classes.join(small(found), "node", "left").select("node", "n_shingles", "sketch", "heads", F.coalesce("component", "node").alias("component"))
+    rows = written(needed(parted), "needed")
+    more = written(judged(rows, shingle_sets(docs, ends(rows.select("node")))), "links")
     final = components(links.unionByName(more))
+    released(first, members, links, found, rows, more)
     named = classes.join(final, "node", "left").select("n_shingles", "high", "low", "node", F.coalesce("component", "node").alias("component"))
     same = [told[c].eqNullSafe(named[c]) for c in ("n_shingles", "high", "low")]
     joined = told.join(named, same[0] & same[1] & same[2], "left").select(told["key"], told["n_shingles"], named["component"])
