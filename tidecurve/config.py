@@ -1,4 +1,4 @@
-"""Thresholds and vocabularies. Every threshold can be set by an environment variable TIDECURVE_<NAME>."""
+"""Thresholds and vocabularies. Every threshold can be set by an environment variable TIDECURVE_<NAME>, read on import."""
 
 from __future__ import annotations
 
@@ -26,6 +26,7 @@ class Thresholds:
     """Minutes, mg/dL and hours as named. unit_s: seconds in a minute (other scales serve tests on other series)."""
 
     unit_s: int = 60
+    # The defaults.
     post_window_min: int = 180
     baseline_offset_min: int = 5
     min_coverage_pct: float = 85.0
@@ -59,4 +60,4 @@ class Thresholds:
         return cls(**given)
 
 
-DEFAULT = Thresholds()
+DEFAULT = Thresholds.from_env()

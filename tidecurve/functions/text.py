@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Fixed values.
 STOPWORDS = ("de", "del", "la", "el", "los", "las", "al", "a", "en", "un", "una", "mi", "mis")
 NUMBERS = {"un": 1.0, "uno": 1.0, "una": 1.0, "dos": 2.0, "tres": 3.0, "cuatro": 4.0, "cinco": 5.0, "seis": 6.0, "medio": 0.5, "media": 0.5, "cuarto": 0.25}
 UNITS = {
-    "g": "g gr grs gramo gramos", "ml": "ml mililitro mililitros", "taza": "taza tazas", "cucharada": "cucharada cucharadas cda cdas",
-    "cucharadita": "cucharadita cucharaditas cdta cdtas", "pieza": "pieza piezas pza pzas", "rebanada": "rebanada rebanadas",
-    "porcion": "porcion porciones", "plato": "plato platos", "vaso": "vaso vasos",
+    "g": ("g", "gr", "grs", "gramo", "gramos"), "ml": ("ml", "mililitro", "mililitros"), "taza": ("taza", "tazas"),
+    "cucharada": ("cucharada", "cucharadas", "cda", "cdas"), "cucharadita": ("cucharadita", "cucharaditas", "cdta", "cdtas"),
+    "pieza": ("pieza", "piezas", "pza", "pzas"), "rebanada": ("rebanada", "rebanadas"), "porcion": ("porcion", "porciones"),
+    "plato": ("plato", "platos"), "vaso": ("vaso", "vasos"),
 }
 PREPARATIONS = {
     "frito": ("frito", "fritos", "frita", "fritas", "fritura"), "asado": ("asado", "asada", "asados", "asadas", "a la plancha", "plancha", "parrilla"),
@@ -24,12 +24,25 @@ PREPARATIONS = {
 }
 SPLIT = r"(?iU)\s*(?:,|;|\+|\||\by\b|\be\b|/)\s*"
 CONNECTOR = r"(?iU)\s+(?:con|sin|acompanado de|acompanada de|mas)\s+"
-ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõōúùûüūñçýÿ"
-PLAIN = "aaaaaaaeeeeeiiiiioooooouuuuuncyy"
+
+
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """What each lower-case character of the basic plane becomes by compatibility decomposition without marks, where it changes:
+    those that become one character, and those that become several or none. Hangul syllables stay whole."""
+    single, several = {}, {}
+    for code in (*range(0xA0, 0xAC00), *range(0xF900, 0xFFF0)):
+        c = chr(code)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if plain != c and c.lower() == c and not unicodedata.category(c).startswith("M"):
+            (single if len(plain) == 1 else several)[c] = plain
+    return single, several
+
+
+SINGLE, SEVERAL = _decompositions()
 
 
 def _unit_lookup() -> Column:
-    return F.create_map(*[x for unit, words in UNITS.items() for w in words.split() for x in (F.lit(w), F.lit(unit))])
+    return F.create_map(*[x for unit, words in UNITS.items() for w in words for x in (F.lit(w), F.lit(unit))])
 
 
 def _number_lookup() -> Column:
@@ -41,8 +54,12 @@ def squeeze(x: Column) -> Column:
 
 
 def unaccented(x: Column) -> Column:
-    """Lower case without accents for Latin letters; combining marks go."""
-    return F.translate(F.regexp_replace(F.lower(x), r"\p{M}", ""), ACCENTED, PLAIN)
+    """Lower case by full compatibility decomposition without accents: combining marks go, letters with marks, wide forms and
+    ligatures become plain ones."""
+    told = F.from_json(F.lit(json.dumps(SEVERAL)), "map<string,string>")
+    spread = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(told, c), c)), "")
+    low = F.translate(F.regexp_replace(F.lower(x), r"\p{M}", ""), "".join(SINGLE), "".join(SINGLE.values()))
+    return let(low, lambda t: F.when((F.octet_length(t) != F.length(t)) & t.rlike(f"[{''.join(SEVERAL)}]"), F.regexp_replace(spread(t), r"\p{M}", "")).otherwise(t))
 
 
 def normalize(x: Column) -> Column:
@@ -55,14 +72,6 @@ def header(x: Column) -> Column:
     return squeeze(unaccented(x))
 
 
-@F.pandas_udf(StringType())
-def normalize_exact(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """normalize() by full compatibility decomposition, for scripts beyond Latin. Slower: batches pass through Python."""
-    for t in texts:
-        bare = t.str.normalize("NFKD").str.replace(r"[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]", "", regex=True).str.lower()
-        yield bare.str.replace(r"[^\w\s]", " ", regex=True).str.replace(r"\s+", " ", regex=True).str.strip()
-
-
 def strip_stopwords(normalized: Column) -> Column:
     """Without stop words; as it was if nothing is left."""
     kept = F.array_join(F.filter(F.split(normalized, " "), lambda w: ~w.isin(*STOPWORDS) & (w != "")), " ")
@@ -90,20 +99,30 @@ def split_on_connector(x: Column) -> Column:
     return F.when(F.size(parts) > 1, parts).otherwise(F.expr("cast(array() as array<string>)"))
 
 
+# Fixed value: a number or number word, perhaps a word, the rest.
 QUANTITY = r"(?iU)^\s*(\d+(?:[.,]\d+)?|(?:" + "|".join(sorted(NUMBERS, key=len, reverse=True)) + r")\b)(?:\s*([a-zA-Zñáéíóú]+))?\s+(.+)$"
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x computed once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def quantity(x: Column) -> Column:
-    """struct(value, unit, rest): a leading number or number word; a word that is no unit stays with the rest."""
-    found = x.rlike(QUANTITY)
-    number = F.replace(F.lower(F.regexp_extract(x, QUANTITY, 1)), F.lit(","), F.lit("."))
-    value = F.coalesce(F.try_element_at(_number_lookup(), number), number.try_cast("double"))
-    word = F.lower(F.regexp_extract(x, QUANTITY, 2))
-    rest = squeeze_ends(F.regexp_extract(x, QUANTITY, 3))
-    unit = F.when(word != "", F.try_element_at(_unit_lookup(), normalize(word)))
-    rest = F.when((word != "") & unit.isNull(), F.concat_ws(" ", word, rest)).otherwise(rest)
+    """struct(value, unit, rest): a leading number or number word; a word that is no unit stays with the rest.
+
+    One match gives all three groups."""
     none = F.struct(F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"), squeeze_ends(x).alias("rest"))
-    return F.when(found & value.isNotNull(), F.struct(value.alias("value"), unit.alias("unit"), rest.alias("rest"))).otherwise(none)
+
+    def told(parts: Column) -> Column:
+        number, word, rest = F.replace(F.lower(F.get(parts, F.lit(0))), F.lit(","), F.lit(".")), F.lower(F.get(parts, F.lit(1))), squeeze_ends(F.get(parts, F.lit(2)))
+        value = F.coalesce(F.try_element_at(_number_lookup(), number), number.try_cast("double"))
+        unit = F.when(word != "", F.try_element_at(_unit_lookup(), normalize(word)))
+        known = F.struct(value.alias("value"), unit.alias("unit"))
+        named = lambda k: F.struct(k["value"].alias("value"), k["unit"].alias("unit"), F.when((word != "") & k["unit"].isNull(), F.concat_ws(" ", word, rest)).otherwise(rest).alias("rest"))
+        return F.when(F.size(parts) == 3, let(known, lambda k: F.when(k["value"].isNotNull(), named(k)).otherwise(none))).otherwise(none)
+
+    return F.when(x.isNotNull(), let(F.split(F.regexp_replace(F.translate(x, "\x01", " "), QUANTITY, "$1\x01$2\x01$3"), "\x01"), told))
 
 
 def preparation(normalized: Column) -> Column:
@@ -112,11 +131,6 @@ def preparation(normalized: Column) -> Column:
     return F.coalesce(*[F.when(normalized.rlike(rf"(?U)\b{word}\b"), name) for word, name in pairs])
 
 
-def let(x: Column, f) -> Column:
-    """f(x) with x computed once, however often f names it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def parsed_item(raw: Column) -> Column:
     """struct(raw, label, normalized, quantity_value, quantity_unit, preparation) of one item."""
 

@@ -46,6 +46,15 @@ def assembled(parts: Column, order: Column | str) -> Column:
     return F.when(fits, F.try_make_timestamp_ntz(year, month, day, parts["hour"], parts["minute"], parts["second"].cast("decimal(8,6)")))
 
 
+def wall_kind(wall: Column, zone: Column | str) -> Column:
+    """"skipped" if no instant has this wall clock in the zone (a clock was put forward), "ambiguous" if two have it, else "plain";
+    clocks move by half an hour or by an hour."""
+    local, at = wall.cast("timestamp"), to_utc(wall, zone)
+    later = [F.from_utc_timestamp(F.timestamp_add("MINUTE", F.lit(m), at), zone) == local for m in (30, 60)]
+    earlier = [F.from_utc_timestamp(F.timestamp_add("MINUTE", F.lit(-m), at), zone) == local for m in (30, 60)]
+    return F.when(F.from_utc_timestamp(at, zone) != local, "skipped").when(F.greatest(*later, *earlier), "ambiguous").otherwise(F.when(local.isNotNull(), "plain"))
+
+
 def to_utc(wall: Column, zone: Column | str) -> Column:
     """UTC instant of a local wall clock; of two the first, and a time that a gap skips moves by the gap."""
     return F.to_utc_timestamp(wall.cast("timestamp"), zone)

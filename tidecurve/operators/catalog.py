@@ -110,6 +110,13 @@ def link_report(items: DataFrame) -> DataFrame:
     return items.agg(F.count("*").alias("items"), n("auto_assigned").alias("auto_assigned"), n("needs_confirmation").alias("needs_confirmation"), n("unresolved").alias("unresolved"), F.try_divide(n("auto_assigned"), F.count("*")).alias("auto_assign_rate"))
 
 
+def suggested(items: DataFrame, aliases: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
+    """Unassigned labels (user_id, raw_label, n) with the food that their text suggests, if any, and its confidence."""
+    waiting = settled(items.where("food_id is null").groupBy("user_id", "raw_label").agg(F.count("*").alias("n")).withColumn("label_id", F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "raw_label"), 256)))
+    found = best_candidates(resolve_labels(waiting.select("label_id", "user_id", F.col("raw_label").alias("label")), aliases, cfg=cfg))
+    return waiting.join(found.select("label_id", F.col("food_id").alias("suggestion"), "confidence"), "label_id", "left").drop("label_id")
+
+
 def pending(items: DataFrame, limit: int = 50) -> DataFrame:
     """Unassigned labels, the most frequent first."""
     return items.where("food_id is null").groupBy("user_id", "raw_label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id", "raw_label").limit(limit)
@@ -136,6 +143,27 @@ def alias_table(entries: DataFrame) -> DataFrame:
     return each.withColumn("place", first).where("place = 1").select("food_id", "alias", "normalized", F.lit(None).cast("string").alias("user_id"))
 
 
+def upsert_foods(stored: DataFrame, seed: DataFrame) -> DataFrame:
+    """food_id, slug, name, category, hint, is_recipe after a seed: a known slug keeps its id and takes the seed's values, a new one gets
+    an id after the largest, in seed order; stored foods that the seed doesn't name stay."""
+    place = F.row_number().over(Window.partitionBy("slug").orderBy("seed_no"))
+    first = seed.withColumn("__place", place).where("__place = 1").select("seed_no", "slug", "name", "category", "hint", "is_recipe")
+    known = first.join(stored.select("slug", "food_id"), "slug").drop("seed_no")
+    top = stored.agg(F.coalesce(F.max("food_id"), F.lit(0)).alias("top"))
+    fresh = first.join(stored, "slug", "left_anti").crossJoin(top)  # one row: a seed is configuration
+    fresh = fresh.withColumn("food_id", F.col("top") + F.row_number().over(Window.orderBy("seed_no"))).drop("top", "seed_no")
+    columns = ["food_id", "slug", "name", "category", "hint", "is_recipe"]
+    return stored.join(first, "slug", "left_anti").select(*columns).unionByName(known.select(*columns)).unionByName(fresh.select(*columns))
+
+
+def recipe_components(seed: DataFrame, foods: DataFrame) -> DataFrame:
+    """recipe_food_id, component_food_id (null if no food has the slug), component_slug, mass_fraction of the seed's recipes."""
+    each = seed.where("is_recipe").select("slug", F.explode("components").alias("c")).select("slug", F.col("c.slug").alias("component_slug"), F.col("c.fraction").alias("mass_fraction"))
+    ids = foods.select("slug", "food_id")
+    named = each.join(ids.withColumnRenamed("food_id", "recipe_food_id"), "slug")
+    return named.join(ids.select(F.col("slug").alias("component_slug"), F.col("food_id").alias("component_food_id")), "component_slug", "left").select("recipe_food_id", "component_food_id", "component_slug", "mass_fraction")
+
+
 def recipe_sums(components: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """recipe_food_id, total, off: the sum of mass fractions of each recipe and whether it misses 1."""
     return components.groupBy("recipe_food_id").agg(F.sum("mass_fraction").alias("total")).withColumn("off", F.abs(F.col("total") - 1) > tolerance)

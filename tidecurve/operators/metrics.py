@@ -80,8 +80,8 @@ def prominent_peaks(values: Column, least: Column) -> Column:
     return F.when(n >= 3, F.size(F.filter(F.sequence(F.lit(1), n - 2), is_peak))).otherwise(0)
 
 
-def response_metrics(points: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
-    """One row for each meal with a baseline and two samples or more in [0, post]."""
+def response_metrics(points: DataFrame, cfg: Thresholds = DEFAULT, least: int = 0) -> DataFrame:
+    """One row for each meal with `least` points, a baseline and two samples or more in [0, post]."""
     by_meal = Window.partitionBy("meal_id")
     hi = -cfg.baseline_offset_min
     pre = F.when(F.col("rel").between(hi - baseline_width(F.col("resolution")), hi), F.col("value"))
@@ -107,7 +107,7 @@ def response_metrics(points: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
         over(zero, reach, time_above).alias("above"), F.sum(F.when(inner & (dt > 0), time_above(near, F.col("v2") - base, dt)).otherwise(0.0)).alias("above_post"),
         F.stddev_samp(F.when(in_post, F.col("value"))).alias("sd"), F.avg(F.when(in_post, F.col("value"))).alias("mean"), F.sort_array(F.collect_list(sample)).alias("samples"),
     )
-    got = got.where(base.isNotNull() & (F.col("n_points") >= 2)).withColumn("peak_mgdl", -F.col("peak.less")).withColumn("peak_delta_mgdl", F.col("peak_mgdl") - base)
+    got = got.where(base.isNotNull() & (F.col("n_points") >= 2) & (F.col("n_all") >= least)).withColumn("peak_mgdl", -F.col("peak.less")).withColumn("peak_delta_mgdl", F.col("peak_mgdl") - base)
     covers = lambda high: (F.col("n_all") >= 2) & (F.col("first_rel") <= 0) & (F.col("last_rel") >= high)
     delta = F.col("peak_delta_mgdl")
     values = F.transform("samples", lambda s: s["value"])

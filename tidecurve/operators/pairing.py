@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tidecurve.config import BLOCKING, DEFAULT, INFORMATIONAL, Thresholds
 from tidecurve.functions.times import minutes
 
-#: Minutes of a time bucket of the range join: about a window.
-BUCKET_MIN = 240
+#: Minutes of a time bucket of the range joins: about a window; about a sensor's life.
+BUCKET_MIN, SESSION_BUCKET_MIN = 240, 16 * 1440
 
 
 def pre_window(resolution: Column, cfg: Thresholds = DEFAULT) -> Column:
@@ -38,10 +38,20 @@ def neighbours(meals: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
     return meals.withColumn("prev_gap", minutes(F.lag("consumed_at").over(w), at, cfg.unit_s)).withColumn("next_gap", minutes(at, F.lead("consumed_at").over(w), cfg.unit_s))
 
 
-def with_session(meals: DataFrame, sessions: DataFrame) -> DataFrame:
+def _bucket(at: Column, cfg: Thresholds) -> Column:
+    return F.floor(F.unix_micros(at) / F.lit(SESSION_BUCKET_MIN * cfg.unit_s * 1_000_000)).cast("long")
+
+
+def _touched(sessions: DataFrame, low: str, high: str, cfg: Thresholds) -> DataFrame:
+    """A row of a session for each time bucket that it touches, so that a user of many sessions isn't one group."""
+    return sessions.where(F.col(low) <= F.col(high)).withColumn("__bucket", F.explode(F.sequence(_bucket(F.col(low), cfg), _bucket(F.col(high), cfg))))
+
+
+def with_session(meals: DataFrame, sessions: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
     """meals with session_id, vendor, started_at, resolution of the first session that holds the meal; null if none does."""
     s = sessions.select("session_id", "user_id", "vendor", "started_at", F.coalesce("ended_at", "started_at").alias("ended_at"), "resolution")
-    held = meals.select("meal_id", "user_id", "consumed_at").join(s, "user_id").where(F.col("consumed_at").between(F.col("started_at"), F.col("ended_at")))
+    m = meals.select("meal_id", "user_id", "consumed_at").withColumn("__bucket", _bucket(F.col("consumed_at"), cfg))
+    held = m.join(_touched(s, "started_at", "ended_at", cfg), ["user_id", "__bucket"]).where(F.col("consumed_at").between(F.col("started_at"), F.col("ended_at")))
     best = held.groupBy("meal_id").agg(F.min(F.struct("started_at", "session_id", "vendor", "resolution")).alias("s"))
     return meals.join(best, "meal_id", "left").select(*meals.columns, "s.session_id", "s.vendor", "s.started_at", "s.resolution")
 
@@ -50,9 +60,10 @@ def vendor_changed(meals: DataFrame, sessions: DataFrame, cfg: Thresholds = DEFA
     """The meals (meal_id) near which the user wore a sensor of another vendor. meals: as with_session() gives them."""
     pad = F.expr(f"make_dt_interval(0, 0, 0, {cfg.exclude_if_vendor_changed_within_h * 60 * cfg.unit_s})")
     other = sessions.select("user_id", F.col("vendor").alias("__vendor"), (F.col("started_at") - pad).alias("__from"), (F.coalesce("ended_at", "started_at") + pad).alias("__to"))
+    other = _touched(other, "__from", "__to", cfg)
     near = (F.col("__vendor") != F.col("vendor")) & F.col("consumed_at").between(F.col("__from"), F.col("__to"))
-    m = meals.select("meal_id", "user_id", "consumed_at", "vendor")
-    return m.join(other, (m["user_id"] == other["user_id"]) & near, "left_semi").select("meal_id")
+    m = meals.select("meal_id", "user_id", "consumed_at", "vendor").withColumn("__bucket", _bucket(F.col("consumed_at"), cfg))
+    return m.join(other, (m["user_id"] == other["user_id"]) & (m["__bucket"] == other["__bucket"]) & near, "left_semi").select("meal_id")
 
 
 def effective_post(next_gap: Column, cfg: Thresholds = DEFAULT) -> Column:

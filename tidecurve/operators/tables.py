@@ -5,20 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir and read again: for tiers of joins whose plans would else repeat
-    one another. A session without that setting (a local test) gets a temporary folder."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def settled_path(spark: SparkSession, name: str = "settled") -> str:
+    """A new path below spark.checkpoint.dir. A local session without that setting gets a temporary folder; a cluster
+    must name one that its machines share."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = _OWN.setdefault(spark.sparkContext.applicationId, "")
-        if not folder:
-            folder = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        folder = _OWN[app]
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: for tiers of joins whose plans would else repeat one another."""
+    path = settled_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

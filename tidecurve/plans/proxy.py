@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidecurve.config import DEFAULT
 from tidecurve.operators import signal
+from tidecurve.operators.tables import settled
 
 CFG = replace(DEFAULT, unit_s=1800)
 
@@ -76,5 +77,11 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.sessions(readings(spark, sf_dir), CFG).select("session_id", F.col("session_id").alias("user_id"), F.lit("one").alias("vendor"), "started_at", "ended_at", "resolution", "n_readings")
 
 
-def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.quality_flags(readings(spark, sf_dir), sessions(spark, sf_dir), CFG)
+def flagged(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    return signal.quality_flags(readings(spark, sf_dir), known if known is not None else sessions(spark, sf_dir), CFG)
+
+
+def settled_base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sessions and flagged readings, written once for plans that read them several times."""
+    known = settled(sessions(spark, sf_dir))
+    return known, settled(flagged(spark, sf_dir, known))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidecurve.config import COMPRESSION_LOW
 from tidecurve.operators import metrics, pairing, signal
+from tidecurve.operators.tables import settled
 from tidecurve.plans import analysis, proxy
 from tidecurve.plans.proxy import AREA, CFG, SQL, TIME, clip_sql
 
@@ -85,8 +86,8 @@ def meal_neighbours(spark, sf_dir):
     return pairing.neighbours(proxy.meals(spark, sf_dir), CFG).select("meal_id", *_r4("prev_gap", "next_gap"))
 
 
-def _placed(spark, sf_dir):
-    return analysis.placed_meals(proxy.meals(spark, sf_dir), proxy.sessions(spark, sf_dir), CFG)
+def _placed(spark, sf_dir, known=None):
+    return analysis.placed_meals(proxy.meals(spark, sf_dir), known if known is not None else settled(proxy.sessions(spark, sf_dir)), CFG)
 
 
 @query(SQL + "SELECT meal_id, session_id, resolution, post FROM n")
@@ -95,11 +96,8 @@ def session_for_meal(spark, sf_dir):
 
 
 def _points(spark, sf_dir):
-    return pairing.window_points(_placed(spark, sf_dir), proxy.flagged(spark, sf_dir), CFG)
-
-
-def _enough(points):
-    return points.withColumn("__n", F.count("*").over(metrics.Window.partitionBy("meal_id"))).where("__n >= 3").drop("__n")
+    known, flagged = proxy.settled_base(spark, sf_dir)
+    return pairing.window_points(_placed(spark, sf_dir, known), flagged, CFG)
 
 
 @query(SQL + "SELECT meal_id, resolution, post, round(rel, 4) AS rel, v AS value, flags FROM p")
@@ -128,7 +126,7 @@ def coverage_gap(spark, sf_dir):
 
 
 def _metrics(spark, sf_dir):
-    return metrics.response_metrics(_enough(_points(spark, sf_dir)), CFG)
+    return metrics.response_metrics(_points(spark, sf_dir), CFG, least=3)
 
 
 @query(SQL + "SELECT meal_id, round(peak, 4) AS peak_mgdl, round(delta, 4) AS peak_delta_mgdl, round(ttp, 4) AS time_to_peak_min, resolution > 5 AS peak_underestimated FROM ttp")
@@ -194,7 +192,7 @@ qual AS (SELECT ex.*, CASE WHEN len(ex) > 0 THEN 'excluded' WHEN len(list_filter
 
 
 def _analyzed(spark, sf_dir):
-    return analysis.analyze(proxy.meals(spark, sf_dir), proxy.sessions(spark, sf_dir), proxy.flagged(spark, sf_dir), cfg=CFG)
+    return analysis.analyze(proxy.meals(spark, sf_dir), *proxy.settled_base(spark, sf_dir), cfg=CFG)
 
 
 @query(SQL + VERDICT + "SELECT meal_id, array_to_string(ex, '|') AS exclusions, array_to_string(dg, '|') AS degradations, round(age_h, 4) AS sensor_age_hours FROM ex")

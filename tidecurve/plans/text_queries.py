@@ -68,7 +68,7 @@ def split_items(spark, sf_dir):
 
 @query(rf"""WITH t AS (SELECT l_orderkey, l_linenumber, {LABEL} AS label FROM lineitem JOIN part ON p_partkey = l_partkey),
 q AS (SELECT *, regexp_extract(label, '^\s*(\d+(?:[.,]\d+)?)(?:\s*([a-zA-Zñáéíóú]+))?\s+(.+)$', 1) AS num, lower(regexp_extract(label, '^\s*(\d+(?:[.,]\d+)?)(?:\s*([a-zA-Zñáéíóú]+))?\s+(.+)$', 2)) AS word, trim(regexp_extract(label, '^\s*(\d+(?:[.,]\d+)?)(?:\s*([a-zA-Zñáéíóú]+))?\s+(.+)$', 3)) AS rest FROM t),
-u AS (SELECT *, CASE {" ".join(f"WHEN word IN ({', '.join(repr(w) for w in words.split())}) THEN '{unit}'" for unit, words in text.UNITS.items())} END AS unit FROM q)
+u AS (SELECT *, CASE {" ".join(f"WHEN word IN ({', '.join(repr(w) for w in words)}) THEN '{unit}'" for unit, words in text.UNITS.items())} END AS unit FROM q)
 SELECT l_orderkey, l_linenumber, label, CAST(num AS DOUBLE) AS quantity_value, unit AS quantity_unit, CASE WHEN word <> '' AND unit IS NULL THEN word || ' ' || rest ELSE rest END AS rest FROM u""")
 def quantity(spark, sf_dir):
     rows = _labels(spark, sf_dir).withColumn("q", text.quantity(F.col("label")))

@@ -86,3 +86,14 @@ def confounding(mean_foods: Column) -> Column:
 def interpretation(status: Column) -> Column:
     told = {ENOUGH: "enough exposures to report what was observed; not a cause", SOME: "a tendency that shows nothing yet", LITTLE: "single observations; don't interpret"}
     return F.element_at(F.create_map(*[F.lit(x) for kv in told.items() for x in kv]), status)
+
+
+#: How a reader lists each view; a view itself has no order.
+ORDERS = {
+    "pairing_daily": ["user_id", "day_local"], "coverage_daily": ["user_id", "day_local"], "food_summary": ["user_id", "-n_exposures", "food_slug"],
+    "combination_summary": ["user_id", "-n_exposures", "food_slugs"], "catalog_coverage": ["user_id"], "meal_response": ["user_id", "-consumed_at", "meal_id"],
+}
+
+
+def ordered(rows: DataFrame, view: str) -> DataFrame:
+    return rows.orderBy(*[F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in ORDERS[view]])

@@ -31,3 +31,24 @@ def nutrients(payloads: DataFrame, key: str = "food_id", payload: str = "payload
         F.coalesce(F.nullif(F.lower(pick(n["unitName"], e["unitName"])), F.lit("")), F.lit("g")).alias("unit"),
     ).where("nutrient is not null and amount is not null")
     return rows.groupBy(key, "nutrient").agg(F.min(F.struct("pos", "amount", "unit")).alias("r")).select(key, "nutrient", "r.amount", "r.unit")
+
+
+def wanted_foods(foods: DataFrame, stored: DataFrame, limit: int | None = None, refresh: bool = False) -> DataFrame:
+    """Foods to ask a nutrient service for: with a hint, no recipe, without nutrients yet (unless refresh); in slug order, limited if asked."""
+    rows = foods.where("hint is not null and not is_recipe")
+    if not refresh:
+        rows = rows.join(stored.select("food_id").distinct(), "food_id", "left_anti")
+    rows = rows.orderBy("slug")
+    return rows if limit is None else rows.limit(limit)
+
+
+def upsert_nutrients(stored: DataFrame, found: DataFrame, source: str) -> DataFrame:
+    """food_id, nutrient, amount, unit, source: entries of a food and nutrient are replaced by those found."""
+    rows = found.withColumn("source", F.lit(source))
+    return stored.join(rows.select("food_id", "nutrient"), ["food_id", "nutrient"], "left_anti").select(*rows.columns).unionByName(rows)
+
+
+def source_map(stored: DataFrame, found: DataFrame, source: str) -> DataFrame:
+    """food_id, source, external_id: which entry of a source a food's nutrients come from. found: food_id, external_id."""
+    rows = found.select("food_id", F.lit(source).alias("source"), "external_id").distinct()
+    return stored.join(rows.select("food_id", "source"), ["food_id", "source"], "left_anti").select(*rows.columns).unionByName(rows)

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 from tidecurve.config import MMOL_TO_MGDL
 from tidecurve.functions import text
-from tidecurve.functions.times import assembled, date_parts, to_utc
+from tidecurve.functions.times import assembled, date_parts, to_utc, wall_kind
 
 # Column by the words that its header holds and doesn't hold, alternatives in order.
 COLUMNS = {
     "timestamp": [("timestamp",), ("sello", "tiempo"), ("marca", "tiempo"), ("hora", "dispositivo"), ("fecha", "-nacimiento")],
     "historic": [("historic", "glucos"), ("historico", "glucos")], "scan": [("scan", "glucos"), ("escane", "glucos")], "strip": [("strip", "glucos"), ("tira", "glucos")],
-    "serial": [("serial",), ("serie",)], "carbs_g": [("carbohydrate", "gram"), ("carbohidrato", "gramo")],
+    "serial": [("serial",), ("serie",)], "device": [("device", "-serial", "-timestamp"), ("dispositivo", "-serie", "-hora", "-tiempo")], "carbs_g": [("carbohydrate", "gram"), ("carbohidrato", "gramo")],
     "carbs_servings": [("carbohydrate", "serving"), ("carbohidrato", "racion")], "notes": [("notes",), ("notas",)],
 }
 STAMP, MAX_PREAMBLE, SNIFFED = ("timestamp", "sello de tiempo", "marca de tiempo"), 8, 8192
@@ -116,21 +116,35 @@ def parse(spark: SparkSession, path: str, zone: str, hint: str | None = None) ->
     cells = read_cells(spark, path)
     heads = headers(cells)
     at = lambda c: F.get("cells", F.col(f"c_{c}"))
-    body = cells.join(F.broadcast(heads), "path").where(F.col("row_no") > F.col("header_no")).withColumn("raw", at("timestamp"))
+    body = cells.join(heads, "path").where(F.col("row_no") > F.col("header_no")).withColumn("raw", at("timestamp"))
     orders = date_orders(body.select("path", "raw"), hint)
-    timed = body.join(F.broadcast(orders), "path").withColumn("wall", assembled(date_parts(F.col("raw")), F.col("date_order"))).where("wall is not null")
+    timed = body.join(orders, "path").withColumn("wall", assembled(date_parts(F.col("raw")), F.col("date_order"))).where("wall is not null")
     timed = timed.withColumn("ts", to_utc(F.col("wall"), zone)).withColumn("tz_offset_min", ((F.unix_micros(F.col("wall").cast("timestamp")) - F.unix_micros("ts")) / 6e7).cast("short"))
     serial = F.coalesce(F.nullif(F.trim(at("serial")), F.lit("")), F.lit("unknown"))
+    device = F.nullif(F.trim(at("device")), F.lit(""))
     factor = F.when(F.col("unit") == "mmol/L", MMOL_TO_MGDL).otherwise(1.0)
-    melted = melt(timed.withColumn("session_id", F.sha2(serial, 256)), {k: text.lenient_number(at(k)) * factor for k in ("historic", "scan", "strip")}, ["path", "ts", "tz_offset_min", "session_id"])
+    melted = melt(timed.withColumn("session_id", F.sha2(serial, 256)).withColumn("device", device), {k: text.lenient_number(at(k)) * factor for k in ("historic", "scan", "strip")}, ["path", "ts", "tz_offset_min", "session_id", "device"])
     readings = melted.withColumnRenamed("source", "source_record")
     food = timed.select("path", "ts", "tz_offset_min", text.lenient_number(at("carbs_g")).alias("carbs_grams"), text.lenient_number(at("carbs_servings")).alias("carbs_servings"), F.nullif(F.trim(at("notes")), F.lit("")).alias("note"))
     food = food.where(F.coalesce(F.col("carbs_grams").cast("string"), F.col("carbs_servings").cast("string"), "note").isNotNull())
     files = cells.groupBy("path", "content_sha256").agg(F.first("warnings").alias("warnings"), F.count("*").alias("rows")).join(heads.select("path", "header_no", "unit"), "path", "left").join(orders, "path", "left")
     problem = F.when(F.col("header_no").isNull(), "no header with a time stamp").when(F.col("how").isNull(), "no time stamp can be read").when(F.col("how") == "mixed", "two date orders in one file").when(F.col("date_order").isNull(), "the date order can't be told; name it")
+    files = files.join(zone_counts(timed, zone), "path", "left").fillna(0, ["n_ambiguous", "n_skipped"])
     return readings, food, files.withColumn("problem", problem)
 
 
+def in_order(readings: DataFrame) -> DataFrame:
+    """Readings as files list them: by session and time."""
+    return readings.orderBy("path", "session_id", "ts", "source_record", "value")
+
+
+def zone_counts(walls: DataFrame, zone: str, by: str = "path") -> DataFrame:
+    """by, n_ambiguous, n_skipped: local times (wall) that the zone has twice or not at all; to_utc() takes the first, and moves
+    skipped ones by the gap."""
+    kind = wall_kind(F.col("wall"), zone)
+    return walls.groupBy(by).agg(F.count_if(kind == "ambiguous").alias("n_ambiguous"), F.count_if(kind == "skipped").alias("n_skipped"))
+
+
 def melt(rows: DataFrame, values: dict[str, Column], keep: list[str]) -> DataFrame:
     """A row (keep..., source, value) for each value that isn't null."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("source"), v.cast("double").alias("value")) for k, v in values.items()]))

@@ -29,9 +29,17 @@ def daily_counts(stream: DataFrame, delay: str = DELAY) -> DataFrame:
 def append_readings(stream: DataFrame, path: str, checkpoint: str, schema: StructType) -> StreamingQuery:
     """Append what is new of each batch to the Parquet table at path; a batch that runs twice adds nothing the second time."""
 
+    exists: list[bool] = []
+
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        spark.createDataFrame([], schema).write.mode("append").parquet(path)  # the table exists from the first batch on
-        merge_readings(batch, spark.read.schema(schema).parquet(path)).select(*schema.names).write.mode("append").parquet(path)
+        low, high = batch.agg(F.min("ts"), F.max("ts")).first()
+        if low is None:
+            return
+        if not exists:
+            spark.createDataFrame([], schema).write.mode("append").parquet(path)  # the table exists from the first batch on
+            exists.append(True)
+        stored = spark.read.schema(schema).parquet(path).where(F.col("ts").between(low, high))  # other times' files are passed over
+        merge_readings(batch, stored).select(*schema.names).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
