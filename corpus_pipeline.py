@@ -2,8 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame; the frame is written as
 Parquet in the shared folder and read again as the next stage's docs. All but the last return the columns of documents.
-SQL can't state the stages (a forest, an edit join, a signature index, expectation-maximisation): the tests compare
-each with a brute-force version.
+SQL can't state the stages (a forest, an edit join, a signature index, expectation-maximisation): the tests compare them with
+brute-force versions, or with what their operator decides where a model is fitted.
+
+Defined cases, for each stage: a null or empty text has no words, so the quality rules reject it (of the other stages a null text
+stays null and an empty one empty); rows that repeat an id and a text are one document with equal results; rows of one id and
+different texts are judged each by its own text, but near duplicates link them as one node; a row with a null id is in no
+group and stays; other columns, also of clashing names, pass through; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecurve.llm import line_dedup, lsh_forest, packing, pii, quality
-from tidecurve.llm.common import table, written
+from tidecurve.llm.common import small, table, written
 
 ORACLE_SQL = None
 
@@ -25,7 +30,8 @@ def _measured(docs: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the forest reject go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, model).where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")  # no column of docs is taken for the verdict's
+    return quality.judge(rows, model).where("kept").select("row.*")
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group stays: the one of the smallest id."""
     gone = lsh_forest.near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     gone = written(gone, "gone")
-    return docs.join(line_dedup.small(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
