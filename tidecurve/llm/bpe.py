@@ -8,13 +8,14 @@ merge gadget for each merge a b -> c, in order of rank:
 * the new state c gets the outgoing arcs that b has at that moment;
 * every state with an arc over a at that moment gets one over c.
 
-Written out, that is a square of 50,000 x 50,000 arcs. The gadgets copy rows and columns, so an arc between x
-and y is the arc that stood in the place copied from: of the younger of the two, its last part (x) or its
-first part (y). The table is therefore filled on demand along those copies, and kept; each entry costs a few look-ups.
+Written out, that is a square of 50,000 x 50,000 arcs. It is compiled into links and exceptions instead: a copied row or
+column is a link to what it was copied from and the gadget's number, and an exception is an arc that a gadget took away
+(one or two for each merge). An arc is looked up along the links, whose number is bounded by the merges within two tokens.
 
-A pre-split word is encoded by transitions of the table over a byte trie of the vocabulary: from a position, the longest
-token whose arc exists is taken, and a position that leads nowhere is left for good (its prefix has one encoding
-only, so nothing is searched twice). Decoding emits the arcs' labels, the tokens' bytes.
+A pre-split word is encoded by table-driven transitions, in one pass without search: the bytes drive an automaton of
+the vocabulary (Aho and Corasick: a table from state and byte to state, and the tokens that end in each state). A prefix of the
+word has one correct encoding, so it has one last token: the one among those that end there whose arc exists from the last token
+of the prefix before it. The path is read back from the end. Decoding emits the arcs' labels, the tokens' bytes.
 
 Null text counts as empty (no tokens); special tokens in a text become their id, as in the tokenizers library;
 each row stands for itself, so repeated rows, ties and extra columns need no care; an empty table stays empty.
@@ -42,86 +43,109 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Arcs whose look-ups are kept.
+ARCS = 1 << 19
+
+
 class Automaton:
+    """Links and exceptions of the token automaton, the byte automaton, and the labels."""
+
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]) -> None:
         letters = byte_letters()
         self.label = {i: bytes(letters[c] for c in token) for token, i in vocab.items()}  # id: the arc's label
         self.special = special
         self.label |= {i: s.encode() for s, i in special.items()}
-        self.gone: dict[tuple[int, int], int] = {}  # arc: the gadget that took it away
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.born: dict[int, int] = {}
-        for rank, (a, b) in enumerate(merges, 1):
-            x, y, c = vocab[a], vocab[b], vocab[a + b]
-            self.gone.setdefault((x, y), rank)
-            if c not in self.born:
-                self.parts[c], self.born[c] = (x, y), rank
-                if x == y:
-                    self.gone.setdefault((x, c), rank)
-        self.arcs: dict[tuple[int, int], bool] = {}
-        # The byte trie: each token's prefixes; a prefix that is a token has an id, else -1.
-        self.trie: dict[bytes, int] = {}
-        for i, text in self.label.items():
-            if i not in special.values() and (len(text) == 1 or i in self.born):
-                for k in range(1, len(text)):
-                    self.trie.setdefault(text[:k], -1)
-                self.trie[text] = i
+        size = max(self.label) + 1
+        self.size = size
+        self.gone: dict[int, int] = {}  # exceptions: x * size + y: the gadget that took the arc away
+        self.first, self.last, self.born = [0] * size, [0] * size, [0] * size  # links: of column, of row; the gadget that made them
+        for number, (a, b) in enumerate(merges, 1):
+            self._gadget(number, vocab[a], vocab[b], vocab[a + b])
+        self.end = len(merges) + 1
+        self.known: dict[int, bool] = {}  # arcs looked up, ARCS at most
+        self._bytes({i: text for i, text in self.label.items() if i not in special.values() and (len(text) == 1 or self.born[i])})
+
+    def _gadget(self, number: int, a: int, b: int, c: int) -> None:
+        self.gone.setdefault(a * self.size + b, number)
+        if not self.born[c]:
+            self.first[c], self.last[c], self.born[c] = a, b, number
+            if a == b:
+                self.gone.setdefault(a * self.size + c, number)
+
+    def _bytes(self, tokens: dict[int, bytes]) -> None:
+        """The byte automaton. goes: for each state a table from byte to state; ends: for each state the tokens that end there
+        and their lengths, the longest first."""
+        self.goes: list[dict[int, int]] = [{}]
+        own: list[int] = [-1]
+        for i, text in tokens.items():
+            at = 0
+            for x in text:
+                to = self.goes[at].get(x)
+                if to is None:
+                    to = self.goes[at][x] = len(self.goes)
+                    self.goes.append({})
+                    own.append(-1)
+                at = to
+            own[at] = i
+        n = len(self.goes)
+        self.fails, self.ends = [0] * n, [()] * n
+        queue = list(self.goes[0].values())
+        for at in queue:  # breadth first: a state's fallback is shorter, so done before
+            fail = self.fails[at]
+            told = self.ends[fail]
+            self.ends[at] = ((own[at], len(tokens[own[at]])), *told) if own[at] >= 0 else told
+            for x, to in self.goes[at].items():
+                back = fail
+                while back and x not in self.goes[back]:
+                    back = self.fails[back]
+                self.fails[to] = self.goes[back].get(x, 0) if at else 0
+                queue.append(to)
 
     def arc(self, x: int, y: int) -> bool:
-        """Whether y may follow x, after all gadgets."""
-        if (found := self.arcs.get((x, y))) is None:
-            found = self.arcs[x, y] = self._arc(x, y, len(self.gone) + len(self.born) + 1)
-        return found
-
-    def _arc(self, x: int, y: int, before: int) -> bool:
-        """The arc as it stood before gadget number `before`: follow the copies back to the two bytes."""
+        """Whether y may follow x after all gadgets: the links lead back to two bytes or to an exception."""
+        gone, born, before = self.gone, self.born, self.end
         while True:
-            if self.gone.get((x, y), before) < before:
+            if gone.get(x * self.size + y, before) < before:
                 return False
-            p, q = self.born.get(x, 0), self.born.get(y, 0)
+            p, q = born[x], born[y]
             if not (p or q):
                 return True
             if p >= q:  # c's row was copied from its last part, as it stood then; c's own column (x = y) after it
                 if p == q:
-                    before, x, y = p, self.parts[x][1], self.parts[y][0]
-                else:
-                    before, x = p, self.parts[x][1]
+                    y = self.first[y]
+                before, x = p, self.last[x]
             else:
-                before, y = q, self.parts[y][0]
+                before, y = q, self.first[y]
 
     def word(self, text: bytes) -> tuple[int, ...]:
         """The ids of a pre-split word: the one path of the automaton that spells it."""
-        trie, n = self.trie, len(text)
-        if (whole := trie.get(text, -1)) >= 0 and n == 1:
-            return (whole,)
-        dead, path, ends, todo = set(), [], [0], [self._tokens(text, 0)]
-        while ends[-1] < n:
-            at, last = ends[-1], path[-1] if path else None
-            while todo[-1]:
-                token, stop = todo[-1].pop()
-                if stop not in dead and (last is None or self.arc(last, token)):
-                    path.append(token)
-                    ends.append(stop)
-                    todo.append(self._tokens(text, stop))
+        goes, fails, ends, known, size = self.goes, self.fails, self.ends, self.known, self.size
+        state, lasts, sizes = 0, [], []
+        for at, x in enumerate(text):
+            while (to := goes[state].get(x)) is None and state:
+                state = fails[state]
+            state = to or 0
+            for token, n in ends[state]:
+                if n > at:
+                    break
+                last = lasts[at - n]
+                if (found := known.get(last * size + token)) is None:
+                    if len(known) >= ARCS:
+                        known.clear()
+                    found = known[last * size + token] = last >= 0 and self.arc(last, token)
+                if found:
                     break
             else:
-                if not path:
-                    raise ValueError(f"no path spells {text!r}")
-                dead.add(at)
-                path.pop()
-                ends.pop()
-                todo.pop()
-        return tuple(path)
-
-    def _tokens(self, text: bytes, at: int) -> list[tuple[int, int]]:
-        """The tokens that begin at a position, the longest last."""
-        found, trie = [], self.trie
-        for stop in range(at + 1, len(text) + 1):
-            if (i := trie.get(text[at:stop])) is None:
-                break
-            if i >= 0:
-                found.append((i, stop))
-        return found
+                token, n = -1, 1
+            lasts.append(token)
+            sizes.append(n)
+        path, at = [], len(text)
+        while at:
+            if (token := lasts[at - 1]) < 0:
+                raise ValueError(f"no path spells {text!r}")
+            path.append(token)
+            at -= sizes[at - 1]
+        return tuple(reversed(path))
 
 
 def load(path: str) -> Automaton:
@@ -133,29 +157,33 @@ def load(path: str) -> Automaton:
 
 
 class Encoder:
-    """Whole texts to ids and back. Words met before are kept, up to a number of them."""
+    """Whole texts to ids and back. Words met before are kept in two generations of up to a number of them: when the
+    younger is full, the older goes and words met again pass over, so frequent words stay and memory is bounded."""
 
     def __init__(self, automaton: Automaton, keep: int = 200_000, keep_bytes: int = 64) -> None:
         self.automaton, self.keep, self.keep_bytes = automaton, keep, keep_bytes
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(automaton.special, key=len, reverse=True))) + ")") if automaton.special else None
 
+    def _word(self, word: str) -> tuple[int, ...]:
+        if (found := self.old.get(word)) is None:
+            found = self.automaton.word(word.encode("utf-8", "replace"))
+        if len(word) <= self.keep_bytes:
+            if len(self.young) >= self.keep:
+                self.young, self.old = {}, self.young
+            self.young[word] = found
+        return found
+
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
         for piece in self.cut.split(text) if self.cut and any(s in text for s in self.automaton.special) else (text,):
             if (i := self.automaton.special.get(piece)) is not None:
                 ids.append(i)
                 continue
-            known = self.known
             for word in self.split(piece):
-                if (found := known.get(word)) is None:
-                    found = self.automaton.word(word.encode("utf-8", "replace"))
-                    if len(word) <= self.keep_bytes:
-                        if len(known) >= self.keep:
-                            known.clear()
-                        known[word] = found
-                ids += found
+                ids += self.young.get(word) or self._word(word)
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -205,12 +233,13 @@ def round_trip_digest(docs: DataFrame, vocabulary: str, key: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(vocabulary)
+        shown = list(map(str, range(tool.automaton.size)))
         for batch in batches:
             n, digest, back = [], [], []
             for t in batch.column(1).to_pylist():
                 ids = tool.encode(t or "")
                 n.append(len(ids))
-                digest.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                digest.append(hashlib.sha256(",".join([shown[i] for i in ids]).encode()).hexdigest())
                 back.append(hashlib.sha256(tool.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
