@@ -25,14 +25,23 @@ def exact_candidates(labels: DataFrame, aliases: DataFrame, on: str) -> DataFram
 def fuzzy_candidates(labels: DataFrame, aliases: DataFrame, k: int = 5, cfg: Thresholds = DEFAULT) -> DataFrame:
     """label_id, food_id, confidence, method of the k best foods whose aliases are alike enough.
 
-    An equi-join on trigrams counts what two texts share, so no pair without a common trigram is looked at; equal
+    Two texts that are alike in a share s of their trigrams have one in common among the rarest of each (all but s of a text's, and
+    one more), so the join is on those and frequent trigrams are no hot keys; texts of too different sizes don't meet. Equal
     labels are compared once. Ties: the smaller alias first."""
     names = labels.select("normalized").distinct().withColumn("grams", text.trigrams(F.col("normalized")))
     known = aliases.select(F.col("normalized").alias("alias")).distinct().withColumn("grams", text.trigrams(F.col("alias")))
-    left = names.select("normalized", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    right = known.select("alias", F.size("grams").alias("m"), F.explode("grams").alias("g"))
-    alike = left.join(right, "g").groupBy("normalized", "n", "alias", "m").agg(F.count("*").alias("both"))
-    alike = alike.withColumn("sim", F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).where(F.col("sim").cast("float") >= cfg.suggest_min_similarity)
+    often = known.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("often"))
+    least = cfg.suggest_min_similarity - 1e-6  # similarities are compared as single precision below
+
+    def rarest(texts: DataFrame, name: str, own: str) -> DataFrame:
+        each = texts.select(name, F.size("grams").alias("size"), F.explode("grams").alias("g")).join(often, "g", "left")
+        held = each.groupBy(name, "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "g"))).alias("order"))
+        some = F.slice("order", 1, F.col("size") - F.ceil(F.col("size") * least).cast("int") + 1)
+        return held.select(name, F.transform("order", lambda o: o["g"]).alias(own), F.explode(some).alias("o")).select(name, own, F.col("o.g").alias("g"))
+
+    n, m = F.size("a"), F.size("b")
+    pairs = rarest(names, "normalized", "a").join(rarest(known, "alias", "b"), "g").where((m >= n * least) & (n >= m * least)).dropDuplicates(["normalized", "alias"])
+    alike = pairs.select("normalized", "alias", text.similarity(F.col("a"), F.col("b")).alias("sim")).where(F.col("sim").cast("float") >= cfg.suggest_min_similarity)
     met = labels.join(alike, "normalized").join(aliases.select("food_id", F.col("normalized").alias("alias"), F.col("user_id").alias("__owner")), "alias")
     met = met.where(F.col("__owner").isNull() | (F.col("__owner") == F.col("user_id")))
     by_label = Window.partitionBy("label_id").orderBy(F.desc("sim"), "alias", "food_id")

@@ -96,11 +96,10 @@ def date_orders(stamps: DataFrame, hint: str | None = None) -> DataFrame:
     gaps = both.withColumn("gap", F.when(F.col("t").isNotNull(), (F.unix_micros("t") - F.unix_micros(F.lag("t").over(w))) / 6e7))
     small = F.when((F.col("gap") > 0) & (F.col("gap") <= 60), F.col("gap"))
     s = gaps.groupBy("path", "ord").agg(
-        F.count("*").alias("all"), F.count("t").alias("n"), F.count("gap").alias("n_gaps"), F.count(small).alias("n_small"), F.sort_array(F.collect_list(small)).alias("steps"),
+        F.count("*").alias("all"), F.count("t").alias("n"), F.count("gap").alias("n_gaps"), F.count(small).alias("n_small"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN gap > 0 AND gap <= 60 THEN gap END DESC)").alias("typical"),  # the upper median
         ((F.unix_micros(F.max("t")) - F.unix_micros(F.min("t"))) / 6e7).alias("span"),
     )
-    typical = F.get("steps", F.floor(F.col("n_small") / 2).cast("int"))
-    density = F.least(F.lit(1.0), F.col("n") / (F.col("span") / typical + 1))
+    density = F.least(F.lit(1.0), F.col("n") / (F.col("span") / F.col("typical") + 1))
     score = F.greatest(F.lit(0.0), 0.4 * F.try_divide("n_small", "n_gaps") + 0.6 * density - (F.col("all") - F.col("n")) / F.col("all"))
     scored = s.withColumn("score", F.when((F.col("n") >= 3) & (F.col("n_small") > 0), score).otherwise(0.0))
     scores = scored.groupBy("path").agg(F.max(F.when(F.col("ord") == "DMY", F.col("score"))).alias("dmy"), F.max(F.when(F.col("ord") == "MDY", F.col("score"))).alias("mdy"))
