@@ -1,8 +1,8 @@
 """License detection by ordered signature rules, in DataFrame functions only.
 
-Rules are regexes over lower-cased text, built from a table of licences and a few forms of mention (tag,
-address, notice, name with version, name), and a few notices of their own wording (rights reserved, public domain). A document that shows no licensing word is passed over by one
-regex; in the others a rule runs only where its keyword stands in the text. Rules are ordered by
+Rules are regexes over lower-cased text: hand-written wordings of notices and licence texts, and a table of licences by a
+few forms of mention (tag, address, notice, name with version, name). A document without a licensing word is passed over; in the
+others a rule runs only where its keywords stand in the text. Rules are ordered by
 priority; a detection that lies within another of the same or a better priority is suppressed (of equal
 intervals the better priority, then the earlier rule stays). All is computed within the row: no shuffle, and
 repeated rows or ids need no care.
@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecurve.llm.spans import regex_spans
+from tidecurve.llm.spans import anchored, spans_of
 
 #: Label | keywords (one of them stands in any text with the name) | name as a regex | address as a regex. Labels are SPDX short names in lower case.
 LICENCES = r"""
@@ -67,7 +67,6 @@ cc-by-nd-4.0 | cc by,cc-by,creative commons | (?:cc[ -]by[ -]nd|creative commons
 cc-by-nc-sa-4.0 | cc by,cc-by,creative commons | (?:cc[ -]by[ -]nc[ -]sa|creative commons attribution[ -]non-?commercial[ -]share ?alike)[ -](?:international )?4\.0 | creativecommons\.org/licenses/by-nc-sa/4\.0
 cc-by-nc-nd-4.0 | cc by,cc-by,creative commons | (?:cc[ -]by[ -]nc[ -]nd|creative commons attribution[ -]non-?commercial[ -]no ?deriv(?:ative)?s)[ -](?:international )?4\.0 | creativecommons\.org/licenses/by-nc-nd/4\.0
 public-domain | public domain | public domain | creativecommons\.org/publicdomain/mark
-proprietary | rights reserved | all rights reserved | proprietary-license
 """
 #: Forms of mention by priority: regex around {label}, {name} or {url}; keyword that must stand in the text; confidence.
 FORMS = (
@@ -77,48 +76,191 @@ FORMS = (
     (r"licen[cs]e\s*[:=]\s*[\x22']?{name}(?![a-z0-9-])", "licen", 0.85),
     (r"(?<![a-z0-9-]){name}\s+licen[cs]e(?![a-z0-9])", "licen", 0.7),
 )
-#: Notices that fit no form: label | keywords | regex | confidence. Their priority comes after the forms.
-NOTICES = r"""
-public-domain | public | (?<![a-z0-9])(?:released|placed|put|donated|dedicated)\s+(?:into|in|to)\s+the\s+public\s+domain(?![a-z0-9-]) | 0.9
-public-domain | public | (?<![a-z0-9])dedicate[sd]?\s+(?:[^\s.]+\s+){1,8}to\s+the\s+public\s+domain(?![a-z0-9-]) | 0.9
-proprietary | rights | (?<![a-z0-9])all\s+rights\s+reserved(?![a-z0-9]) | 0.6
+#: Rules of their own wording: label | keyword that must stand in the text | regex | confidence. Spaces in a regex are any white
+#: space. Their priority comes before names and after tags, addresses and notices.
+WORDINGS = r"""
+mit | hereby granted | permission is hereby granted, free of charge, to any person obtaining a copy of this software | 0.95
+mit | permission notice | the above copyright notice and this permission notice shall be included in all copies | 0.95
+mit-0 | furnished | to permit persons to whom the software is furnished to do so\. | 0.6
+isc | with or without fee | permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided | 0.95
+0bsd | with or without fee | permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\. | 0.95
+hpnd | without fee | permission to use, copy, modify,? and distribute this software and its documentation for any purpose(?: and)? without fee is hereby granted | 0.9
+bsd | redistribution and use | redistribution and use in source and binary forms,? with or without modification,? are permitted | 0.9
+bsd-3-clause | endorse or promote | neither the names? of (?:[^\s.;]+ ){1,12}?nor the names of (?:[^\s.;]+ ){1,6}?may be used to endorse or promote products derived from this software | 0.95
+bsd-4-clause | advertising materials | all advertising materials mentioning features or use of this software must display | 0.95
+bsd | bsd | bsd[- ]style licen[cs]e | 0.8
+bsd | bsd | licen[cs]e ?[:=] ?[\x22']?bsd(?![a-z0-9-]) | 0.85
+bsd | bsd | (?:under|by) (?:the |a )?(?:terms of the )?bsd(?: licen[cs]e)?(?![a-z0-9-]) | 0.85
+bsd | bsd | (?<![a-z0-9-])bsd licen[cs]e | 0.7
+apache-2.0 | apache | apache licen[cs]e,? version 2(?:\.0)?(?![0-9.]*[0-9]) | 0.9
+apache-2.0 | apache | apache licen[cs]e,? v?2\.0(?![0-9]) | 0.9
+apache-2.0 | apache | apache-2\.0(?![0-9]) | 0.85
+apache-2.0 | applicable | unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an | 0.95
+apache-2.0 | in compliance | you may not use this file except in compliance with the license | 0.9
+apache-2.0 | perpetual, worldwide | hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license | 0.9
+apache-1.1 | apache software foundation | this product includes software developed by the apache software foundation | 0.7
+gpl-1.0 | general public | gnu general public license as published by the free software foundation[,;:]? (?:either )?version 1(?![.0-9]) | 0.95
+gpl-2.0 | general public | gnu general public license as published by the free software foundation[,;:]? (?:either )?version 2(?![.0-9]) | 0.95
+gpl-3.0 | general public | gnu general public license as published by the free software foundation[,;:]? (?:either )?version 3(?![.0-9]) | 0.95
+gpl-2.0 | general public | gnu general public license,? (?:version |v)2(?:\.0)?(?![.0-9]) | 0.9
+gpl-3.0 | general public | gnu general public license,? (?:version |v)3(?:\.0)?(?![.0-9]) | 0.9
+gpl-2.0 | general public | gnu general public license version 2, june 1991 | 0.95
+gpl-3.0 | general public | gnu general public license version 3, 29 june 2007 | 0.95
+gpl-2.0 | gpl | (?<![a-z0-9])(?:gnu )?gpl[- ]?v?2(?:\.0)?(?![a-z0-9.]) | 0.75
+gpl-3.0 | gpl | (?<![a-z0-9])(?:gnu )?gpl[- ]?v?3(?:\.0)?(?![a-z0-9.]) | 0.75
+gpl | a copy of the gnu | you should have received a copy of the gnu general public license | 0.9
+gpl | free software | this program is free software[;:,] you can redistribute it and/or modify it under the terms of the gnu general public license | 0.9
+gpl | licen | licen[cs]e ?[:=] ?[\x22']?(?:gnu )?gpl(?![a-z0-9-]) | 0.8
+lgpl-2.0 | library general | gnu library general public license as published by the free software foundation[,;:]? (?:either )?version 2(?![.0-9]) | 0.95
+lgpl-2.1 | lesser general | gnu lesser general public license as published by the free software foundation[,;:]? (?:either )?version 2\.1 | 0.95
+lgpl-3.0 | lesser general | gnu lesser general public license as published by the free software foundation[,;:]? (?:either )?version 3(?![.0-9]) | 0.95
+lgpl-2.1 | lesser general | (?:gnu )?lesser general public license,? (?:version |v)2\.1 | 0.9
+lgpl-3.0 | lesser general | (?:gnu )?lesser general public license,? (?:version |v)3(?:\.0)?(?![.0-9]) | 0.9
+lgpl-2.1 | lgpl | (?<![a-z0-9])lgpl[- ]?v?2\.1 | 0.75
+lgpl-3.0 | lgpl | (?<![a-z0-9])lgpl[- ]?v?3(?:\.0)?(?![a-z0-9.]) | 0.75
+lgpl | a copy of the gnu | you should have received a copy of the gnu (?:lesser|library) general public license | 0.9
+lgpl | lesser general | (?:under )?the terms of the gnu lesser general public license | 0.8
+agpl-3.0 | affero | gnu affero general public license as published by the free software foundation[,;:]? (?:either )?version 3(?![.0-9]) | 0.95
+agpl-3.0 | affero | (?:gnu )?affero general public license,? (?:version |v)3(?:\.0)? | 0.9
+agpl | a copy of the gnu | you should have received a copy of the gnu affero general public license | 0.9
+gfdl | free documentation | permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license | 0.95
+gfdl-1.3 | free documentation | gnu free documentation license,? (?:version |v)1\.3 | 0.95
+gfdl-1.2 | free documentation | gnu free documentation license,? (?:version |v)1\.2 | 0.95
+mpl-2.0 | mozilla | this source code form is subject to the terms of the mozilla public license,? v\. ?2\.0 | 0.95
+mpl-1.1 | mozilla | subject to the mozilla public license version 1\.1 | 0.95
+mpl-2.0 | mozilla | mozilla public license,? (?:version |v\. ?|v)?2\.0 | 0.9
+epl-1.0 | eclipse | this program and the accompanying materials are made available under the terms of the eclipse public license v1\.0 | 0.95
+epl-2.0 | eclipse | eclipse public license,? (?:version |v\. ?|v)?2\.0 | 0.9
+cddl-1.0 | common development | common development and distribution license,? (?:\(the \x22license\x22\)|version 1\.0) | 0.85
+zlib | origin of this software | the origin of this software must not be misrepresented; you must not claim | 0.95
+zlib | express or implied warranty | this software is provided ['\x22`]as-is['\x22`]?,? without any express or implied warranty | 0.7
+bsl-1.0 | boost | boost software license[ ,-]{1,3}version 1\.0 | 0.95
+bsl-1.0 | organization | permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation | 0.95
+artistic-2.0 | artistic | the artistic license 2\.0 | 0.95
+artistic-1.0 | artistic | under the (?:terms of the )?artistic license(?! 2) | 0.75
+unlicense | unencumbered | this is free and unencumbered software released into the public domain | 0.95
+unlicense | anyone | anyone is free to copy, modify, publish, use, compile, sell, or distribute this software | 0.95
+wtfpl | what the fuck you want | everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed\. do what the fuck you want | 0.9
+ofl-1.1 | open font | this font software is licensed under the sil open font license,? version 1\.1 | 0.95
+ofl-1.1 | font software | permission is hereby granted, free of charge, to any person obtaining a copy of the font software | 0.95
+psf-2.0 | psf | psf hereby grants licensee a nonexclusive, royalty-free, world-wide license | 0.9
+openssl | openssl | this product includes software developed by the openssl project | 0.9
+ms-pl | microsoft | microsoft public license \(ms-pl\) | 0.95
+ms-rl | microsoft | microsoft reciprocal license \(ms-rl\) | 0.95
+eupl-1.2 | european union | european union public licen[cs]e,? (?:v\.? ?|version )1\.2 | 0.95
+mulan-2.0 | mulan | mulan permissive software license,? (?:v|version )2 | 0.9
+busl-1.1 | business source | business source license,? (?:v|version )?1\.1 | 0.9
+sspl-1.0 | server side | server side public license,? (?:v|version )1 | 0.9
+elastic-2.0 | elastic | elastic license,? (?:v|version )?2(?:\.0)? | 0.9
+json | good, not evil | the software shall be used for good, not evil | 0.95
+beerware | beer-ware | the beer-ware license | 0.95
+cc0-1.0 | creative commons | creative commons cc0 1\.0 universal | 0.95
+cc0-1.0 | waived all copyright | has waived all copyright and related or neighboring rights | 0.9
+cc-by-4.0 | creative commons | creative commons attribution 4\.0(?: international)?(?: public)? | 0.95
+cc-by-3.0 | creative commons | creative commons attribution 3\.0(?: unported)? | 0.95
+cc-by-2.0 | creative commons | creative commons attribution 2\.0(?: generic)? | 0.95
+cc-by-sa-4.0 | creative commons | creative commons attribution[- ]share ?-?alike 4\.0(?: international)? | 0.95
+cc-by-sa-3.0 | creative commons | creative commons attribution[- ]share ?-?alike 3\.0(?: unported)? | 0.95
+cc-by-nd-4.0 | creative commons | creative commons attribution[- ]no ?-?deriv(?:ative)?s 4\.0(?: international)? | 0.95
+cc-by-nc-4.0 | creative commons | creative commons attribution[- ]non-?commercial 4\.0(?: international)? | 0.95
+cc-by-nc-3.0 | creative commons | creative commons attribution[- ]non-?commercial 3\.0(?: unported)? | 0.95
+cc-by-nc-sa-4.0 | creative commons | creative commons attribution[- ]non-?commercial[- ]share ?-?alike 4\.0(?: international)? | 0.95
+cc-by-nc-sa-3.0 | creative commons | creative commons attribution[- ]non-?commercial[- ]share ?-?alike 3\.0(?: unported)? | 0.95
+cc-by-nc-nd-4.0 | creative commons | creative commons attribution[- ]non-?commercial[- ]no ?-?deriv(?:ative)?s 4\.0(?: international)? | 0.95
+cc-by-sa | cc | (?<![a-z0-9])cc[- ]by-sa(?![a-z0-9-]) | 0.7
+cc-by-nc | cc | (?<![a-z0-9])cc[- ]by-nc(?![a-z0-9-]) | 0.7
+cc-by-nc-sa | cc | (?<![a-z0-9])cc[- ]by-nc-sa(?![a-z0-9]) | 0.75
+cc-by-nc-nd | cc | (?<![a-z0-9])cc[- ]by-nc-nd(?![a-z0-9]) | 0.75
+creative-commons | creative commons | creative commons licen[cs]e | 0.6
+odbl-1.0 | open database | open database license \(odbl\) | 0.95
+mit | mit | (?<![a-z0-9-])mit(?=\s?(?:/|or|and)\s?(?:the\s)?(?:apache|bsd|gpl|lgpl)) | 0.85
+apache-2.0 | apache | (?<![a-z0-9-])apache(?:[- ]2\.0)?(?=\s?(?:/|or|and)\s?(?:the\s)?mit(?![a-z0-9])) | 0.85
+bsd | bsd | (?<![a-z0-9-])bsd(?=\s?(?:/|or|and)\s?(?:the\s)?(?:mit|apache|gpl)(?![a-z0-9])) | 0.8
+gpl | gpl | (?<![a-z0-9-])gpl(?=\s?(?:/|or|and)\s?(?:the\s)?(?:mit|apache|bsd)(?![a-z0-9])) | 0.8
+mit | mit | (?:(?<=apache/)|(?<=2\.0/)|(?<=bsd/)|(?<=gpl/)|(?<=apache\sor\s)|(?<=2\.0\sor\s)|(?<=bsd\sor\s)|(?<=gpl\sor\s))mit(?![a-z0-9-]) | 0.85
+apache-2.0 | apache | (?:(?<=mit/)|(?<=mit\sor\s)|(?<=mit\sand\s))apache(?:[- ]2\.0)?(?![a-z0-9]) | 0.85
+bsd | bsd | (?:(?<=mit/)|(?<=mit\sor\s)|(?<=mit\sand\s)|(?<=apache/)|(?<=gpl/))bsd(?![a-z0-9-]) | 0.8
+gpl | gpl | (?:(?<=mit/)|(?<=mit\sor\s)|(?<=bsd/)|(?<=bsd\sor\s)|(?<=artistic/))gpl(?![a-z0-9-]) | 0.8
+dual | dual | dual[- ]licen[cs]ed | 0.6
+proprietary | rights | (?<![a-z0-9])all rights reserved(?![a-z0-9]) | 0.6
+proprietary | proprietary | (?:is |are |this )(?:confidential and )?proprietary (?:and confidential|software|information) | 0.7
+proprietary | unauthori | unauthori[sz]ed (?:copying|use|reproduction|distribution) (?:[^\s.]+ ){0,8}is (?:strictly )?prohibited | 0.8
+proprietary | prior written | may not be (?:reproduced|copied|distributed)(?: [^\s.]+){0,10} without (?:the )?(?:express )?prior written (?:permission|consent) | 0.7
+proprietary | end user | end[- ]user licen[cs]e agreement | 0.7
+public-domain | public | (?<![a-z0-9])(?:released|placed|put|donated|dedicated) (?:into|in|to) the public domain(?![a-z0-9-]) | 0.9
+public-domain | public | (?<![a-z0-9])dedicate[sd]? (?:[^\s.]+ ){1,8}to the public domain(?![a-z0-9-]) | 0.9
+public-domain | no known | no known copyright restrictions | 0.8
 """
-#: Any rule's text holds one of these; most documents hold none.
-GATE = r"(?i)licen[cs]e|spdx|rights\s+reserved|public\s+domain|creative ?commons|cc0|cc[- ]by|(?:gnu|apache|opensource|mozilla|eclipse|python|boost|sil|unlicense)\.org|wtfpl\.net|opendatacommons|openssl\.org|europa\.eu|(?:released|distributed|available|published|provided|covered)\s+(?:only\s+)?(?:under|by)\s"
-#: Of the text as it is: capitals belong to words, as they do once they are lower-cased.
-SEP, WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Any rule's text holds one of these; many documents hold none.
+GATES = (
+    "licen", "right", "software", "domain", "creative", "cc", "gpl", "apache", "bsd", ".org", "wtfpl", "europa.eu", "redistribution",
+    "released", "distributed", "available", "published", "provided", "covered", "proprietary", "unauthori", "prior",
+)
+#: Words and what stands between them; these classes are one or two look-ups a character.
+WORD, SEP = r"[\p{Alnum}\x{80}-\x{10FFFF}]+", r"[\x00-\x7F&&[^\p{Alnum}]]+"
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 KEPT = "array<struct<start:int,stop:int,priority:int,rule:int,label:string,confidence:double>>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Forms before the wordings in priority.
+BEFORE = 3
+
+
+def spaced(regex: str) -> str:
+    """The regex with any white space for its spaces."""
+    out, inside = "", False
+    for x in regex.replace(" ?", "\x00"):
+        inside = x == "[" or inside and x != "]"
+        out += r"\s*" if x == "\x00" else (r"\s" if inside else r"\s+") if x == " " else x
+    return out
 
 
 def rules() -> list[dict]:
-    """The ordered rules: rule number, priority, label, keywords, regex, confidence."""
+    """The ordered rules: rule number, priority, label, keywords (in each all words of one of some phrases), regex, confidence."""
     found = []
     for priority, (form, hint, confidence) in enumerate(FORMS):
         for line in LICENCES.strip().split("\n"):
             label, keyword, rest = (x.strip() for x in line.split(" | ", 2))
             name, _, url = rest.rpartition(" | ")
-            regex = form.replace("{label}", label.replace(".", r"\.").replace("+", r"\+")).replace("{name}", f"(?:{name})").replace("{url}", url)
-            found.append({"rule": len(found), "priority": priority, "label": label, "keywords": [label] if "{label}" in form else [re.match(r"[a-z0-9-]+", url)[0]] if "{url}" in form else keyword.split(","), "hint": hint, "regex": regex, "confidence": confidence})
-    for line in NOTICES.strip().split("\n"):
+            regex = form.replace("{label}", re.escape(label)).replace("{name}", f"(?:{spaced(name)})").replace("{url}", url)
+            known = [label] if "{label}" in form else [re.match(r"[a-z0-9-]+", url)[0]] if "{url}" in form else keyword.split(",")
+            found.append({"priority": priority + (priority >= BEFORE), "label": label, "keywords": [hint.split("|"), known], "regex": regex, "confidence": confidence})
+    for line in WORDINGS.strip().split("\n"):
         label, keyword, regex, confidence = (x.strip() for x in line.split(" | "))
-        found.append({"rule": len(found), "priority": len(FORMS), "label": label, "keywords": keyword.split(","), "hint": "", "regex": regex, "confidence": float(confidence)})
-    return found
+        found.append({"priority": BEFORE, "label": label, "keywords": [[keyword]], "regex": spaced(regex), "confidence": float(confidence)})
+    return [{"rule": i} | r for i, r in enumerate(sorted(found, key=lambda r: r["priority"]))]
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _rules_column() -> Column:
-    q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return F.expr("array(" + ",".join(f"named_struct('rule',{r['rule']},'priority',{r['priority']},'label',{q(r['label'])},'keywords',array({','.join(map(q, r['keywords']))}),'regex',{q(r['regex'])},'confidence',{r['confidence']}d)" for r in rules()) + ")")
+def _gate(low: str, rule: dict) -> str:
+    """SQL: whether the text holds the rule's keywords: of each list a phrase, all words of it somewhere."""
+    held = lambda phrase: " AND ".join(f"contains({low}, {_quoted(w)})" for w in phrase.split()) or "true"
+    return " AND ".join("(" + " OR ".join(f"({held(x)})" for x in phrases) + ")" for phrases in rule["keywords"])
 
 
-def detections(low: Column) -> Column:
-    """array<struct<start,stop,priority,rule,label,confidence>> over lower-cased text, suppressed ones left out; by start."""
+def matched(low: str) -> Column:
+    """array<struct<rule,whole,gaps>> of the rules that match a column of lower-cased text: all matches with the gaps before them.
+
+    Each rule's regex is a literal of the plan, compiled once in a task, behind its keywords and a plain match; keywords that
+    rules share are looked for once in a text."""
+    low = f"`{low}`"
+    live = (f"CASE WHEN {_gate(low, r)} AND {low} RLIKE {_quoted(r['regex'])} THEN named_struct('rule', {r['rule']}, 'whole', regexp_extract_all({low}, {_quoted(full := anchored(r['regex']))}, 0), 'gaps', regexp_extract_all({low}, {_quoted(full)}, 1)) END" for r in rules())
+    return F.expr(f"array_compact(array({', '.join(live)}))")
+
+
+def detections(matches: Column) -> Column:
+    """array<struct<start,stop,priority,rule,label,confidence>> of what matched() gives, suppressed ones left out; by start."""
     levels = range(len(FORMS) + 1)
-    hinted = F.array(*[F.greatest(*[F.contains(low, F.lit(x)) for x in (*hint.split("|"), hint.split("|")[0])]) for _, hint, _ in FORMS], F.lit(True))
-    live = F.filter(_rules_column(), lambda r: F.get(hinted, r["priority"]) & F.exists(r["keywords"], lambda k: F.contains(low, k)))
-    found = F.flatten(F.transform(live, lambda r: F.transform(regex_spans(low, r["regex"]), lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("less"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence")))))
+    known = F.expr("array(" + ",".join(f"named_struct('priority', {r['priority']}, 'label', {_quoted(r['label'])}, 'confidence', {r['confidence']}d)" for r in rules()) + ")")
+
+    def told(x: Column) -> Column:
+        r = F.get(known, x["rule"])
+        return F.transform(spans_of(x["whole"], x["gaps"]), lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("less"), r["priority"].alias("priority"), x["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence")))
+
+    found = F.flatten(F.transform(matches, told))
     start = F.struct(*[F.lit(-1).alias(f"m{p}") for p in levels], F.expr(f"cast(array() as {KEPT})").alias("kept"))
 
     def step(acc: Column, d: Column) -> Column:
@@ -134,9 +276,12 @@ def detections(low: Column) -> Column:
 
 def detect(docs: DataFrame, text: str = "text", out: str = "detections") -> DataFrame:
     """docs and a column of its license detections."""
-    low = f"{out}__low"  # a column of its own, so that it is computed once and not for each rule
-    gated = docs.withColumn(low, F.when(F.col(text).rlike(GATE), F.translate(text, UPPER, LOWER)))
-    return gated.withColumn(out, F.when(F.col(low).isNull(), F.expr(f"cast(array() as {KEPT})")).otherwise(detections(F.col(low)))).drop(low)
+    low, live = f"{out}__low", f"{out}__live"  # columns of their own, so that each is computed once
+    plain = docs.withColumn(low, F.lower(text))  # lower-cases more than A-Z, so it holds every gate that the text has
+    gate = " OR ".join(f"contains(`{low}`, {_quoted(g)})" for g in GATES)
+    lowered = plain.withColumn(low, F.when(F.expr(gate), F.translate(text, UPPER, LOWER)))
+    found = lowered.withColumn(live, F.when(F.col(low).isNotNull(), matched(low)))
+    return found.withColumn(out, F.when(F.col(live).isNull(), F.expr(f"cast(array() as {KEPT})")).otherwise(detections(F.col(live)))).drop(low, live)
 
 
 def phrase_places(norm: Column, n_words: Column) -> Column:
@@ -156,7 +301,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     base = docs.select(F.col(key).alias("key"), given.alias("text"))
     base = base.withColumn("n_words", F.regexp_count("text", F.lit(WORD)).cast("long"))
     starts, seconds = ("|".join(dict.fromkeys(p.split()[i] for p in PHRASES)) for i in (0, 1))
-    base = base.withColumn("norm", F.when(F.col("text").rlike(rf"(?i)(?:{starts}){SEP}(?:{seconds})"), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("text", UPPER, LOWER), SEP, " ")), F.lit(" "))).otherwise(" "))
+    low = F.lower("text")  # of the phrases each holds one of two words
+    base = base.withColumn("low", F.when(F.contains(low, F.lit("license")) | F.contains(low, F.lit("cc")), F.translate("text", UPPER, LOWER)))
+    base = base.withColumn("norm", F.when(F.col("low").rlike(rf"(?:{starts}){SEP}(?:{seconds})"), F.concat(F.lit(" "), F.trim(F.regexp_replace("low", SEP, " ")), F.lit(" "))).otherwise(" "))
     base = base.withColumn("places", F.when(F.col("norm") == " ", F.expr("cast(array() as array<struct<label:string,n:bigint,first:bigint,last:bigint>>)")).otherwise(phrase_places(F.col("norm"), F.col("n_words"))))
     found = detect(base)
     base_labels = F.transform("places", lambda p: p["label"])
