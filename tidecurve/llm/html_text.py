@@ -10,12 +10,14 @@ and LT tags of links, and LCb and Cb those of the body::
 
 (zero counts as one in denominators; the base of the logarithm is e at least, so that pages without
 links are defined). The node whose children's densities have the largest sum heads the main text; the threshold is the least
-density on the path from the body to it. An enclosing article that reaches the threshold is taken whole,
-and where there is none, sibling blocks of the chosen node's ancestors that reach it belong to the text also.
+density on the path from the body to it. An article (or main element) around it is taken whole, the widest first, if it is as
+dense as the least dense element between it and the body; without such, sibling blocks of the chosen node's
+ancestors that reach the threshold belong to the text also.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed in
 page order. Null or empty html gives an empty text and 0; a page of furniture only gives an empty text;
-unclosed and misnested tags are closed as needed; each row stands for itself; other columns are not read.
+unclosed and misnested tags are closed as needed; a tag that the page's end cuts is dropped; the time follows a page's length
+whatever its markup is; each row stands for itself; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+|[^>]*+)>", re.S)
+#: The start of a comment, a declaration or a tag; what ends a tag or opens a quoted value within it.
+OPENS, NEXT = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))"), re.compile(r">|=\s*([\x22'])")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s'\">]+)))?")
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,11 +42,13 @@ FURNITURE = frozenset("nav aside footer form button select option input label fi
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status".split())
 #: Words in class or id that name furniture.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice notices gdpr popup modal overlay footer masthead comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations newsletter subscribe subscription signup login widget widgets pagination pager toolbar skip banner alert".split())
+#: Words that may stand beside those in one class or id: "site-footer" is furniture, "has-sidebar" and "related-work" aren't.
+BESIDE = frozenset("site page main global top bottom left right primary secondary box area wrapper container list section block bar link links item items post posts story stories body inner outer heading title text thread form button buttons icon icons unit slot panel row col group js header".split())
 KEPT = frozenset("html body main article".split())
 #: Starting one of these ends an open one of those within the same block.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "body": set()}
-WORDS = re.compile(r"[a-z0-9]+")
+WORDS, HUMP = re.compile(r"[a-z]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def _furniture(tag: str, told: str, in_article: bool) -> str:
@@ -57,8 +62,11 @@ def _furniture(tag: str, told: str, in_article: bool) -> str:
     a = {k.lower(): x or y or z for k, x, y, z in ATTRIBUTE.findall(told)}
     if tag not in KEPT and ("hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "") in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""))):
         return "kind"
-    names = WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}".lower())
-    return "name" if any(n in NAMES or n == "header" and not in_article for n in names) else ""
+    for token in f"{a.get('class', '')} {a.get('id', '')}".split():
+        words = WORDS.findall(HUMP.sub("-", token).lower())
+        if any(w in NAMES or w == "header" and not in_article for w in words) and all(w in NAMES or w in BESIDE for w in words):
+            return "name"
+    return ""
 
 
 class Page:
@@ -68,28 +76,54 @@ class Page:
         self.tag, self.parent, self.out, self.article, self.named = ["html"], [-1], [False], [False], [False]
         self.runs: list[tuple[int, int, str]] = []  # node, block, text
         self.open, self.block = [0], 0
+        self.at: dict[str, list[int]] = {}  # tag: depths of its open elements
+        self.blocks: list[int] = []  # depths of open blocks
         at, n = 0, len(source)
-        while at < n:
-            m = TAG.search(source, at)
-            stop = m.start() if m else n
-            if stop > at and not self.out[self.open[-1]]:
-                self.runs.append((self.open[-1], self.block, html.unescape(source[at:stop])))
-            if not m:
-                break
-            at = m.end()
-            if m[2] is None:
+        for what, start, stop in self._tokens(source):
+            if start > at and not self.out[self.open[-1]]:
+                self.runs.append((self.open[-1], self.block, html.unescape(source[at:start])))
+            at = stop
+            if what is None:
                 continue
-            tag = m[2].lower()
-            if m[1]:
+            tag = what[4].lower()
+            if what[3]:
                 self._end(tag)
             else:
-                self._start(tag, m[3])
-                if tag in RAW and not m[3].endswith("/"):
+                told = source[what.end() : stop - 1]
+                self._start(tag, told)
+                if tag in RAW and not told.endswith("/"):
                     close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
-                    at = close.start() if close else n
+                    at = self.to = close.start() if close else n
+        if at < n and not self.out[self.open[-1]]:
+            self.runs.append((self.open[-1], self.block, html.unescape(source[at:])))
         if any(self.named):
             self._settle()
 
+    def _tokens(self, source: str) -> Iterator[tuple[re.Match | None, int, int]]:
+        """Tags (or None for comments and declarations), their starts and ends. Each part of a page is passed once or twice:
+        what a search doesn't find before the end isn't searched again. A tag that the page's end cuts is dropped."""
+        self.to, n, lone = 0, len(source), set()
+        while m := OPENS.search(source, self.to):
+            if m[1]:
+                close = source.find("-->", m.end())
+                self.to = close + 3 if close >= 0 else n
+                yield None, m.start(), self.to
+                continue
+            if m[2]:
+                close = source.find(">", m.end())
+                self.to = close + 1 if close >= 0 else n
+                yield None, m.start(), self.to
+                continue
+            at = m.end()
+            while (x := NEXT.search(source, at)) and x[1]:
+                quote = x[1]
+                close = -1 if quote in lone else source.find(quote, x.end())
+                if close < 0:  # no such quote follows: it is a character like others
+                    lone.add(quote)
+                at = close + 1 or x.end()
+            self.to = x.end() if x else n
+            yield (m if x else None), m.start(), self.to
+
     def _settle(self) -> None:
         """Take out what is furniture by name only, but for elements that hold half of the page's prose or more."""
         n = len(self.tag)
@@ -110,26 +144,22 @@ class Page:
         self.runs = [r for r in self.runs if not self.out[r[0]]]
 
     def _close_to(self, depth: int) -> None:
-        del self.open[depth:]
+        while len(self.open) > depth:
+            self.at[self.tag[self.open.pop()]].pop()
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+
+    def _deepest(self, tags: set[str]) -> int:
+        """Depth of the innermost open element of some tags; 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
     def _start(self, tag: str, told: str) -> None:
         if tag in BLOCK or tag == "body":
             self.block += 1
-            for depth in range(len(self.open) - 1, 0, -1):  # a block ends an open paragraph
-                name = self.tag[self.open[depth]]
-                if name == "p":
-                    self._close_to(depth)
-                    break
-                if name in BLOCK:
-                    break
-        if tag in ENDS:
-            for depth in range(len(self.open) - 1, 0, -1):
-                name = self.tag[self.open[depth]]
-                if name in ENDS[tag]:
-                    self._close_to(depth)
-                    break
-                if name in SCOPE[tag]:
-                    break
+            if self.blocks and self.tag[self.open[self.blocks[-1]]] == "p":  # a block ends an open paragraph
+                self._close_to(self.blocks[-1])
+        if tag in ENDS and (depth := self._deepest(ENDS[tag])) > self._deepest(SCOPE[tag]):
+            self._close_to(depth)
         if tag == "html":
             return
         if tag == "br" and not self.out[self.open[-1]]:
@@ -142,18 +172,17 @@ class Page:
         self.named.append(furniture == "name")
         self.article.append(self.article[up] or tag in ("article", "main"))
         if tag not in VOID and not told.endswith("/"):
+            self.at.setdefault(tag, []).append(len(self.open))
+            if tag in BLOCK:
+                self.blocks.append(len(self.open))
             self.open.append(len(self.tag) - 1)
 
     def _end(self, tag: str) -> None:
         if tag in BLOCK:
             self.block += 1
-        for depth in range(len(self.open) - 1, 0, -1):
-            name = self.tag[self.open[depth]]
-            if name == tag:
-                self._close_to(depth)
-                return
-            if tag not in BLOCK and name in BLOCK:  # an inline end tag doesn't reach out of its block
-                return
+        depth = self._deepest({tag})
+        if depth and (tag in BLOCK or not self.blocks or self.blocks[-1] < depth):  # an inline end tag doesn't reach out of its block
+            self._close_to(depth)
 
     def main_nodes(self) -> set[int] | None:
         """Heads of the subtrees that are the main text; None if there is none."""
@@ -186,9 +215,12 @@ class Page:
         while self.parent[path[-1]] >= 0:
             path.append(self.parent[path[-1]])
         least = min(density[i] for i in path if self.tag[i] != "html" or len(path) == 1)
-        wide = [i for i in path if self.tag[i] in ("article", "main") and density[i] >= least]
-        if wide:
-            return {wide[-1]}
+        # An article is whole if it is as dense as what surrounds it is somewhere; else its parts are chosen as others are.
+        around = math.inf
+        for i in reversed(path):
+            if self.tag[i] in ("article", "main") and (density[i] >= around or around == math.inf):
+                return {i}
+            around = min(around, density[i]) if self.tag[i] != "html" else around
         up = set(path)
         heads = {head} if total[head] else {0}
         return heads | {i for i in range(n) if self.parent[i] in up and i not in up and self.parent[i] != head and not self.out[i] and self.tag[i] in BLOCK and density[i] >= least}
