@@ -9,7 +9,8 @@ from tidecurve.llm.common import table
 
 
 def op1_packing(spark, sf_dir):
-    return packing.pack(packing.sequences(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
+    packed = packing.pack(packing.sequences(table(spark, sf_dir, "documents")))
+    return packed.withColumnRenamed("key", "doc_id").withColumn("start", F.col("part") * packing.WINDOW)
 
 
 def op2_pii(spark, sf_dir):
@@ -32,7 +33,7 @@ def op3_quality(spark, sf_dir):
 
 def op4_chat(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    more = spark.sql(f"SELECT CAST(id AS LONG) AS conv_id, CAST(turn AS LONG) AS turn, role, text FROM VALUES (-7, 0, 'user', '{said}'), (-7, 1, 'assistant', '{said}') AS t(id, turn, role, text)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     chats = chat.format_chat(turns.withColumn("parts", chat.text_part(F.col("text"))))
     back = chats.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_spans")))
@@ -83,13 +84,86 @@ def op9_minhash(spark, sf_dir):
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: All pairs that share a shingle, over classes of equal sets; components by reachability.
+SQL_op9_minhash = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w),
+c AS (SELECT s, min(doc_id) AS node, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+g AS (SELECT node, n, unnest(s) AS x FROM c),
+links AS (SELECT a.node AS a, b.node AS b FROM g a JOIN g b ON a.x = b.x AND a.node <> b.node GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT node, node AS reach FROM c UNION SELECT links.b, r.reach FROM r JOIN links ON links.a = r.node),
+k AS (SELECT node, min(reach) AS component FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(k.component, s.doc_id) AS component_id, s.doc_id = coalesce(k.component, s.doc_id) AS kept
+FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN k ON k.node = c.node
+"""
+
+
 def op10_media(spark, sf_dir):
     return media.media_column(table(spark, sf_dir, "documents"))
 
 
+def pii_base(spark, sf_dir):
+    """The base counts of op2_pii, which SQL can state."""
+    return op2_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+SQL_pii_base = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS e, regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') AS i,
+  list_transform(regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS c, list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS p FROM t)
+SELECT doc_id, CAST(len(e) AS BIGINT) AS n_email,
+  CAST(len(list_filter(i, lambda x: len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 OR CAST('0' || right(ltrim(y, '0'), 3) AS INT) > 255)) = 0)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(c, lambda x: length(x) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda k: CASE WHEN (length(x) - k) % 2 = 0 THEN CAST(x[k] AS INT)
+    ELSE CASE WHEN CAST(x[k] AS INT) > 4 THEN 2 * CAST(x[k] AS INT) - 9 ELSE 2 * CAST(x[k] AS INT) END END)) % 10 = 0)) AS BIGINT) AS n_card,
+  CAST(len(list_filter(p, lambda x: length(x) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone FROM m
+"""
+
+
+def quality_base(spark, sf_dir):
+    """The base rules of op3_quality, which SQL can state."""
+    return op3_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+SQL_quality_base = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM tri),
+rep AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM c WHERE n >= 2) GROUP BY 1),
+ln AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(ln.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(w) AS base_failed FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)
+"""
+
+
+def licenses_base(spark, sf_dir):
+    """The base phrases of op8_licenses, which SQL can state."""
+    return op8_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+SQL_licenses_base = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, i - 1 AS spot, CASE WHEN w[i] = 'gnu' AND w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license' THEN 'gpl' WHEN w[i] = 'apache' AND w[i + 1] = 'license' THEN 'apache'
+  WHEN w[i] = 'cc' AND w[i + 1] = 'by' THEN 'cc-by' WHEN w[i] = 'mit' AND w[i + 1] = 'license' THEN 'mit' END AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+g AS (SELECT doc_id, count(*) AS n, min(spot) AS lo, max(spot) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p WHERE label IS NOT NULL GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN g USING (doc_id)
+"""
+
+
+def media_payload(spark, sf_dir):
+    """The payload columns of op10_media, which SQL can state."""
+    return op10_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+SQL_media_payload = r"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), n AS (SELECT *, octet_length(b) AS n, greatest(1, (octet_length(b) + 63) // 64) * 64 AS size FROM t)
+SELECT doc_id, n AS n_bytes, CAST(size AS BIGINT) AS payload_bytes, sha256(b || unhex(repeat('00', CAST(size - n AS BIGINT)))) AS payload_sha256 FROM n
+"""
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if callable(f) and (k.startswith("op") or f"SQL_{k}" in globals())}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k.removeprefix("SQL_"): v for k, v in globals().items() if k.startswith("SQL_op")}
+    return {k.removeprefix("SQL_"): v for k, v in globals().items() if k.startswith("SQL_")}
