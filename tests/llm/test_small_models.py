@@ -84,9 +84,12 @@ def test_names_beside_furniture_words():
     for kept in ("related-work", "page-no-banner", "layout-with-sidebar", "download", "headers-of-http"):
         page = f"<body><article><div class='{kept}'><p>Some words here</p></div><p>{'More words of the text. ' * 20}</p></article></body>"
         assert html_text.main_text(page).startswith("Some words here\nMore"), kept
-    for gone in ("site-footer", "adBanner", "comment-list", "related-posts", "cookie-notice", "main-nav", "x sidebar"):
+    for gone in ("site-footer", "adBanner", "comment-list", "user-comments", "related-posts", "cookie-notice", "main-nav", "x sidebar"):
         page = f"<body><article><div class='{gone}'><p>Some words here</p></div><p>{'More words of the text. ' * 20}</p></article></body>"
         assert html_text.main_text(page).startswith("More"), gone
+    body = "<p>" + "More words of the text. " * 20 + "</p>"
+    page = f"<body><div class='site-header'><p>Site</p></div><div class=text><div class='article-header'><h1>The title of the text</h1></div>{body}</div></body>"
+    assert html_text.main_text(page).startswith("The title of the text\nMore")
 
 
 def test_time_follows_the_length_whatever_the_markup():

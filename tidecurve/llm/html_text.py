@@ -43,7 +43,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Words in class or id that name furniture.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice notices gdpr popup modal overlay footer masthead comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations newsletter subscribe subscription signup login widget widgets pagination pager toolbar skip banner alert".split())
 #: Words that may stand beside those in one class or id: "site-footer" is furniture, "has-sidebar" and "related-work" aren't.
-BESIDE = frozenset("site page main global top bottom left right primary secondary box area wrapper container list section block bar link links item items post posts story stories body inner outer heading title text thread form button buttons icon icons unit slot panel row col group js header".split())
+BESIDE = frozenset("site page main global top bottom left right primary secondary box area wrapper container list section block bar link links item items post posts story stories body inner outer heading title text thread form button buttons icon icons unit slot panel row col group js header user reader readers visitor article blog fb facebook twitter web mobile desktop sticky fixed horizontal vertical mega dropdown toggle mini small large inline more also latest recent popular trending view show all count policy".split())
+#: With these a header is the site's, not an article's.
+SITE = frozenset("header site page main global top web mobile desktop sticky fixed primary wrapper container inner bar".split())
 KEPT = frozenset("html body main article".split())
 #: Starting one of these ends an open one of those within the same block.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -64,7 +66,7 @@ def _furniture(tag: str, told: str, in_article: bool) -> str:
         return "kind"
     for token in f"{a.get('class', '')} {a.get('id', '')}".split():
         words = WORDS.findall(HUMP.sub("-", token).lower())
-        if any(w in NAMES or w == "header" and not in_article for w in words) and all(w in NAMES or w in BESIDE for w in words):
+        if any(w in NAMES for w in words) and all(w in NAMES or w in BESIDE for w in words) or not in_article and "header" in words and SITE.issuperset(words):
             return "name"
     return ""
 
