@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.types import IntegralType
 
 from tidecurve.llm.common import fresh_path
 
@@ -82,6 +83,10 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: Members in one batch of an archive's index.
+INDEXED = 4096
+
+
 @dataclass
 class Archived(WriterCommitMessage):
     name: str
@@ -112,7 +117,7 @@ class ArchiveWriter(DataSourceArrowWriter):
             out.write(bytes(1024))
         members = pa.table({"key": pa.array(index[0], pa.int64()), "offset": pa.array(index[1], pa.int64()), "size": pa.array(index[2], pa.int64())})
         with store.open_output_stream(f"{root}/{name}.index") as out, pa.ipc.new_file(out, members.schema) as sink:
-            sink.write_table(members)
+            sink.write_table(members, max_chunksize=INDEXED)
         return Archived(name, at + 1024, len(index[0]))
 
     def commit(self, messages: list[Archived]) -> None:
@@ -165,15 +170,29 @@ class ArchiveReader(DataSourceReader):
                 time.sleep(0.05 * attempt)
         return source, None, error
 
+    def members(self, store, path: str, partition: ByteRange) -> Iterator[tuple[int, int, int]]:
+        """key, offset and size of the members that begin in a range. The index is in the order of offsets, in batches of
+        INDEXED: the first one is found by halving, and only those of the range are read."""
+        with store.open_input_file(path) as f:
+            index = pa.ipc.open_file(f)
+            low, high = 0, index.num_record_batches
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if index.get_batch(middle)["offset"][0].as_py() <= partition.low else (low, middle)
+            for i in range(low, index.num_record_batches):
+                batch = index.get_batch(i)
+                for key, offset, size in zip(*(batch[c].to_pylist() for c in ("key", "offset", "size")), strict=True):
+                    if offset >= partition.high:
+                        return
+                    yield key, offset, size
+
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.int64()), ("media", pa.binary()), ("error", pa.string())])
         if not partition.name:
             return
         store, root = _open(self.path)
         path, source, rows, held = f"{root}/{partition.name}", None, [], 0
-        with store.open_input_file(f"{path}.index") as f:
-            index = pa.ipc.open_file(f).read_all()
-        for key, offset, size in zip(*(index[c].to_pylist() for c in ("key", "offset", "size")), strict=True):
+        for key, offset, size in self.members(store, f"{path}.index", partition):
             if partition.low <= offset < partition.high:
                 source, media, error = self.member(store, path, source, offset, size)
                 rows.append((key, media, error))
@@ -201,7 +220,9 @@ class MediaArchive(DataSource):
 
 
 def store_media(df: DataFrame, path: str, key: str = "doc_id", payload: str = "text") -> None:
-    """Write (key, payload) as archives under path. payload: a string (as UTF-8) or binary column."""
+    """Write (key, payload) as archives under path. key: an integer; payload: a string (as UTF-8) or binary column."""
+    if not isinstance(df.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} is no integer column")
     df.sparkSession.dataSource.register(MediaArchive)
     df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload")).write.format("media_archive").mode("append").save(path)
 
