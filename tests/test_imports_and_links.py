@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidecurve.config import Thresholds
 from tidecurve.functions import text, times
 from tidecurve.operators import catalog, upsert
-from tidecurve.plans import catalogue, views
+from tidecurve.plans import catalogue, link_queries, views
 from tidecurve.sources import seed, sensor_csv, synthetic
 
 SF = "/root/testdata/sf0.001"
@@ -25,7 +25,7 @@ def plain(v):
     return (None if math.isnan(v) else round(v, 6)) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+@pytest.mark.parametrize("name", ["verdict", "iauc", "quantity", "trigram_fuzzy", *sorted(link_queries.SQLS)])
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
     con.execute("SET timezone = 'UTC'")

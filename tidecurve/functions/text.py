@@ -57,9 +57,12 @@ def unaccented(x: Column) -> Column:
     """Lower case by full compatibility decomposition without accents: combining marks go, letters with marks, wide forms and
     ligatures become plain ones."""
     told = F.from_json(F.lit(json.dumps(SEVERAL)), "map<string,string>")
+    singles = lambda t: F.translate(t, "".join(SINGLE), "".join(SINGLE.values()))
     spread = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(told, c), c)), "")
-    low = F.translate(F.regexp_replace(F.lower(x), r"\p{M}", ""), "".join(SINGLE), "".join(SINGLE.values()))
-    return let(low, lambda t: F.when((F.octet_length(t) != F.length(t)) & t.rlike(f"[{''.join(SEVERAL)}]"), F.regexp_replace(spread(t), r"\p{M}", "")).otherwise(t))
+    # One pass replaces letters by letters and marks those that become several; few texts hold one of them.
+    quick = lambda t: F.translate(t, "".join([*SINGLE, *SEVERAL]), "".join(SINGLE.values()) + "\x01" * len(SEVERAL))
+    bare = F.regexp_replace(F.lower(x), r"\p{M}", "")
+    return let(bare, lambda b: let(quick(b), lambda t: F.when(F.contains(t, F.lit("\x01")), F.regexp_replace(singles(spread(b)), r"\p{M}", "")).otherwise(t)))
 
 
 def normalize(x: Column) -> Column:
@@ -117,7 +120,7 @@ def quantity(x: Column) -> Column:
     def told(parts: Column) -> Column:
         number, word, rest = F.replace(F.lower(F.get(parts, F.lit(0))), F.lit(","), F.lit(".")), F.lower(F.get(parts, F.lit(1))), squeeze_ends(F.get(parts, F.lit(2)))
         value = F.coalesce(F.try_element_at(_number_lookup(), number), number.try_cast("double"))
-        unit = F.when(word != "", F.try_element_at(_unit_lookup(), normalize(word)))
+        unit = F.when(word != "", F.try_element_at(_unit_lookup(), F.translate(word, "ñáéíóú", "naeiou")))
         known = F.struct(value.alias("value"), unit.alias("unit"))
         named = lambda k: F.struct(k["value"].alias("value"), k["unit"].alias("unit"), F.when((word != "") & k["unit"].isNull(), F.concat_ws(" ", word, rest)).otherwise(rest).alias("rest"))
         return F.when(F.size(parts) == 3, let(known, lambda k: F.when(k["value"].isNotNull(), named(k)).otherwise(none))).otherwise(none)
