@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +65,19 @@ def small(df: DataFrame) -> DataFrame:
     is Spark's choice. It should be a written table: it is counted."""
     width = ROW_BYTES + sum(WIDE_BYTES if f.dataType.typeName() in ("string", "binary", "array", "struct") else 8 for f in df.schema)
     return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that what is made of one is small; what Arrow holds unused at the end goes back."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
+def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit numbers with their bits mixed (a finalizer without collisions)."""
+    x = x + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

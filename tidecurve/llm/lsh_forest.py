@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecurve.llm.common import released, small, written
+from tidecurve.llm.common import mixed, parts, released, small, written
 from tidecurve.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -68,13 +68,6 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def _mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    x = x + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a whole text."""
     words = (text or "").encode("utf-8", "replace").lower().split()
@@ -86,7 +79,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     total = np.zeros(n - k + 1, np.uint64)
     for i in range(k):
         total += h[i : n - k + 1 + i] * _WEIGHTS[i]
-    return np.unique(_mixed(total, k % SHINGLE))
+    return np.unique(mixed(total, k % SHINGLE))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -94,15 +87,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     least = np.full(HASHES, 2**64 - 1, np.uint64)
     for at in range(0, len(hashes), 2048):
         np.minimum(least, (hashes[at : at + 2048, None] * _A + _B).min(0), out=least)
-    return _mixed(least).astype(np.uint16)
-
-
-def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches in slices, so that what is made of one is small; what Arrow holds unused at the end goes back."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    return mixed(least).astype(np.uint16)
 
 
 SIGNED = "key long, n_shingles long, high long, low long, signature binary, sketch binary, heads binary"
@@ -114,8 +99,8 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batch.column(1).to_pylist():
             s = shingle_set(t)
             n.append(len(s))
-            high.append(int(_mixed(s, 1).sum(dtype=np.uint64).astype(np.int64)))
-            low.append(int(_mixed(s, 2).sum(dtype=np.uint64).astype(np.int64)))
+            high.append(int(mixed(s, 1).sum(dtype=np.uint64).astype(np.int64)))
+            low.append(int(mixed(s, 2).sum(dtype=np.uint64).astype(np.int64)))
             x = signature(s)
             sig.append(x.astype(">u2").tobytes() if len(s) else b"")
             heads.append(x[_HEADS].astype(">u2").tobytes() if len(s) else b"")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidecurve.llm import bpe, chat, html_text, licenses, line_dedup, lsh_forest, media, packing, pii, quality
+from tidecurve.llm import bpe, chat, fim, html_text, licenses, line_dedup, lsh_forest, media, packing, pii, quality, spelling, vector_join
 from tidecurve.llm.common import table
 
 
@@ -103,6 +103,61 @@ def op10_media(spark, sf_dir):
     return media.media_column(table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark, sf_dir):
+    told = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return told.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+SQL_op11_fim = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (SELECT *, len(w) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:], '') AS suffix FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+
+def op12_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: The checksum bit by bit; all near pairs by wildcards and deletions; roots by recursion.
+SQL_op12_spelling = r"""
+WITH RECURSIVE runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY 1, 2),
+bits AS (SELECT *, list_transform(range(CAST(octet_length(encode(s)) * 8 AS BIGINT)), lambda i: (CAST('0x' || hex(encode(s))[2 * (i // 8) + 1:2 * (i // 8) + 2] AS BIGINT) >> CAST(i % 8 AS INT)) & 1) AS bit
+  FROM (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s FROM runs)),
+crc AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bit), lambda a, b: xor(a >> 1, CASE WHEN xor(a & 1, b) = 1 THEN 3988292384 ELSE 0 END)), 4294967295) AS h FROM bits),
+made AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM crc),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+k AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS z FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+del AS (SELECT DISTINCT word, n, a || z AS short FROM k),
+near AS (SELECT x.word, y.word AS other, y.n AS m FROM k x JOIN k y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION ALL SELECT del.word, v.word, v.n FROM del JOIN v ON v.word = del.short UNION ALL SELECT v.word, del.word, del.n FROM del JOIN v ON v.word = del.short),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN other END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+r AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, r.root FROM f JOIN r ON f.form = r.word)
+SELECT word, n, CAST(n_near AS BIGINT) AS n_near, form, form_n, root FROM f JOIN r USING (word)
+"""
+
+
+def op13_vectors(spark, sf_dir):
+    return vector_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+SQL_op13_vectors = r"""
+WITH RECURSIVE v AS (SELECT *, row_number() OVER () AS row, label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fit FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.row <> b.row AND a.fit AND b.fit AND len(a.embedding) = len(b.embedding)
+  WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.93),
+r AS (SELECT vec_id AS node, vec_id AS reach FROM v UNION SELECT links.b, r.reach FROM r JOIN links ON links.a = r.node),
+k AS (SELECT node, min(reach) AS component FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component AS component_id, vec_id = component AS kept FROM v LEFT JOIN n ON n.a = vec_id JOIN k ON k.node = vec_id
+"""
+
+
 def pii_base(spark, sf_dir):
     """The base counts of op2_pii, which SQL can state."""
     return op2_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
