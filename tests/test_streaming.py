@@ -1,6 +1,9 @@
 """Streams over files: the same file twice adds nothing, and duplicates within a batch are one."""
 
-from tidecurve.streaming import readings
+import pytest
+from pyspark.sql import functions as F
+
+from tidecurve.streaming import pairing, readings, sessions
 
 SCHEMA = "user_id string, ts timestamp, session_id string, source_record string, value double, flags int"
 
@@ -19,3 +22,74 @@ def test_appends_and_distinct(spark, tmp_path):
     query.awaitTermination(60)
     assert spark.table("once").count() == 2
     assert "day" in readings.daily_counts(stream()).columns
+
+
+def _arrive(df, folder):
+    df.coalesce(2).write.mode("append").parquet(folder)
+
+
+def _run(stream, mode, path, check):
+    def write(batch, _):
+        batch.write.mode("append").parquet(path)
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_windows_are_told_once_when_complete(spark, tmp_path):
+    """Three runs over one checkpoint (a restart each): late readings count, and a meal without readings is told too."""
+    base = 1_767_225_600  # seconds
+    meals = [(k, f"u{k % 3}", base + 3600 * 5 * k) for k in range(12)] + [(99, "nobody", base + 3600)]
+    readings = [(f"u{j % 3}", base - 7200 + 600 * (j // 3), 90.0 + j % 7, j % 2) for j in range(1200)]
+    late = {("u0", base + 600 * 40, 500.0, 1), ("u1", base + 600 * 41, 501.0, 0)}
+    stamp = lambda rows, names: spark.createDataFrame(rows, names).withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    m = stamp([(k, u, s) for k, u, s in meals], "meal_id long, user_id string, s long").withColumnRenamed("ts", "consumed_at")
+    everything = stamp([*readings, *late], "user_id string, s long, value double, flags int")
+    first, second = everything.where("value < 500 and unix_seconds(ts) < %d" % (base + 3600 * 8)), everything.where("value >= 500 or unix_seconds(ts) >= %d" % (base + 3600 * 8))
+    beat = 3600 * 24 * 30
+    m_dir, r_dir, out, check = (str(tmp_path / x) for x in ("meals", "readings", "out", "check"))
+    m.limit(0).write.parquet(m_dir)
+    everything.limit(0).write.parquet(r_dir)
+    for k in range(3):
+        if k == 0:
+            _arrive(m.where("unix_seconds(consumed_at) < %d" % (base + 3600 * 6)), m_dir)
+            _arrive(first, r_dir)
+        elif k == 1:
+            _arrive(m.where("unix_seconds(consumed_at) >= %d" % (base + 3600 * 6)), m_dir)
+            _arrive(second, r_dir)
+        else:  # time goes on
+            _arrive(stamp([(1000, "x", base + beat)], "meal_id long, user_id string, s long").withColumnRenamed("ts", "consumed_at"), m_dir)
+            _arrive(stamp([("y", base + beat, 1.0, 0)], "user_id string, s long, value double, flags int"), r_dir)
+        read = lambda df, d: spark.readStream.schema(df.schema).parquet(d)
+        _run(pairing.closed_windows(read(m, m_dir), read(everything, r_dir), delay="6 hours"), "append", out, check)
+    got = {r["meal_id"]: r for r in spark.read.parquet(out).collect()}
+    assert len(got) == spark.read.parquet(out).count() == len(meals)
+    for k, u, at in meals:
+        inside = [(s, v, f) for w, s, v, f in [*readings, *late] if w == u and at - 60 * pairing.PRE_MIN <= s <= at + 60 * pairing.POST_MIN]
+        r = got[k]
+        assert (r["n_points"], r["n_flagged"], r["peak_mgdl"]) == (len(inside), sum(f != 0 for *_, f in inside), max((v for _, v, _ in inside), default=None))
+        assert r["first_rel"] == (min((s - at) / 60 for s, *_ in inside) if inside else None)
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1), (1, 2, 0)])
+def test_sessions_merge_in_any_order_of_batches(spark, tmp_path, order):
+    rows = [(f"u{k % 4}", None if k % 4 == 3 else f"s{k % 3}", 1_767_225_600 + 900 * ((k * 37) % 500)) for k in range(500)]
+    df = spark.createDataFrame(rows, "user_id string, serial string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    folder, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    keyed = sessions.keyed_session(spark)
+    for k in order:
+        _arrive(df.where(F.pmod(F.xxhash64("s"), F.lit(3)) == k), folder)
+        _run(sessions.session_updates(keyed.readStream.schema(df.schema).parquet(folder)), "update", out, check)
+    got = {tuple(r) for r in sessions.latest(spark.read.parquet(out)).collect()}
+    batch = df.groupBy("user_id", F.coalesce("serial", F.lit("unknown"))).agg(F.min("ts"), F.max("ts"), F.count("*"), F.lit(False))
+    assert got == {tuple(r) for r in batch.collect()} and len(got) > 8
+
+
+def test_a_session_closes_after_its_sensor_s_life(spark, tmp_path):
+    hour = lambda serial, *hs: spark.createDataFrame([("u", serial, 3600 * h) for h in hs], "user_id string, serial string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    folder, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    keyed = sessions.keyed_session(spark)
+    for rows in (hour("old", 1, 2, 3), hour("new", 100), hour("new", 300)):
+        _arrive(rows, folder)
+        _run(sessions.session_updates(keyed.readStream.schema(rows.schema).parquet(folder), late="1 hour", life_days=2), "update", out, check)
+    got = {(r["serial"], r["n_readings"], r["closed"]) for r in sessions.latest(spark.read.parquet(out)).collect()}
+    assert ("old", 3, True) in got and {s for s, *_ in got} == {"old", "new"}
