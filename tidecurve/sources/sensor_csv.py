@@ -92,13 +92,16 @@ def date_orders(stamps: DataFrame, hint: str | None = None) -> DataFrame:
     parts = stamps.select("path", date_parts(F.col("raw")).alias("p")).where("p is not null")
     firm = parts.groupBy("path").agg(F.max("p.g1").alias("a"), F.max("p.g2").alias("b"))
     both = parts.select("path", "p", F.explode(F.array(F.lit("DMY"), F.lit("MDY"))).alias("ord")).withColumn("t", assembled(F.col("p"), F.col("ord")).cast("timestamp"))
-    w = Window.partitionBy("path", "ord").orderBy("t")
-    gaps = both.withColumn("gap", F.when(F.col("t").isNotNull(), (F.unix_micros("t") - F.unix_micros(F.lag("t").over(w))) / 6e7))
-    small = F.when((F.col("gap") > 0) & (F.col("gap") <= 60), F.col("gap"))
-    s = gaps.groupBy("path", "ord").agg(
-        F.count("*").alias("all"), F.count("t").alias("n"), F.count("gap").alias("n_gaps"), F.count(small).alias("n_small"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN gap > 0 AND gap <= 60 THEN gap END DESC)").alias("typical"),  # the upper median
-        ((F.unix_micros(F.max("t")) - F.unix_micros(F.min("t"))) / 6e7).alias("span"),
-    )
+    # Only gaps of up to an hour are looked at, so windows by day, with the last hour of the day before, see them all.
+    day, hour = 86_400_000_000, 3_600_000_000
+    of = lambda us: F.floor(us / F.lit(day)).cast("long")
+    us = F.col("us")
+    near = both.select("path", "ord", F.unix_micros("t").alias("us")).where("us is not null").withColumn("day", F.explode(F.sequence(of(us), of(us + hour))))
+    gap = (us - F.lag("us").over(Window.partitionBy("path", "ord", "day").orderBy("us"))) / 6e7
+    gaps = near.withColumn("gap", gap).where((F.col("day") == of(us)) & (F.col("gap") > 0) & (F.col("gap") <= 60))
+    small = gaps.groupBy("path", "ord").agg(F.count("*").alias("n_small"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY gap DESC)").alias("typical"))  # the upper median
+    s = both.groupBy("path", "ord").agg(F.count("*").alias("all"), F.count("t").alias("n"), ((F.unix_micros(F.max("t")) - F.unix_micros(F.min("t"))) / 6e7).alias("span"))
+    s = s.join(small, ["path", "ord"], "left").fillna(0, ["n_small"]).withColumn("n_gaps", F.col("n") - 1)
     density = F.least(F.lit(1.0), F.col("n") / (F.col("span") / F.col("typical") + 1))
     score = F.greatest(F.lit(0.0), 0.4 * F.try_divide("n_small", "n_gaps") + 0.6 * density - (F.col("all") - F.col("n")) / F.col("all"))
     scored = s.withColumn("score", F.when((F.col("n") >= 3) & (F.col("n_small") > 0), score).otherwise(0.0))
