@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A settled table is broadcast up to so many bytes, by its rows and the lengths of what they hold.
+BROADCAST_BYTES = 16_000_000
 
 _OWN: dict[str, str] = {}
 
@@ -29,3 +33,9 @@ def settled(df: DataFrame) -> DataFrame:
     path = settled_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_small(df: DataFrame) -> tuple[DataFrame, bool]:
+    """(df, whether it is small), marked for broadcast if its rows, as text, take BROADCAST_BYTES at most; it is read once for that."""
+    size = df.select((F.length(F.to_json(F.struct(*df.columns))) + 32).alias("n")).agg(F.sum("n")).first()[0] or 0
+    return (F.broadcast(df), True) if size <= BROADCAST_BYTES else (df, False)

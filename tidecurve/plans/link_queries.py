@@ -204,11 +204,14 @@ def sensor_files(spark, sf_dir):
     """Events written as sensor files (two units, day-first dates, a semicolon between fields, an odd first line) and read back."""
     e = proxy.events(spark, sf_dir)
     folder = settled_path(spark, "sensor")
-    for even, header in ((0, "Historic Glucose mmol/L"), (1, "Historico de glucosa mg/dL")):
-        names = f"Device;Serial Number;Device Timestamp;{header}"
-        rows = e.where(F.col("user_id") % 2 == even).select(F.concat_ws(";", F.lit("Synthetic"), F.concat(F.lit("SYN"), "user_id"), F.date_format("ts", "dd-MM-yyyy HH:mm"), F.round("value", 2).cast("string")).alias("line"), F.lit(2).alias("place"))
-        head = spark.range(1).select(F.explode(F.array(F.struct(F.lit("Export of a sensor").alias("line"), F.lit(0).alias("place")), F.struct(F.lit(names).alias("line"), F.lit(1).alias("place")))).alias("h")).select("h.*")
-        head.unionByName(rows).repartition(1).sortWithinPartitions("place").select("line").write.text(f"{folder}/{even}")  # one file has one header
+    even = F.col("user_id") % 2 == 0
+    named = F.when(even, "Historic Glucose mmol/L").otherwise("Historico de glucosa mg/dL")
+    row = F.concat_ws(";", F.lit("Synthetic"), F.concat(F.lit("SYN"), "user_id"), F.date_format("ts", "dd-MM-yyyy HH:mm"), F.round("value", 2).cast("string"))
+    rows = e.select("user_id", row.alias("line"), F.lit(2).alias("place"))
+    users = e.select("user_id").distinct()
+    head = users.select("user_id", F.posexplode(F.array(F.lit("Export of a sensor"), F.concat(F.lit("Device;Serial Number;Device Timestamp;"), named))).alias("place", "line"))
+    files = head.select("user_id", "line", "place").unionByName(rows).repartition("user_id").sortWithinPartitions("user_id", "place")
+    files.select("user_id", "line").write.partitionBy("user_id").text(folder)  # a file for each user: one header each
     readings, _, _ = sensor_csv.parse(spark, f"{folder}/*/*.txt", "UTC")
     return readings.where("source_record = 'historic'").groupBy("session_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.unix_micros(F.min("ts")).alias("first_us"), F.unix_micros(F.max("ts")).alias("last_us"))
 

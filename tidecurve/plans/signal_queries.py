@@ -200,6 +200,25 @@ def verdict(spark, sf_dir):
     return _analyzed(spark, sf_dir).select("meal_id", F.array_join("exclusions", "|").alias("exclusions"), F.array_join("degradations", "|").alias("degradations"), *_r4("sensor_age_hours"))
 
 
+#: The event model with two sensors of a user, an event type each, that are of different vendors.
+SENSORS = (
+    SQL.replace("r AS (SELECT * FROM e WHERE event_type <> 'purchase')", "r AS (SELECT event_id, user_id || ':' || event_type AS user_id, us, v, event_type FROM e WHERE event_type IN ('view', 'click'))")
+    .replace("n AS (SELECT nb.*, s.user_id AS session_id, s.lo, s.resolution,", "held AS (SELECT nb.meal_id, s.*, row_number() OVER (PARTITION BY nb.meal_id ORDER BY s.lo, s.user_id) AS i FROM nb JOIN sess s ON split_part(s.user_id, ':', 1) = nb.user_id::VARCHAR AND nb.us BETWEEN s.lo AND s.hi),\nn AS (SELECT nb.*, s.user_id AS session_id, s.lo, s.resolution, EXISTS (SELECT 1 FROM sess o WHERE split_part(o.user_id, ':', 1) = nb.user_id::VARCHAR AND o.user_id <> s.user_id AND nb.us BETWEEN o.lo - 2592000000000 AND o.hi + 2592000000000) AS changed,")
+    .replace("FROM nb LEFT JOIN sess s ON s.user_id = nb.user_id AND nb.us BETWEEN s.lo AND s.hi)", "FROM nb LEFT JOIN held s ON s.meal_id = nb.meal_id AND s.i = 1)")
+)
+
+
+@query(SENSORS + VERDICT.replace("CASE WHEN next_gap < 120 THEN", "CASE WHEN changed THEN 'vendor_change' END, CASE WHEN next_gap < 120 THEN") + "SELECT meal_id, array_to_string(ex, '|') AS exclusions, array_to_string(dg, '|') AS degradations FROM ex")
+def verdict_of_two_sensors(spark, sf_dir):
+    """Verdicts where users wear sensors of two vendors, views and clicks, at times both."""
+    e = proxy.events(spark, sf_dir).where("event_type in ('view', 'click')").withColumn("session_id", F.concat_ws(":", "user_id", "event_type"))
+    readings = e.select("session_id", "ts", "value", "event_id")
+    owners = e.select("session_id", "user_id", F.col("event_type").alias("vendor")).distinct()
+    known = settled(signal.sessions(readings, CFG).join(owners, "session_id"))
+    told = analysis.analyze(proxy.meals(spark, sf_dir), known, settled(signal.quality_flags(readings, known, CFG)), cfg=CFG)
+    return told.select("meal_id", F.array_join("exclusions", "|").alias("exclusions"), F.array_join("degradations", "|").alias("degradations"))
+
+
 @query(SQL + VERDICT + "SELECT meal_id, quality FROM qual")
 def quality(spark, sf_dir):
     return _analyzed(spark, sf_dir).select("meal_id", "quality")

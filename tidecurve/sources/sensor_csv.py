@@ -1,7 +1,10 @@
 """Sensor exports as CSV files of several locales: files to typed readings and food-log rows.
 
-A file is small, so one task reads a whole file and cuts it into cells; everything from there on (columns, units, dates,
-zones) is DataFrame work over all files at once. A file that can't be used has a row in ``problems``.
+A file of any size is read in chunks by as many tasks as its bytes ask for (spark.sql.files.maxPartitionBytes). A first small pass
+tells of each chunk what the whole file needs: its encoding, its delimiter, and whether a quoted field that an
+earlier chunk opens goes on in it. The second cuts the lines into cells; records that a chunk's end cuts are put together from
+their pieces. From there on (columns, units, dates, zones) it is DataFrame work over all files at once. A file that can't be
+used has a row in ``problems``.
 """
 
 from __future__ import annotations
@@ -9,7 +12,9 @@ from __future__ import annotations
 import csv
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +22,7 @@ from pyspark.sql import functions as F
 from tidecurve.config import MMOL_TO_MGDL
 from tidecurve.functions import text
 from tidecurve.functions.times import assembled, date_parts, to_utc, wall_kind
+from tidecurve.operators.tables import broadcast_small, settled
 
 # Column by the words that its header holds and doesn't hold, alternatives in order.
 COLUMNS = {
@@ -26,39 +32,160 @@ COLUMNS = {
     "carbs_servings": [("carbohydrate", "serving"), ("carbohidrato", "racion")], "notes": [("notes",), ("notas",)],
 }
 STAMP, MAX_PREAMBLE, SNIFFED = ("timestamp", "sello de tiempo", "marca de tiempo"), 8, 8192
-CELLS = "path string, content_sha256 string, warnings array<string>, row_no int, cells array<string>"
-
-
-def decoded(data: bytes) -> tuple[str, list[str]]:
-    for encoding in ("utf-8-sig", "cp1252", "latin-1"):
-        try:
-            return data.decode(encoding), [] if encoding == "utf-8-sig" else [f"not UTF-8, read as {encoding}"]
-        except UnicodeDecodeError:
-            continue
-    raise AssertionError
+DELIMITERS = ",;\t"
+#: Files up to so many bytes are named by the SHA-256 of their bytes, larger ones by hashes of their lines.
+WHOLE_BYTES = 64_000_000
 
 
 def delimiter(sample: str) -> str | None:
-    counts = [(sample.count(d), -i, d) for i, d in enumerate(",;\t")]
+    counts = [(sample.count(d), -i, d) for i, d in enumerate(DELIMITERS)]
     n, _, best = max(counts)
     return best if n else None
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = pa.schema([("path", pa.string()), ("content_sha256", pa.string()), ("warnings", pa.list_(pa.string())), ("row_no", pa.int32()), ("cells", pa.list_(pa.string()))])
-    for batch in batches:
-        for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            content, warnings = decoded(data)
-            cut = delimiter(content[:SNIFFED])
-            if cut and cut != ",":
-                warnings = [*warnings, f"fields are parted by {cut!r}"]
-            rows = [r for r in csv.reader(content.splitlines(), delimiter=cut or ",") if any(c.strip() for c in r)]
-            sha, n = hashlib.sha256(data).hexdigest(), len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([path] * n, [sha] * n, [warnings] * n, list(range(n)), rows), kinds, strict=True)], schema=kinds)
+def stays_quoted(line: str, quoted: bool, cut: str) -> bool:
+    """Whether a quoted field is open after the line, from whether one is before it."""
+    if '"' not in line:
+        return quoted
+    start, inside, closing = not quoted, quoted, False
+    for c in line:
+        if inside and not closing:
+            closing = c == '"'
+        elif inside and c == '"':  # two quotes are one
+            closing = False
+        elif c == cut:
+            start, inside, closing = True, False, False
+            continue
+        elif inside:  # text after the closing quote
+            inside, closing = False, False
+        elif start and c == '"':
+            inside = True
+        start = False
+    return inside and not closing
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Rows by the values of their first columns, in order; a chunk may go on in the next batch."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    return groupby(rows, lambda r: r[:n_keys])
+
+
+FACTS = "path string, block long, sample binary, utf8 boolean, cp1252 boolean, n long, hash long, ends array<boolean>"
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_cells, CELLS)
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk. ends: for each delimiter, whether a quoted field is open at the chunk's end if none, or one, is at its start."""
+    kinds = pa.schema([("path", pa.string()), ("block", pa.int64()), ("sample", pa.binary()), ("utf8", pa.bool_()), ("cp1252", pa.bool_()), ("n", pa.int64()), ("hash", pa.int64()), ("ends", pa.list_(pa.bool_()))])
+    for (path, block), rows in _chunks(batches, 2):
+        sample, kept, utf8, cp1252, n, total, ends = [], 0, True, True, 0, 0, [False, True] * len(DELIMITERS)
+        for _, _, line in rows:
+            n += 1
+            total += int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "big")
+            if block == 0 and kept < SNIFFED:
+                sample.append(line)
+                kept += len(line) + 1
+            if not line.isascii():
+                for name in ("utf-8", "cp1252"):
+                    try:
+                        line.decode(name)
+                    except UnicodeDecodeError:
+                        utf8, cp1252 = utf8 and name != "utf-8", cp1252 and name != "cp1252"
+            if b'"' in line:
+                plain = line.decode("latin-1")
+                ends = [stays_quoted(plain, q, DELIMITERS[i // 2]) for i, q in enumerate(ends)]
+        values = (path, block, b"\n".join(sample) if block == 0 else None, utf8, cp1252, n, (total % 2**64) - 2**63, ends)
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, kinds, strict=True)], schema=kinds)
+
+
+def _dialect(sample: pd.Series, utf8: pd.Series, cp1252: pd.Series) -> pd.DataFrame:
+    encoding = ["utf-8" if u else "cp1252" if c else "latin-1" for u, c in zip(utf8, cp1252, strict=True)]
+    return pd.DataFrame({"cut": [delimiter((s or b"").decode(e, "replace")[:SNIFFED]) for s, e in zip(sample, encoding, strict=True)], "encoding": encoding})
+
+
+def _record(text: pd.Series, cut: pd.Series) -> pd.Series:
+    csv.field_size_limit(1 << 30)
+    return pd.Series([next(csv.reader(t.splitlines(keepends=True), delimiter=c or ","), []) for t, c in zip(text, cut, strict=True)])
+
+
+CELLS = "path string, block long, row_no int, piece string, cells array<string>"
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of cells with their number in the chunk; pieces of records that begin before the chunk (row_no -1) or end after it."""
+    csv.field_size_limit(1 << 30)
+    kinds = pa.schema([("path", pa.string()), ("block", pa.int64()), ("row_no", pa.int32()), ("piece", pa.string()), ("cells", pa.list_(pa.string()))])
+    for (path, block, cut, encoding, quoted), rows in _chunks(batches, 5):
+        cut, found, held, row_no = cut or ",", [], [], 0
+        foreign = quoted
+        for i, (*_, line) in enumerate(rows):
+            told = line.decode(encoding)
+            held.append(told.removeprefix("\ufeff") if block == 0 and i == 0 else told)
+            quoted = stays_quoted(told, quoted, cut)
+            if quoted:
+                continue
+            if foreign:
+                found.append((path, block, -1, "\n".join(held), None))
+            else:
+                cells = next(csv.reader((x + "\n" for x in held), delimiter=cut), [])
+                if any(c.strip() for c in cells):
+                    found.append((path, block, row_no, None, cells))
+                    row_no += 1
+            held, foreign = [], False
+            if len(found) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), kinds, strict=True)], schema=kinds)
+                found = []
+        if held:
+            found.append((path, block, -1 if foreign else row_no, "\n".join(held), None))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), kinds, strict=True)], schema=kinds)
+
+
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, block (first byte of a chunk), line (bytes) of all files under a path; a chunk's lines follow one another in one task."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+
+
+def file_table(spark: SparkSession, path: str, facts: DataFrame) -> DataFrame:
+    """path, cut, encoding, content_sha256, warnings of each file, and the chunks (block, quoted at its start) in order."""
+    whole = spark.read.format("binaryFile").load(path).where(F.col("length") <= WHOLE_BYTES).select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("whole"))
+    some = facts.groupBy("path").agg(
+        F.max("sample").alias("sample"), F.bool_and("utf8").alias("utf8"), F.bool_and("cp1252").alias("cp1252"), F.sha2(F.concat_ws(":", F.sum("n").cast("string"), F.sum(F.col("hash").cast("decimal(38,0)")).cast("string")), 256).alias("lines"),
+        F.sort_array(F.collect_list(F.struct("block", "ends"))).alias("chunks"),
+    )
+    dialect = F.pandas_udf(_dialect, "cut string, encoding string")
+    some = some.withColumn("t", dialect("sample", "utf8", "cp1252")).select("path", "t.cut", "t.encoding", "lines", "chunks")
+    of = F.coalesce(F.instr(F.lit(DELIMITERS), F.col("cut")), F.lit(1)) - 1
+    # Whether a quoted field is open at the start of each chunk: the chunks' functions, one after the other.
+    start = F.struct(F.lit(False).alias("open"), F.expr("cast(array() as array<struct<block:bigint,quoted:boolean>>)").alias("told"))
+    step = lambda acc, c: F.struct(F.get(c["ends"], 2 * of + acc["open"].cast("int")).alias("open"), F.array_append(acc["told"], F.struct(c["block"].alias("block"), acc["open"].alias("quoted"))).alias("told"))
+    chunks = F.aggregate("chunks", start, step, lambda acc: acc["told"])
+    strange = F.when(F.col("encoding") != "utf-8", F.concat(F.lit("not UTF-8, read as "), "encoding"))
+    odd = F.when(F.col("cut") != ",", F.concat(F.lit("fields are parted by "), F.when(F.col("cut") == "\t", "'\\t'").otherwise(F.concat(F.lit("'"), "cut", F.lit("'")))))
+    return some.join(whole, "path", "left").select("path", "cut", "encoding", F.coalesce("whole", "lines").alias("content_sha256"), F.array_compact(F.array(strange, odd)).alias("warnings"), chunks.alias("chunks"))
+
+
+def mended(pieces: DataFrame) -> DataFrame:
+    """Rows of the records that chunk ends cut: few, each from the piece that begins it and those that follow."""
+    at = Window.partitionBy("path").orderBy("block", "row_no")  # a chunk's foreign piece comes before its own open record
+    numbered = pieces.withColumn("record", F.sum(F.when(F.col("row_no") >= 0, 1).otherwise(0)).over(at))
+    whole = numbered.groupBy("path", "cut", "record").agg(F.min_by("block", F.struct("block", "row_no")).alias("block"), F.max("row_no").alias("row_no"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "row_no", "piece"))), lambda p: p["piece"]), "\n").alias("text"))
+
+    cells = F.pandas_udf(_record, "array<string>")
+    return whole.select("path", "block", "row_no", cells("text", "cut").alias("cells"))
+
+
+def read_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(cells, files): path, block, row_no (within the block), cells of all rows that aren't blank; and file_table()."""
+    lines = raw_lines(spark, path)
+    files = settled(file_table(spark, path, settled(lines.mapInArrow(_facts, FACTS))))
+    chunks = files.select("path", "cut", "encoding", F.explode("chunks").alias("c")).select("path", "c.block", "cut", "encoding", "c.quoted")
+    chunks, fits = broadcast_small(settled(chunks))
+    placed = lines.withColumn("id", F.monotonically_increasing_id()).join(chunks, ["path", "block"])
+    if not fits:  # a shuffled join mixes the lines: back to chunks, in order
+        placed = placed.repartition("path", "block").sortWithinPartitions("path", "block", "id")
+    cells = settled(placed.select("path", "block", "cut", "encoding", "quoted", "line").mapInArrow(_cells, CELLS))  # read for headers, orders, readings and notes
+    pieces = cells.where("piece is not null").join(broadcast_small(files.select("path", "cut"))[0], "path")
+    return cells.where("piece is null").select("path", "block", "row_no", "cells").unionByName(mended(pieces)), files
 
 
 def column_of(headers: Column, alternatives: list[tuple[str, ...]]) -> Column:
@@ -77,7 +204,7 @@ def column_of(headers: Column, alternatives: list[tuple[str, ...]]) -> Column:
 
 def headers(cells: DataFrame) -> DataFrame:
     """path, header_no, a column position for each of COLUMNS, unit. The header is the first of the first rows that names a time stamp."""
-    named = cells.where(F.col("row_no") < MAX_PREAMBLE).withColumn("names", F.transform("cells", text.header))
+    named = cells.where((F.col("block") == 0) & (F.col("row_no") < MAX_PREAMBLE)).withColumn("names", F.transform("cells", text.header))
     stamp = F.exists("names", lambda n: F.greatest(*[F.contains(n, F.lit(s)) for s in STAMP]))
     first = named.where(stamp & (F.size("names") >= 4)).groupBy("path").agg(F.min(F.struct("row_no", "names")).alias("h")).select("path", F.col("h.row_no").alias("header_no"), F.col("h.names").alias("names"))
     placed = first.select("path", "header_no", "names", *[column_of(F.col("names"), alternatives).alias(f"c_{c}") for c, alternatives in COLUMNS.items()])
@@ -113,23 +240,26 @@ def date_orders(stamps: DataFrame, hint: str | None = None) -> DataFrame:
     return told.select("path", order.alias("date_order"), how.alias("how"), F.round("dmy", 6).alias("dmy"), F.round("mdy", 6).alias("mdy"))
 
 
-def parse(spark: SparkSession, path: str, zone: str, hint: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(readings, food_log, files) of all files under a path; wall clocks are in the zone."""
-    cells = read_cells(spark, path)
+def parse(spark: SparkSession, path: str, zone: str, hint: str | None = None, user: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(readings, food_log, files) of all files under a path; wall clocks are in the zone. user: whose a file is, as a column of its
+    path; a session is a user's sensor, so that files without a serial are one session of each user. Without it all are one user's."""
+    cells, known = read_cells(spark, path)
     heads = headers(cells)
     at = lambda c: F.get("cells", F.col(f"c_{c}"))
-    body = cells.join(heads, "path").where(F.col("row_no") > F.col("header_no")).withColumn("raw", at("timestamp"))
+    body = cells.join(heads, "path").where((F.col("block") > 0) | (F.col("row_no") > F.col("header_no"))).withColumn("raw", at("timestamp"))
     orders = date_orders(body.select("path", "raw"), hint)
     timed = body.join(orders, "path").withColumn("wall", assembled(date_parts(F.col("raw")), F.col("date_order"))).where("wall is not null")
     timed = timed.withColumn("ts", to_utc(F.col("wall"), zone)).withColumn("tz_offset_min", ((F.unix_micros(F.col("wall").cast("timestamp")) - F.unix_micros("ts")) / 6e7).cast("short"))
     serial = F.coalesce(F.nullif(F.trim(at("serial")), F.lit("")), F.lit("unknown"))
     device = F.nullif(F.trim(at("device")), F.lit(""))
     factor = F.when(F.col("unit") == "mmol/L", MMOL_TO_MGDL).otherwise(1.0)
-    melted = melt(timed.withColumn("session_id", F.sha2(serial, 256)).withColumn("device", device), {k: text.lenient_number(at(k)) * factor for k in ("historic", "scan", "strip")}, ["path", "ts", "tz_offset_min", "session_id", "device"])
+    owner = F.lit(None).cast("string") if user is None else user.cast("string")
+    timed = timed.withColumn("user_id", owner)
+    melted = melt(timed.withColumn("session_id", F.sha2(F.concat_ws(":", "user_id", serial), 256)).withColumn("device", device), {k: text.lenient_number(at(k)) * factor for k in ("historic", "scan", "strip")}, ["path", "user_id", "ts", "tz_offset_min", "session_id", "device"])
     readings = melted.withColumnRenamed("source", "source_record")
-    food = timed.select("path", "ts", "tz_offset_min", text.lenient_number(at("carbs_g")).alias("carbs_grams"), text.lenient_number(at("carbs_servings")).alias("carbs_servings"), F.nullif(F.trim(at("notes")), F.lit("")).alias("note"))
+    food = timed.select("path", "user_id", "ts", "tz_offset_min", text.lenient_number(at("carbs_g")).alias("carbs_grams"), text.lenient_number(at("carbs_servings")).alias("carbs_servings"), F.nullif(F.trim(at("notes")), F.lit("")).alias("note"))
     food = food.where(F.coalesce(F.col("carbs_grams").cast("string"), F.col("carbs_servings").cast("string"), "note").isNotNull())
-    files = cells.groupBy("path", "content_sha256").agg(F.first("warnings").alias("warnings"), F.count("*").alias("rows")).join(heads.select("path", "header_no", "unit"), "path", "left").join(orders, "path", "left")
+    files = known.select("path", "content_sha256", "warnings").join(cells.groupBy("path").agg(F.count("*").alias("rows")), "path").join(heads.select("path", "header_no", "unit"), "path", "left").join(orders, "path", "left")
     problem = F.when(F.col("header_no").isNull(), "no header with a time stamp").when(F.col("how").isNull(), "no time stamp can be read").when(F.col("how") == "mixed", "two date orders in one file").when(F.col("date_order").isNull(), "the date order can't be told; name it")
     files = files.join(zone_counts(timed, zone), "path", "left").fillna(0, ["n_ambiguous", "n_skipped"])
     return readings, food, files.withColumn("problem", problem)
