@@ -1,9 +1,9 @@
 """Main text of web pages by composite text density (Sun, Song and Liao, 2011).
 
-A page becomes a tree of its elements. Elements that are furniture by their meaning (menus, scripts, forms, notices,
-comments and so on) are taken out. One that only its class or id names as furniture stays if it holds half of the
+A page becomes a tree of its elements. Elements that are furniture by their meaning (menus, scripts, buttons, notices
+and so on) are taken out. One that only its class, id or style says so of, and a form, stays if it holds half of the
 text of the page's articles or more (without articles, of its main elements; without these, of the body): such
-as a wrapper "has-sidebar"; comments and related items, which may be articles too, don't. For every other node i with C characters, T tags, LC characters
+as a wrapper "has-sidebar", a form around the page, or a body that scripts show later; comments and related items, which may be articles too, don't. For every other node i with C characters, T tags, LC characters
 and LT tags of links, and LCb and Cb those of the body::
 
     density = C/T * log(C/LC * T/LT) / log(ln(C/(C-LC) * LC + LCb/Cb * C + e))
@@ -11,8 +11,9 @@ and LT tags of links, and LCb and Cb those of the body::
 (zero counts as one in denominators; the base of the logarithm is e at least, so that pages without
 links are defined). The node whose children's densities have the largest sum heads the main text; the threshold is the least
 density on the path from the body to it. An article (or main element) around it is taken whole, the widest first, if it is as
-dense as the least dense element between it and the body; without such, sibling blocks of the chosen node's
-ancestors that reach the threshold belong to the text also.
+dense as the least dense element between it and the body, and so are articles beside it that are text of their own, not teasers. Without such, the
+chosen node's siblings and those of its ancestors belong to the text if they reach the threshold, are headings, or are mostly text
+outside of links; directly below the body they must also hold sentences, as the small print of a page's foot has no element of its own.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed in
 page order. Null or empty html gives an empty text and 0; a page of furniture only gives an empty text;
@@ -38,18 +39,30 @@ RAW = frozenset("script style textarea title noscript template iframe noframes x
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose content is never main text.
-FURNITURE = frozenset("nav aside footer form button select option input label fieldset dialog menu head object canvas svg audio video datalist".split()) | RAW
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status".split())
+FURNITURE = frozenset("nav aside footer button select option input label dialog menu head object canvas svg audio video datalist".split()) | RAW
+#: Elements that are furniture unless they hold much of the page.
+WEIGHED = frozenset("form fieldset".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist status".split())
 #: Words in class or id that name furniture.
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice notices gdpr popup modal overlay footer masthead comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations newsletter subscribe subscription signup login widget widgets pagination pager toolbar skip banner alert".split())
+NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice notices gdpr popup modal overlay footer masthead comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations newsletter subscribe subscription signup login widget widgets pagination pager toolbar skip banner alert googlead googleads adsense adsbygoogle adbox adslot adunit adwrap adcontainer dfp mpu taboola outbrain leaderboard".split())
 #: Words that may stand beside those in one class or id: "site-footer" is furniture, "has-sidebar" and "related-work" aren't.
 BESIDE = frozenset("site page main global top bottom left right primary secondary box area wrapper container list section block bar link links item items post posts story stories body inner outer heading title text thread form button buttons icon icons unit slot panel row col group js header user reader readers visitor article blog fb facebook twitter web mobile desktop sticky fixed horizontal vertical mega dropdown toggle mini small large inline more also latest recent popular trending view show all count policy".split())
 #: With these a header is the site's, not an article's.
 SITE = frozenset("header site page main global top web mobile desktop sticky fixed primary wrapper container inner bar".split())
 KEPT = frozenset("html body main article".split())
+#: Short pieces of a class that say something; others ("td-ad", "c-promo__x") are prefixes and numbers.
+SAYING = frozenset("no is in of to on up go my we he it an at by as or so us ad ai tv".split())
+HEADINGS, SENTENCES = frozenset("h1 h2 h3 h4 h5 h6".split()), re.compile(r"\w[\w\W]{24,}[.!?…:;\u3002\uff01\uff1f][\x22'\u201d\u00bb)\]]*\s*$")
+SMALL_PRINT = re.compile(r"^\W*(©|\(c\)|copyright\b)|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos", re.I)
+#: Characters up to which a block may be small print.
+SMALL_PRINT_CHARS = 300
+#: Share of links up to which a block is text; characters, or share of the main article's, that make an article beside it no teaser.
+LINK_SHARE, ARTICLE_CHARS, ARTICLE_SHARE = 0.3, 200, 0.25
+REFERENCE = re.compile(r"&#0*([0-9]{8,});?|&#[xX]0*([0-9a-fA-F]{7,});?")
 #: Starting one of these ends an open one of those within the same block.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "body": set()}
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORDS, HUMP = re.compile(r"[a-z]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -60,17 +73,24 @@ def _furniture(tag: str, told: str, in_article: bool) -> str:
     if tag == "header" and not in_article:
         return "kind"
     if not told.strip(" /"):
-        return ""
+        return "name" if tag in WEIGHED else ""
     a = {k.lower(): x or y or z for k, x, y, z in ATTRIBUTE.findall(told)}
-    if tag not in KEPT and ("hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "") in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""))):
+    if tag not in KEPT and a.get("role", "") in ROLES:
         return "kind"
+    if tag not in KEPT and (tag in WEIGHED or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "") == "form" or HIDDEN.search(a.get("style", ""))):
+        return "name"
     for token in f"{a.get('class', '')} {a.get('id', '')}".split():
-        words = WORDS.findall(HUMP.sub("-", token).lower())
+        words = [w for w in WORDS.findall(HUMP.sub("-", token).lower()) if len(w) > 2 or w in SAYING]
         if any(w in NAMES for w in words) and all(w in NAMES or w in BESIDE for w in words) or not in_article and "header" in words and SITE.issuperset(words):
             return "name"
     return ""
 
 
+def decoded(text: str) -> str:
+    """Text with its character references decoded; numbers beyond Unicode, of any length, become U+FFFD."""
+    return html.unescape(REFERENCE.sub("\ufffd", text))
+
+
 class Page:
     """The tree as columns over node numbers (parents before children) and the text runs in page order."""
 
@@ -78,12 +98,13 @@ class Page:
         self.tag, self.parent, self.out, self.article, self.named = ["html"], [-1], [False], [False], [False]
         self.runs: list[tuple[int, int, str]] = []  # node, block, text
         self.open, self.block = [0], 0
+        self.own: set[int] = set()  # nodes of which only what stands in no child is main text
         self.at: dict[str, list[int]] = {}  # tag: depths of its open elements
         self.blocks: list[int] = []  # depths of open blocks
         at, n = 0, len(source)
         for what, start, stop in self._tokens(source):
             if start > at and not self.out[self.open[-1]]:
-                self.runs.append((self.open[-1], self.block, html.unescape(source[at:start])))
+                self.runs.append((self.open[-1], self.block, decoded(source[at:start])))
             at = stop
             if what is None:
                 continue
@@ -97,7 +118,7 @@ class Page:
                     close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
                     at = self.to = close.start() if close else n
         if at < n and not self.out[self.open[-1]]:
-            self.runs.append((self.open[-1], self.block, html.unescape(source[at:])))
+            self.runs.append((self.open[-1], self.block, decoded(source[at:])))
         if any(self.named):
             self._settle()
 
@@ -221,11 +242,59 @@ class Page:
         around = math.inf
         for i in reversed(path):
             if self.tag[i] in ("article", "main") and (density[i] >= around or around == math.inf):
-                return {i}
+                return {i} | self._articles(i, chars, link_chars)
             around = min(around, density[i]) if self.tag[i] != "html" else around
+        if not total[head]:
+            return {0}
+        if self.tag[head] in ("body", "html"):  # its children are weighed one by one
+            whole = [i for i in range(n) if self.tag[i] in ("article", "main") and not self.out[i] and 2 * chars[i] >= chars[0]]
+            if whole:
+                return {whole[0]} | self._articles(whole[0], chars, link_chars)
+            self.own = {head}
         up = set(path)
-        heads = {head} if total[head] else {0}
-        return heads | {i for i in range(n) if self.parent[i] in up and i not in up and self.parent[i] != head and not self.out[i] and self.tag[i] in BLOCK and density[i] >= least}
+        first, last = self._places()
+
+        def belongs(i: int) -> bool:
+            told = "" if chars[i] > SMALL_PRINT_CHARS else " ".join("".join(t for _, _, t in self.runs[first[i] : last[i] + 1]).split())
+            if SMALL_PRINT.search(told):
+                return False
+            if density[i] >= least or self.tag[i] in HEADINGS:
+                return True
+            if link_chars[i] > LINK_SHARE * chars[i]:
+                return False
+            if self.tag[self.parent[i]] not in ("body", "html"):
+                return True
+            return chars[i] > SMALL_PRINT_CHARS or bool(SENTENCES.search(told))
+
+        beside = {i for i in range(n) if self.parent[i] in up and i not in up and (self.parent[i] != head or head in self.own) and not self.out[i] and chars[i] and self.tag[i] in BLOCK}
+        return ({head} - self.own) | {i for i in beside if belongs(i)}
+
+    def _articles(self, chosen: int, chars: list[int], link_chars: list[int]) -> set[int]:
+        """Other articles of the page, outside of the chosen one and of each other, that are text and no teasers."""
+        found: set[int] = set()
+        inside = [False] * len(self.tag)
+        for i, p in enumerate(self.parent):
+            inside[i] = i == chosen or p >= 0 and inside[p]
+            if self.tag[i] == "article" and not inside[i] and not self.out[i] and not self.named[i]:
+                inside[i] = True
+                if chars[i] >= min(ARTICLE_CHARS, ARTICLE_SHARE * chars[chosen]) and link_chars[i] <= LINK_SHARE * chars[i]:
+                    found.add(i)
+        up = chosen
+        while up >= 0:  # an article around the chosen one was passed over
+            found.discard(up)
+            up = self.parent[up]
+        return found
+
+    def _places(self) -> tuple[list[int], list[int]]:
+        """The first and the last text run within each node."""
+        n, runs = len(self.tag), len(self.runs)
+        first, last = [runs] * n, [-1] * n
+        for k, (node, _, _) in enumerate(self.runs):
+            first[node], last[node] = min(first[node], k), k
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            first[p], last[p] = min(first[p], first[i]), max(last[p], last[i])
+        return first, last
 
     def text(self) -> str:
         heads = self.main_nodes()
@@ -236,7 +305,7 @@ class Page:
             inside[i] = not self.out[i] and (i in heads or p >= 0 and inside[p])
         blocks: dict[int, list[str]] = {}
         for node, block, text in self.runs:
-            if inside[node]:
+            if inside[node] or node in self.own:
                 blocks.setdefault(block, []).append(text)
         shown = (" ".join("".join(parts).split()) for parts in blocks.values())
         return "\n".join(x for x in shown if x)
