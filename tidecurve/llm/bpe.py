@@ -12,6 +12,9 @@ Written out, that is a square of 50,000 x 50,000 arcs. It is compiled into links
 column is a link to what it was copied from and the gadget's number, and an exception is an arc that a gadget took away
 (one or two for each merge). An arc is looked up along the links, whose number is bounded by the merges within two tokens.
 
+A merge whose arc is not there when its turn comes never fires: it makes no state. Vocabularies where two merges make one token
+have no such order of gadgets; their words are merged pair by pair, by rank.
+
 A pre-split word is encoded by table-driven transitions, in one pass without search: the bytes drive an automaton of
 the vocabulary (Aho and Corasick: a table from state and byte to state, and the tokens that end in each state). A prefix of the
 word has one correct encoding, so it has one last token: the one among those that end there whose arc exists from the last token
@@ -24,6 +27,7 @@ each row stands for itself, so repeated rows, ties and extra columns need no car
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -62,10 +66,19 @@ class Automaton:
         for number, (a, b) in enumerate(merges, 1):
             self._gadget(number, vocab[a], vocab[b], vocab[a + b])
         self.end = len(merges) + 1
+        made = [a + b for a, b in merges]
+        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}  # of such vocabularies: rank and token of each pair
+        if len(set(made)) < len(made):
+            for rank, (a, b) in enumerate(merges):
+                self.pairs[vocab[a], vocab[b]] = rank, vocab[a + b]
+            self.letters = {text[0]: i for i, text in self.label.items() if len(text) == 1}
         self.known: dict[int, bool] = {}  # arcs looked up, ARCS at most
         self._bytes({i: text for i, text in self.label.items() if i not in special.values() and (len(text) == 1 or self.born[i])})
 
     def _gadget(self, number: int, a: int, b: int, c: int) -> None:
+        states = all(self.born[t] or len(self.label[t]) == 1 for t in (a, b))
+        if not states or not self.arc(a, b, number):  # no correct encoding has a before b, so this merge never fires
+            return
         self.gone.setdefault(a * self.size + b, number)
         if not self.born[c]:
             self.first[c], self.last[c], self.born[c] = a, b, number
@@ -101,9 +114,9 @@ class Automaton:
                 self.fails[to] = self.goes[back].get(x, 0) if at else 0
                 queue.append(to)
 
-    def arc(self, x: int, y: int) -> bool:
-        """Whether y may follow x after all gadgets: the links lead back to two bytes or to an exception."""
-        gone, born, before = self.gone, self.born, self.end
+    def arc(self, x: int, y: int, before: int | None = None) -> bool:
+        """Whether y may follow x after all gadgets, or after those of smaller numbers: the links lead back to two bytes or to an exception."""
+        gone, born, before = self.gone, self.born, before or self.end
         while True:
             if gone.get(x * self.size + y, before) < before:
                 return False
@@ -119,6 +132,8 @@ class Automaton:
 
     def word(self, text: bytes) -> tuple[int, ...]:
         """The ids of a pre-split word: the one path of the automaton that spells it."""
+        if self.pairs:
+            return self._merged(text)
         goes, fails, ends, known, size = self.goes, self.fails, self.ends, self.known, self.size
         state, lasts, sizes = 0, [], []
         for at, x in enumerate(text):
@@ -148,6 +163,29 @@ class Automaton:
         return tuple(reversed(path))
 
 
+    def _merged(self, text: bytes) -> tuple[int, ...]:
+        """The ids by merging the pair of the lowest rank, the leftmost first."""
+        ids = [self.letters[x] for x in text]
+        n = len(ids)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        queue = [(*self.pairs[p], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.pairs]
+        queue = [(rank, i, p, token) for rank, token, i, p in queue]
+        heapq.heapify(queue)
+        while queue:
+            _, i, pair, token = heapq.heappop(queue)
+            j = after[i]
+            if j >= n or (ids[i], ids[j]) != pair:
+                continue
+            ids[i], ids[j], after[i] = token, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a in (before[i], i):
+                b = after[a] if a >= 0 else n
+                if a >= 0 and b < n and (found := self.pairs.get((ids[a], ids[b]))):
+                    heapq.heappush(queue, (found[0], a, (ids[a], ids[b]), found[1]))
+        return tuple(t for t in ids if t >= 0)
+
+
 def load(path: str) -> Automaton:
     with open(path, encoding="utf-8") as f:
         told = json.load(f)

@@ -233,7 +233,7 @@ class Page:
             density[i] = c / max(tags[i], 1) * math.log(max(1.0, c / max(lc, 1) * max(tags[i], 1) / max(link_tags[i], 1))) / math.log(max(base, math.e))
             if self.parent[i] >= 0:
                 total[self.parent[i]] += density[i]
-        head = max(range(n), key=lambda i: total[i])
+        head = max(range(min(1, n - 1), n), key=lambda i: total[i])  # below html, if there is anything
         path = [head]
         while self.parent[path[-1]] >= 0:
             path.append(self.parent[path[-1]])
