@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecurve.llm.common import released, small, written
+from tidecurve.llm.common import released, small, small_lists, written
 from tidecurve.llm.graph import components
 
 EDITS, MIN_CHARS = 2, 16
@@ -295,7 +295,7 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars:
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the dropped lines taken out of their texts; all rows and columns stay."""
     told = written(by_document(decisions(docs, key, text, min_chars)).select("key", "version", "dropped").where(F.size("dropped") > 0), "dropped").select(F.col("key").alias("__key"), F.col("version").alias("__version"), F.col("dropped").alias("__dropped"))
-    joined = docs.join(small(told), docs[key].eqNullSafe(told["__key"]) & (F.xxhash64(docs[text]) == told["__version"]), "left")
+    joined = docs.join(small_lists(told), docs[key].eqNullSafe(told["__key"]) & (F.xxhash64(docs[text]) == told["__version"]), "left")
     lines = F.split(docs[text], "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
     clean = F.when(F.col("__dropped").isNull(), docs[text]).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
