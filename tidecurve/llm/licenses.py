@@ -1,7 +1,8 @@
 """License detection by ordered signature rules, in DataFrame functions only.
 
 Rules are regexes over lower-cased text: hand-written wordings of notices and licence texts, and a table of licences by a
-few forms of mention (tag, address, notice, name with version, name). A document without a licensing word is passed over; in the
+few forms of mention (tag or tag expression, address, notice, name with version, name, identifier), in English, German, French and Spanish.
+Names hold a hyphen or white space between their words ("MPL-2.0", "MPL 2.0"). A document without a licensing word is passed over; in the
 others a rule runs only where its keywords stand in the text. Rules are ordered by
 priority; a detection that lies within another of the same or a better priority is suppressed (of equal
 intervals the better priority, then the earlier rule stays). All is computed within the row: no shuffle, and
@@ -70,12 +71,24 @@ public-domain | public domain | public domain | creativecommons\.org/publicdomai
 """
 #: Forms of mention by priority: regex around {label}, {name} or {url}; keyword that must stand in the text; confidence.
 FORMS = (
-    (r"spdx-license-identifier:\s*{label}(?:-only|-or-later|\+)?(?![a-z0-9.-])", "spdx", 1.0),
-    (r"(?:https?://)?(?:www\.)?{url}", "://|www.|.org|.net|.eu", 0.95),
-    (r"(?:licensed|released|distributed|available|published|provided|covered)\s+(?:only\s+)?(?:under|by)\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?{name}(?:\s+licen[cs]e)?(?![a-z0-9-])", "under| by", 0.9),
-    (r"licen[cs]e\s*[:=]\s*[\x22']?{name}(?![a-z0-9-])", "licen", 0.85),
-    (r"(?<![a-z0-9-]){name}\s+licen[cs]e(?![a-z0-9])", "licen", 0.7),
+    (r"(?:spdx-license-identifier:\s*\(*|(?<=\sor\s)|(?<=\sand\s)|(?<=\sor\s\()|(?<=\sand\s\()){label}(?:-only|-or-later|\+)?(?![a-z0-9.-])", "spdx-license", 1.0),
+    (r"(?:https?://)?(?:www\.)?(?:{url}|spdx\.org/licenses/{label}(?![a-z0-9-]))", "://|www.|.org|.net|.eu", 0.95),
+    (
+        r"(?:(?:licensed|released|distributed|available|published|provided|covered)\s+(?:only\s+)?(?:under|by)\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?"
+        r"|(?:lizenziert|veröffentlicht|verfügbar)\s+unter\s+(?:den\s+bedingungen\s+)?(?:der\s+)?|unter\s+der\s+(?:lizenz\s+)?"
+        r"|sous\s+(?:la\s+)?licence\s+|(?:distribué|publié)e?\s+sous\s+(?:les\s+termes\s+de\s+)?(?:la\s+)?(?:licence\s+)?"
+        r"|(?:bajo|con)\s+(?:los\s+términos\s+de\s+)?(?:la\s+)?licencia\s+)"
+        r"{name}(?:\s+licen[cs]e|[\s-]lizenz)?(?![a-z0-9-]|\.[0-9])",
+        "under| by|unter|sous|bajo|con", 0.9,
+    ),
+    (r"(?:licen[cs]e\s*[:=]\s*[\x22']?|lizenz\s*[:=]\s*[\x22']?|licen(?:cia|ce)\s+)\(?{name}(?![a-z0-9-]|\.[0-9])", "licen|lizenz", 0.85),
+    (r"(?<![a-z0-9-]){name}(?:\s+licen[cs]e(?![a-z0-9])|-licen[cs]ed?(?![a-z0-9])|[\s-]lizenz(?![a-z0-9]))", "licen|lizenz", 0.7),
+    (r"(?<![a-z0-9./-]){identifier}(?:-only|-or-later|\+)?(?![a-z0-9-]|\.[0-9])", "", 0.65),
 )
+#: What may stand between the words of a name.
+NAMED = r"[\s-]"
+#: Labels that are no words of other meaning: they count wherever they stand.
+IDENTIFIER = re.compile(r"\d\.\d|clause|^0bsd$|^ms-pl$|^mit-0$")
 #: Rules of their own wording: label | keyword that must stand in the text | regex | confidence. Spaces in a regex are any white
 #: space. Their priority comes before names and after tags, addresses and notices.
 WORDINGS = r"""
@@ -190,11 +203,68 @@ proprietary | end user | end[- ]user licen[cs]e agreement | 0.7
 public-domain | public | (?<![a-z0-9])(?:released|placed|put|donated|dedicated) (?:into|in|to) the public domain(?![a-z0-9-]) | 0.9
 public-domain | public | (?<![a-z0-9])dedicate[sd]? (?:[^\s.]+ ){1,8}to the public domain(?![a-z0-9-]) | 0.9
 public-domain | no known | no known copyright restrictions | 0.8
+mit | without warranty | the software is provided [\x22']?as is[\x22']?, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability | 0.8
+bsd | express or implied | this software is provided by (?:the )?[^\n.;]{1,120}?[\x22'`]*as is[\x22']* and any express or implied warranties | 0.8
+mit | mit | (?<![a-z0-9-])mit[- ]licen[cs]ed | 0.8
+apache-2.0 | apache | (?<![a-z0-9-])apache(?:[- ]2(?:\.0)?)?[- ]licen[cs]ed | 0.7
+bsd | bsd | (?<![a-z0-9-])bsd[- ]licen[cs]ed | 0.8
+gpl | gpl | (?<![a-z0-9-])(?:gnu )?gpl(?:v?[23])?[- ]licen[cs]ed | 0.75
+lgpl-2.0 | lgpl | (?<![a-z0-9])lgpl[- ]?v?2(?:\.0)?(?![.0-9a-z]) | 0.75
+agpl-3.0 | agpl | (?<![a-z0-9])agpl[- ]?v?3(?:\.0)?(?![.0-9a-z]) | 0.75
+bsl-1.0 | boost | (?<![a-z0-9])boost (?:software )?licen[cs]e | 0.8
+gfdl | free documentation | (?:gnu )?free documentation licen[cs]e | 0.8
+gfdl-1.2 | gfdl | (?<![a-z0-9])gfdl[- ]?v?1\.2 | 0.75
+gfdl-1.3 | gfdl | (?<![a-z0-9])gfdl[- ]?v?1\.3 | 0.75
+ncsa | ncsa | (?:university of illinois[/ ])?ncsa open source licen[cs]e | 0.95
+ncsa | ncsa | (?:licen[cs]e ?[:=] ?[\x22']?|licensed under (?:the )?)(?:uiuc/|u of i/)?ncsa(?![a-z0-9-]) | 0.85
+ncsa | ncsa | (?<![a-z0-9-])ncsa licen[cs]e | 0.7
+php-3.01 | php | php licen[cs]e,? (?:version |v)?3\.01 | 0.95
+php-3.0 | php | php licen[cs]e,? (?:version |v)?3\.0(?![0-9]) | 0.95
+w3c | w3c | w3c(?:\(r\)|®)? (?:software )?(?:and |notice and )?(?:document )?(?:notice and )?licen[cs]e | 0.9
+w3c | w3c | w3c software licen[cs]e | 0.9
+python-2.0 | python | python software foundation licen[cs]e version 2 | 0.9
+zpl-2.1 | zope | zope public licen[cs]e(?: \(zpl\))?,? (?:version |v)?2\.1 | 0.9
+ruby | ruby | (?:licensed under (?:the )?|same (?:terms|license) as )ruby(?:'s)?(?: licen[cs]e)?(?![a-z0-9-]) | 0.75
+perl | perl | under the same terms as (?:the )?perl(?: ?5)?(?: itself)? | 0.85
+vim | vim | (?<![a-z0-9-])vim licen[cs]e | 0.75
+curl | curl | (?<![a-z0-9-])curl licen[cs]e | 0.7
+x11 | x11 | (?<![a-z0-9-])(?:mit/)?x11 licen[cs]e | 0.8
+cecill-2.1 | cecill | cecill(?: free software)?(?: licen[cs]e)?(?: agreement)?[ ,-](?:version |v)?2\.1 | 0.85
+cecill-b | cecill | (?<![a-z0-9])cecill-b(?![a-z0-9]) | 0.8
+cecill-c | cecill | (?<![a-z0-9])cecill-c(?![a-z0-9]) | 0.8
+gpl | classpath | (?:with the |with )?[\x22']?classpath[\x22']? exception | 0.6
+mit | osi approved | license :: osi approved :: mit licen[cs]e | 0.95
+bsd | osi approved | license :: osi approved :: bsd licen[cs]e | 0.95
+apache-2.0 | osi approved | license :: osi approved :: apache software licen[cs]e | 0.9
+gpl-2.0 | osi approved | license :: osi approved :: gnu general public license v2(?: or later)? \(gplv2\+?\) | 0.95
+gpl-3.0 | osi approved | license :: osi approved :: gnu general public license v3(?: or later)? \(gplv3\+?\) | 0.95
+lgpl-3.0 | osi approved | license :: osi approved :: gnu lesser general public license v3(?: or later)? \(lgplv3\+?\) | 0.95
+agpl-3.0 | osi approved | license :: osi approved :: gnu affero general public license v3 | 0.95
+mpl-2.0 | osi approved | license :: osi approved :: mozilla public license 2\.0 \(mpl 2\.0\) | 0.95
+isc | osi approved | license :: osi approved :: isc license \(iscl\) | 0.95
+psf-2.0 | osi approved | license :: osi approved :: python software foundation licen[cs]e | 0.95
+unlicense | osi approved | license :: osi approved :: the unlicense \(unlicense\) | 0.95
+public-domain | gemeinfrei | (?<![a-zäöüß])gemeinfrei(?![a-zäöüß]) | 0.7
+public-domain | domaine public | (?:dans le|du) domaine public | 0.7
+public-domain | dominio público | (?:al|en el|de) dominio público | 0.7
+proprietary | rechte vorbehalten | alle rechte vorbehalten | 0.6
+proprietary | droits réservés | tous droits réservés | 0.6
+proprietary | derechos reservados | todos los derechos reservados | 0.6
+gpl | allgemeine öffentliche | (?:gnu )?allgemeine öffentliche (?:gnu[- ])?lizenz | 0.7
+gpl | publique générale | licence publique générale (?:de )?gnu | 0.8
+gpl | pública general | licencia pública general (?:de )?gnu | 0.8
+mit | hiermit | hiermit wird unentgeltlich jeder person, die eine kopie der software | 0.9
+mit | présente accordée | l'autorisation est par la présente accordée, gratuitement, à toute personne | 0.9
+mit | por la presente | se concede permiso por la presente, de forma gratuita, a cualquier persona | 0.9
+creative-commons | creative commons | creative[- ]commons[- ](?:lizenz|licencia)|licen(?:ce|cia) creative commons | 0.6
 """
 #: Any rule's text holds one of these; many documents hold none.
 GATES = (
     "licen", "right", "software", "domain", "creative", "cc", "gpl", "apache", "bsd", ".org", "wtfpl", "europa.eu", "redistribution",
     "released", "distributed", "available", "published", "provided", "covered", "proprietary", "unauthori", "prior",
+    "lizenz", "gemeinfrei", "domaine public", "dominio público", "rechte vorbehalten", "réservés", "reservados", "présente accordée", "por la presente",
+    "unentgeltlich", "gfdl", "cecill", "same terms as", "classpath", "pública general", "publique générale", "artistic-2", "artistic 2", "mpl", "epl-", "epl 1", "epl 2", "cddl", "eupl", "bsl-1", "bsl 1",
+    "psf-2", "psf 2", "ofl-1", "ofl 1", "afl-3", "afl 3", "osl-3", "osl 3", "ms-pl", "ms pl", "odbl", "odc-by", "odc by", "mit-0", "mit 0", "unter",
 )
 #: Words and what stands between them; these classes are one or two look-ups a character.
 WORD, SEP = r"[\p{Alnum}\x{80}-\x{10FFFF}]+", r"[\x00-\x7F&&[^\p{Alnum}]]+"
@@ -206,12 +276,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BEFORE = 3
 
 
-def spaced(regex: str) -> str:
-    """The regex with any white space for its spaces."""
+def spaced(regex: str, between: str = r"\s") -> str:
+    """The regex with any white space (or what else may stand between words) for its spaces."""
     out, inside = "", False
     for x in regex.replace(" ?", "\x00"):
         inside = x == "[" or inside and x != "]"
-        out += r"\s*" if x == "\x00" else (r"\s" if inside else r"\s+") if x == " " else x
+        out += f"{between}*" if x == "\x00" else (r"\s" if inside else f"{between}+") if x == " " else x
     return out
 
 
@@ -222,9 +292,11 @@ def rules() -> list[dict]:
         for line in LICENCES.strip().split("\n"):
             label, keyword, rest = (x.strip() for x in line.split(" | ", 2))
             name, _, url = rest.rpartition(" | ")
-            regex = form.replace("{label}", re.escape(label)).replace("{name}", f"(?:{spaced(name)})").replace("{url}", url)
-            known = [label] if "{label}" in form else [re.match(r"[a-z0-9-]+", url)[0]] if "{url}" in form else keyword.split(",")
-            found.append({"priority": priority + (priority >= BEFORE), "label": label, "keywords": [hint.split("|"), known], "regex": regex, "confidence": confidence})
+            if "{identifier}" in form and not IDENTIFIER.search(label):
+                continue
+            regex = form.replace("{label}", re.escape(label)).replace("{name}", f"(?:{spaced(name, NAMED)})").replace("{url}", url).replace("{identifier}", re.escape(label).replace(r"\-", "[- ]"))
+            known = [re.match(r"[a-z0-9-]+", url)[0], label] if "{url}" in form else [label] if "{label}" in form else [label.replace("-", " ")] if "{identifier}" in form else keyword.split(",")
+            found.append({"priority": priority + (priority >= BEFORE), "label": label, "keywords": [hint.split("|")] * bool(hint) + [known], "regex": regex, "confidence": confidence})
     for line in WORDINGS.strip().split("\n"):
         label, keyword, regex, confidence = (x.strip() for x in line.split(" | "))
         found.append({"priority": BEFORE, "label": label, "keywords": [[keyword]], "regex": spaced(regex), "confidence": float(confidence)})
