@@ -246,15 +246,15 @@ psf-2.0 | osi approved | license :: osi approved :: python software foundation l
 unlicense | osi approved | license :: osi approved :: the unlicense \(unlicense\) | 0.95
 public-domain | gemeinfrei | (?<![a-zäöüß])gemeinfrei(?![a-zäöüß]) | 0.7
 public-domain | domaine public | (?:dans le|du) domaine public | 0.7
-public-domain | dominio público | (?:al|en el|de) dominio público | 0.7
+public-domain | dominio p | (?:al|en el|de) dominio público | 0.7
 proprietary | rechte vorbehalten | alle rechte vorbehalten | 0.6
-proprietary | droits réservés | tous droits réservés | 0.6
+proprietary | tous droits | tous droits réservés | 0.6
 proprietary | derechos reservados | todos los derechos reservados | 0.6
-gpl | allgemeine öffentliche | (?:gnu )?allgemeine öffentliche (?:gnu[- ])?lizenz | 0.7
-gpl | publique générale | licence publique générale (?:de )?gnu | 0.8
-gpl | pública general | licencia pública general (?:de )?gnu | 0.8
+gpl | allgemeine | (?:gnu )?allgemeine öffentliche (?:gnu[- ])?lizenz | 0.7
+gpl | licence publique | licence publique générale (?:de )?gnu | 0.8
+gpl | licencia p | licencia pública general (?:de )?gnu | 0.8
 mit | hiermit | hiermit wird unentgeltlich jeder person, die eine kopie der software | 0.9
-mit | présente accordée | l'autorisation est par la présente accordée, gratuitement, à toute personne | 0.9
+mit | gratuitement | l'autorisation est par la présente accordée, gratuitement, à toute personne | 0.9
 mit | por la presente | se concede permiso por la presente, de forma gratuita, a cualquier persona | 0.9
 creative-commons | creative commons | creative[- ]commons[- ](?:lizenz|licencia)|licen(?:ce|cia) creative commons | 0.6
 """
@@ -262,8 +262,8 @@ creative-commons | creative commons | creative[- ]commons[- ](?:lizenz|licencia)
 GATES = (
     "licen", "right", "software", "domain", "creative", "cc", "gpl", "apache", "bsd", ".org", "wtfpl", "europa.eu", "redistribution",
     "released", "distributed", "available", "published", "provided", "covered", "proprietary", "unauthori", "prior",
-    "lizenz", "gemeinfrei", "domaine public", "dominio público", "rechte vorbehalten", "réservés", "reservados", "présente accordée", "por la presente",
-    "unentgeltlich", "gfdl", "cecill", "same terms as", "classpath", "pública general", "publique générale", "artistic-2", "artistic 2", "mpl", "epl-", "epl 1", "epl 2", "cddl", "eupl", "bsl-1", "bsl 1",
+    "lizenz", "gemeinfrei", "domaine public", "dominio p", "rechte vorbehalten", "tous droits", "reservados", "gratuitement", "por la presente",
+    "unentgeltlich", "gfdl", "cecill", "same terms as", "classpath", "artistic-2", "artistic 2", "mpl", "epl-", "epl 1", "epl 2", "cddl", "eupl", "bsl-1", "bsl 1",
     "psf-2", "psf 2", "ofl-1", "ofl 1", "afl-3", "afl 3", "osl-3", "osl 3", "ms-pl", "ms pl", "odbl", "odc-by", "odc by", "mit-0", "mit 0", "unter",
 )
 #: Words and what stands between them; these classes are one or two look-ups a character.
@@ -277,11 +277,12 @@ BEFORE = 3
 
 
 def spaced(regex: str, between: str = r"\s") -> str:
-    """The regex with any white space (or what else may stand between words) for its spaces."""
+    """The regex with any white space (or what else may stand between words) for its spaces, and letters beyond A-Z in both cases."""
     out, inside = "", False
     for x in regex.replace(" ?", "\x00"):
         inside = x == "[" or inside and x != "]"
-        out += f"{between}*" if x == "\x00" else (r"\s" if inside else f"{between}+") if x == " " else x
+        both = x if x.isascii() or len(x.upper()) > 1 or x == x.upper() else x + x.upper() if inside else f"[{x}{x.upper()}]"
+        out += f"{between}*" if x == "\x00" else (r"\s" if inside else f"{between}+") if x == " " else both
     return out
 
 
@@ -294,7 +295,7 @@ def rules() -> list[dict]:
             name, _, url = rest.rpartition(" | ")
             if "{identifier}" in form and not IDENTIFIER.search(label):
                 continue
-            regex = form.replace("{label}", re.escape(label)).replace("{name}", f"(?:{spaced(name, NAMED)})").replace("{url}", url).replace("{identifier}", re.escape(label).replace(r"\-", "[- ]"))
+            regex = spaced(form).replace("{label}", re.escape(label)).replace("{name}", f"(?:{spaced(name, NAMED)})").replace("{url}", url).replace("{identifier}", re.escape(label).replace(r"\-", "[- ]"))
             known = [re.match(r"[a-z0-9-]+", url)[0], label] if "{url}" in form else [label] if "{label}" in form else [label.replace("-", " ")] if "{identifier}" in form else keyword.split(",")
             found.append({"priority": priority + (priority >= BEFORE), "label": label, "keywords": [hint.split("|")] * bool(hint) + [known], "regex": regex, "confidence": confidence})
     for line in WORDINGS.strip().split("\n"):
