@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidecurve.streaming import pairing, readings, sessions
+from tidecurve.streaming import pairing, readings, sessions, vendor
 
 SCHEMA = "user_id string, ts timestamp, session_id string, source_record string, value double, flags int"
 
@@ -93,3 +93,25 @@ def test_a_session_closes_after_its_sensor_s_life(spark, tmp_path):
         _run(sessions.session_updates(keyed.readStream.schema(rows.schema).parquet(folder), late="1 hour", life_days=2), "update", out, check)
     got = {(r["serial"], r["n_readings"], r["closed"]) for r in sessions.latest(spark.read.parquet(out)).collect()}
     assert ("old", 3, True) in got and {s for s, *_ in got} == {"old", "new"}
+
+
+def test_a_vendor_s_stream_restarts_without_reading_twice(spark, tmp_path):
+    """Deliveries come between runs; the vendor's delay is kept back; a restart reads what is new only."""
+    folder, out, check = (str(tmp_path / x) for x in ("vendor", "out", "check"))
+    deliver = lambda *hours: spark.createDataFrame([(1, "s", 3600 * h, float(h)) for h in hours], "u long, serial string, s long, v double").select("u", "serial", F.timestamp_seconds("s").alias("at"), "v").coalesce(1).write.mode("append").parquet(folder)
+    told = vendor.Capabilities("two", native_resolution_min=5, data_delay_minutes=120, is_official_api=True, legal_basis="oauth_user_consent")
+    adapter = vendor.ParquetAdapter(folder, told, {"user_id": "u", "serial": "serial", "ts": "at", "value": "v"})
+    seen = []
+    for hours in ((1, 2, 3, 50), (), (49, 51, 60), (70,)):
+        if hours:
+            deliver(*hours)
+        _run(vendor.readings(spark, adapter, slice_min=600), "append", out, check)
+        seen.append(sorted(r["value"] for r in spark.read.parquet(out).collect()))
+    assert seen == [[1, 2, 3], [1, 2, 3], [1, 2, 3, 49, 50, 51], [1, 2, 3, 49, 50, 51, 60]]
+    row = spark.read.parquet(out).first()
+    assert (row["vendor"], row["is_official_api"], row["legal_basis"], row["source_record"]) == ("two", True, "oauth_user_consent", "historic")
+    reader = vendor.VendorReader(adapter, 600)
+    slices = reader.partitions({"us": 0}, reader.latestOffset())
+    assert len(slices) > 5 and all(a.upto == b.after for a, b in zip(slices, slices[1:], strict=False))
+    late = vendor.VendorReader(vendor.ParquetAdapter(folder, vendor.Capabilities("x", 5, max_history_days=1), adapter.columns), 600)
+    assert late.initialOffset()["us"] == (70 - 24) * 3_600_000_000

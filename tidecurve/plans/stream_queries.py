@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow.dataset as ds
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecurve.operators.tables import settled_path
 from tidecurve.plans import proxy
 from tidecurve.plans.proxy import CFG
-from tidecurve.streaming import pairing, sessions
+from tidecurve.streaming import pairing, sessions, vendor
 
 QUERIES, SQLS = {}, {}
 #: Files of a batch.
@@ -37,7 +38,7 @@ def arriving(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(folder)
 
 
-def told(stream: DataFrame, mode: str = "append") -> DataFrame:
+def told_by(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream tells until all that is there has been read, from a table in the shared folder."""
     spark = stream.sparkSession
     path, check = settled_path(spark, "told"), settled_path(spark, "progress")
@@ -66,7 +67,7 @@ def stream_pairing(spark, sf_dir):
     stream = arriving(spark, dealt(events, F.expr(ARRIVES), 3), events.schema)
     meals = stream.where("event_type = 'purchase'").select(F.col("event_id").alias("meal_id"), "user_id", F.col("ts").alias("consumed_at"))
     readings = stream.where("event_type <> 'purchase'").select("user_id", "ts", "value", F.lit(0).alias("flags"))
-    points = told(pairing.window_stream(meals, readings, CFG, "3 days"))
+    points = told_by(pairing.window_stream(meals, readings, CFG, "3 days"))
     return points.groupBy("meal_id").agg(F.count("*").alias("n_points"), F.round(F.sum("rel"), 3).alias("total_rel"), F.round(F.sum("value"), 3).alias("total"), F.max("value").alias("peak"))
 
 
@@ -76,7 +77,7 @@ def stream_sessions(spark, sf_dir):
     events = proxy.events(spark, sf_dir).where("event_type <> 'purchase'").select("user_id", F.col("event_type").alias("serial"), "ts", "event_id")
     keyed = sessions.keyed_session(spark)
     stream = arriving(keyed, dealt(events, F.expr(f"case least(2, {DAY} div 10) when 0 then 1 when 1 then 2 else 0 end"), 3), events.schema)
-    found = sessions.latest(told(sessions.session_updates(stream, late="60 days"), "update"))
+    found = sessions.latest(told_by(sessions.session_updates(stream, late="60 days"), "update"))
     return spark.read.schema(found.schema).parquet(_kept(found)).select("user_id", "serial", F.unix_micros("started_at").alias("started_us"), F.unix_micros("ended_at").alias("ended_us"), "n_readings")
 
 
@@ -85,3 +86,15 @@ def _kept(found: DataFrame) -> str:
     path = settled_path(found.sparkSession)
     found.write.parquet(path)
     return path
+
+
+@query("""
+WITH r AS (SELECT * FROM events WHERE event_type <> 'purchase')
+SELECT user_id::VARCHAR AS user_id, count(*) AS n, CAST(min(epoch_us(ts)) AS BIGINT) AS first_us, CAST(max(epoch_us(ts)) AS BIGINT) AS last_us, round(sum(value), 2) AS total FROM r WHERE ts <= (SELECT max(ts) FROM r) - INTERVAL 3 HOURS GROUP BY 1
+""")
+def stream_vendor(spark, sf_dir):
+    """Events as the deliveries of a vendor with a delay of three hours."""
+    told = vendor.Capabilities("events", native_resolution_min=15, data_delay_minutes=180)
+    adapter = vendor.ParquetAdapter(f"{sf_dir}/events.parquet", told, {"user_id": "user_id", "serial": "event_type", "ts": "ts", "value": "value"}, ds.field("event_type") != "purchase")
+    rows = told_by(vendor.readings(spark, adapter))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.unix_micros(F.min("ts")).alias("first_us"), F.unix_micros(F.max("ts")).alias("last_us"), F.round(F.sum("value"), 2).alias("total"))
