@@ -10,11 +10,15 @@
    components are found. So a group of thousands costs a few pairs for each member.
 4. Round two makes the result whole: over all trees and all classes, every likely pair whose ends are still in
    different components is compared on full sets. It has no sorted partitions, whose boundaries cut regions: regions of several
-   components are dealt as groups, large ones as blocks, where each block meets each block of the rows outside the region's
+   components are dealt as groups, large ones as blocks, where each block meets the block of the rows outside the region's
    largest component. A group tells the rows that have a likely partner in it, the full sets of these rows are joined to
    them, and the group is compared again on full sets by posting lists of its shingles. It emits a spanning forest
-   of its links, so no step emits all pairs: what moves follows the number of rows, for groups above the threshold
-   and for templates below it.
+   of its links, so no step emits all pairs.
+5. A region with more than a block of rows outside of its largest component is crowded: a template below the threshold, in
+   which blocks that meet blocks would grow with the square. The rows of such regions meet once for all trees, on
+   the rarest quarter of their shingles (prefixes, Xiao and others, 2011): of two sets alike enough the first common shingle
+   in the order of rarity lies so early in both that what follows can still reach the threshold. What a template
+   has in common is frequent and comes too late, so its documents don't meet; what moves is a quarter of a row's shingles at most.
 
 A pair at the threshold of 0.75 shares two hashes in one of 12 trees with probability 0.99995, and its signatures agree in
 58 % of 128 places at least with probability 0.999995; round two looks at each such pair whatever the partitions are.
@@ -34,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecurve.llm.common import mixed, parts, released, small, written
+from tidecurve.llm.common import mixed, parts, released, small, small_lists, written
 from tidecurve.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -47,6 +51,8 @@ TOLD, ASKS, BOTH = 0, 1, 2
 FIRST = 6
 #: Rows of a region that round one holds at once; shingles of the rows of a block of round two; entries of posting lists at once.
 HELD, BLOCK_SHINGLES, ENTRIES = 32_768, 1 << 20, 1 << 22
+#: Buckets (by their highest bits) in which shingles of crowded regions are counted; the driver and each task hold 8 bytes of each.
+BUCKET_BITS = 18
 
 _RANDOM = np.random.default_rng(20)
 _WEIGHTS = _RANDOM.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -237,6 +243,39 @@ class Meet(Groups):
             self.found.append((region, i.astype(np.int32), j.astype(np.int32), self.side[k], self.node[k], self.comp[k]))
 
 
+class Rare(Groups):
+    """The rows of different components that share a rare shingle early enough, from rows sorted by (shingle, i, j). The smaller
+    set of a pair asks; reach is 7 * (the set's size less the shingle's place): a pair may hold 3 of 7 of both sizes in common."""
+
+    names = Meet.names
+
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        k, i, j, *rest = (c.to_numpy() for c in batch.columns)
+        return np.stack([k, i, j], 1), *rest
+
+    def changes(self, rows: tuple[np.ndarray, ...]) -> np.ndarray:
+        self.at, self.side, self.node, self.comp, self.size, self.reach = rows
+        return (self.at[1:] != self.at[:-1]).any(1)
+
+    def group(self, lo: int, hi: int) -> None:
+        side, comp = self.side[lo:hi], self.comp[lo:hi]
+        if (comp == comp[0]).all():
+            return
+        of = lo + np.flatnonzero(side != ASKS)
+        node, comp, size, reach = self.node[of], self.comp[of], self.size[of], self.reach[of]
+        wanted = np.zeros(hi - lo, bool)
+        for i in lo + np.flatnonzero(side != TOLD):
+            least = 3 * (size + self.size[i])
+            fits = (comp != self.comp[i]) & (reach >= least) & (self.reach[i] >= least) & ((size > self.size[i]) | ((size == self.size[i]) & (node > self.node[i])))
+            if fits.any():
+                wanted[i - lo] = True
+                wanted[of[fits] - lo] = True
+        if wanted.any():
+            k = lo + np.flatnonzero(wanted)
+            shingle, i, j = self.at[k].T
+            self.found.append((shingle, i.astype(np.int32), j.astype(np.int32), self.side[k], self.node[k], self.comp[k]))
+
+
 class Judge(Groups):
     """Spanning forests of the links between components, from rows (region, i, j, side, node, component, hashes) sorted by group."""
 
@@ -285,14 +324,106 @@ def forest(classes: DataFrame) -> DataFrame:
     return rows.repartitionByRange("tree", "levels", "node").sortWithinPartitions("tree", "levels", "node")
 
 
+def by_region(classes: DataFrame) -> DataFrame:
+    """A row of classes for each tree (but for those in its column crowded, if it has one), with its region: tree and first hashes."""
+    trees = F.sequence(F.lit(0), F.lit(TREES - 1))
+    if "crowded" in classes.columns:
+        trees = F.array_except(trees, F.coalesce("crowded", F.expr("cast(array() as array<int>)")))
+    head = F.substring("heads", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
+    region = F.col("tree").cast("long") * F.lit(1 << 32) + F.conv(F.hex(head), 16, 10).cast("long")
+    return classes.select("*", F.explode(trees).alias("tree")).select(region.alias("region"), "tree", "sketch", "heads", "node", "component", "n_shingles")
+
+
+def crowded(classes: DataFrame) -> DataFrame:
+    """node, component, sketch, heads, crowded of the rows in regions that have more than a block of rows outside of their largest
+    component; crowded lists the trees of these regions."""
+    rows = by_region(classes)
+    kinds = rows.groupBy("region").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"), F.min("component").alias("low"), F.max("component").alias("high"))
+    large = written(kinds.where((F.col("low") != F.col("high")) & ((F.col("n") > BLOCK) | (F.col("w") > BLOCK_SHINGLES))), "regions")
+    inside = rows.join(small(large.select("region")), "region", "left_semi").groupBy("region", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    most = inside.groupBy("region").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "component", "w")).alias("most"))
+    outside = (F.col("n") - F.col("most.n") > BLOCK) | (F.col("w") - F.col("most.w") > BLOCK_SHINGLES)
+    many = written(most.where(outside).select("region"), "crowded")
+    told = rows.join(small(many), "region", "left_semi").groupBy("node", "component", "sketch", "heads").agg(F.sort_array(F.collect_set("tree")).alias("crowded"))
+    told = written(told, "crowded")
+    released(large, many)
+    return told
+
+
+def bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall in each of the 2 ** BUCKET_BITS buckets: at least as many as sets hold any one of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in parts(batches):
+            n += np.bincount((np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["bucket", "n"])
+
+    counted = sets.select("hashes").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << BUCKET_BITS, np.int64)
+    total[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    return total
+
+
+RARE = "k long, often boolean, node long, component long, size long, reach long"
+
+
+def rare_shingles(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """The rarest quarter of each set by (count of its bucket, hash), without those that no other set holds. Rows RARE; often if
+    more sets than a block may hold the shingle. sets: node, component, hashes."""
+    names = [x.split()[0] for x in RARE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 64):
+            found = []
+            for node, comp, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = np.frombuffer(hashes, np.uint64)
+                n = counts[s >> np.uint64(64 - BUCKET_BITS)]
+                first = np.lexsort((s, n))[: len(s) // 4 + 1]
+                place = np.flatnonzero(n[first] > 1)
+                first = first[place]
+                same = np.ones(len(first), np.int64)
+                found.append((s[first].view(np.int64), n[first] > BLOCK, same * node, same * comp, same * len(s), 7 * (len(s) - place)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=names)
+
+    return sets.select("node", "component", "hashes").mapInArrow(run, RARE)
+
+
+def rare_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows RARE by groups (k, i, j): a shingle of a block of sets at most is one group; of another the sets that may ask, in blocks i,
+    meet all of its sets, in blocks j, if there are several components and any set that asks. And the table of those shingles."""
+    asks = F.col("reach") >= 6 * F.col("size")
+    columns = ("node", "component", "size", "reach")
+    one = rows.where("not often").select("k", F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(asks, BOTH).otherwise(TOLD).alias("side"), *columns)
+    kinds = rows.where("often").groupBy("k").agg(F.count("*").alias("n"), F.sum(asks.cast("int")).alias("asked"), F.min("component").alias("low"), F.max("component").alias("high"))
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+    kinds = written(kinds.where("low <> high and asked > 0").select("k", blocks("asked").alias("askers"), blocks("n").alias("blocks")), "shingles")
+    place = F.xxhash64("node")
+    i, j = F.pmod(place, "askers").cast("int"), F.pmod(F.shiftright(place, 20), "blocks").cast("int")
+    to = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    told = F.transform(F.sequence(F.lit(0), F.col("askers") - 1), lambda x: to(x, j, TOLD))
+    asking = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: to(i, x, ASKS))
+    many = rows.where("often").join(small(kinds), "k").select("k", F.explode(F.when(asks, F.concat(told, asking)).otherwise(told)).alias("to"), *columns).select("k", "to.i", "to.j", "to.side", *columns)
+    return one.unionByName(many).repartition("k", "i", "j").sortWithinPartitions("k", "i", "j"), kinds
+
+
+def rare_needed(told: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows as those of needed(), of the rows in crowded regions, written. told: crowded()'s; sets: node, hashes of its nodes."""
+    owners = written(told.select("node", "component").distinct(), "owners")
+    rows = written(rare_shingles(sets.join(small(owners), "node"), bucket_counts(sets)), "rare")
+    dealt, kinds = rare_groups(rows)
+    found = written(dealt.mapInArrow(lambda batches: Rare().run(batches), "region long, i int, j int, side int, node long, component long"), "needed")
+    released(owners, rows, kinds)
+    return found
+
+
 def groups(classes: DataFrame) -> DataFrame:
     """Rows of the regions (tree and first hashes) that hold several components, by groups (region, i, j). Any pair of
     different components has an end outside of the region's largest component: those rows, in blocks i, ask the
     region's rows, in blocks j. A region of one block is one group, where a row may be BOTH.
-    classes: node, component, n_shingles, sketch, heads."""
-    head = F.substring("heads", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
-    region = F.col("tree").cast("long") * F.lit(1 << 32) + F.conv(F.hex(head), 16, 10).cast("long")
-    rows = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(region.alias("region"), "sketch", "heads", "node", "component", "n_shingles")
+    classes: node, component, n_shingles, sketch, heads, and crowded (trees to leave out) if there are any."""
+    rows = by_region(classes).drop("tree")
     several = rows.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("region")
     several = written(several, "regions")
     kinds = rows.join(small(several), "region", "left_semi").groupBy("region", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
@@ -370,10 +501,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = written(confirm(first, members), "links")
     found = written(components(links), "components")
     parted = classes.join(small(found), "node", "left").select("node", "n_shingles", "sketch", "heads", F.coalesce("component", "node").alias("component"))
-    rows = written(needed(parted), "needed")
+    told_apart = crowded(parted)
+    if told_apart.isEmpty():
+        rows = written(needed(parted), "needed")
+    else:
+        own = written(shingle_sets(docs, ends(told_apart.select("node"))), "sets")
+        rare = rare_needed(told_apart, own)
+        parted = parted.join(small_lists(told_apart.drop("component")), ["node", "sketch", "heads"], "left")
+        rows = written(needed(parted).unionByName(rare), "needed")
+        released(own, rare)
     more = written(judged(rows, shingle_sets(docs, ends(rows.select("node")))), "links")
     final = components(links.unionByName(more))
-    released(first, members, links, found, rows, more)
+    released(first, members, links, found, told_apart, rows, more)
     named = classes.join(final, "node", "left").select("n_shingles", "high", "low", "node", F.coalesce("component", "node").alias("component"))
     same = [told[c].eqNullSafe(named[c]) for c in ("n_shingles", "high", "low")]
     joined = told.join(named, same[0] & same[1] & same[2], "left").select(told["key"], told["n_shingles"], named["component"])
