@@ -12,8 +12,10 @@ class, whatever their length; lines of ``min_chars`` code points or more join th
 3. A segment that more than ``HOT`` lines index (a template, a family of variants) isn't paired as it is. Its lines get two
    sketches of 64 bits, in which each edit flips four bits at most. First each line is compared with ``STARS`` lines of its
    segment only, so that a family of any size costs a few pairs a line; then lines of the segment that are still in different
-   components and whose sketches allow it, in blocks of ``BLOCK`` lines. What is emitted follows the number of
-   lines, for families of true links as for templates whose variants aren't links.
+   components and whose sketches allow it. A segment with more than ``BLOCK`` such lines is first split by their rarest
+   grams: an edit takes ``GRAM`` grams of a line at most, so of two lines within EDITS edits the rarest GRAM * EDITS + 1
+   have one in common, in any one order of all grams. A template's own grams are frequent and bring nothing together, so
+   what is copied follows the number of lines. A gram that is among the rarest and yet has more than a block is dealt in blocks.
 4. Candidate pairs are verified on whole lines by a banded bit-parallel edit distance: a fold over the shorter line with the
    band's vertical differences as bits of one number, after what both lines share at their ends is set aside.
 5. Links give classes (connected components), classes give each occurrence its verdict. No link between classes is
@@ -38,6 +40,8 @@ from tidecurve.llm.graph import components
 EDITS, MIN_CHARS = 2, 16
 #: Lines that index a segment beyond which it is hot; lines of it that all others are compared with first; lines in a block.
 HOT, STARS, BLOCK = 16, 4, 4096
+#: Code points of a gram; slots in which grams are counted (a table of 4 MB at most, which is broadcast).
+GRAM, SLOTS = 3, 1 << 18
 LETTERS = "etaonir"
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -198,16 +202,48 @@ def star_pairs(rows: DataFrame) -> DataFrame:
     return met.where((F.col("a") != F.col("b")) & sketches_fit("a", "b")).select("a", "b")
 
 
-def mixed_pairs(rows: DataFrame, block: int) -> DataFrame:
-    """a, b: lines of a hot segment in different components whose sketches allow a link; blocks of index rows meet blocks of probes."""
+def rare_grams(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """id, grams: hashes of the GRAM * edits + 1 rarest grams of each line. Lines with fewer distinct ones share another
+    entry, 0, as two of them may have no gram in common. lines: id, line."""
+    most = GRAM * edits
+    # At each code point (not within a surrogate pair) what starts there, without taking it.
+    found = F.regexp_extract_all("line", F.lit(r"(?s)(?=([^\uDC00-\uDFFF]" + "." * (GRAM - 1) + "))"), F.lit(1))
+    cut = lines.repartition("id").select("id", F.explode_outer(F.array_distinct(F.transform(found, lambda g: F.xxhash64(g)))).alias("gram"))
+    cut = cut.withColumn("slot", F.pmod("gram", F.lit(SLOTS)))
+    counted = F.broadcast(cut.where("gram is not null").groupBy("slot").agg(F.count("*").alias("n")))
+    ranked = F.array_sort(F.collect_list(F.when(F.col("gram").isNotNull(), F.struct("n", "gram"))))
+    told = cut.join(counted, "slot", "left").groupBy("id").agg(ranked.alias("ranked"))
+    rarest = F.transform(F.slice("ranked", 1, most + 1), lambda g: g["gram"])
+    return told.select("id", F.when(F.size("ranked") > most, rarest).otherwise(F.concat(rarest, F.array(F.lit(0).cast("long")))).alias("grams"))
+
+
+def mixed_groups(rows: DataFrame, block: int) -> DataFrame:
+    """k, own, asked: segments that join lines of different components, and their blocks of index rows and of probes."""
     kinds = rows.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum((~F.col("asks")).cast("int")).alias("own"), F.sum(F.col("asks").cast("int")).alias("asked"))
-    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
-    kinds = kinds.where("low <> high and asked > 0").select("k", blocks("own").alias("own"), blocks("asked").alias("asked"))
-    placed = rows.join(kinds, "k").withColumn("at", F.xxhash64("id"))
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int").alias(n)
+    return kinds.where("low <> high and own > 0 and asked > 0").select("k", blocks("own"), blocks("asked"))
+
+
+def dealt(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Index rows and probes with the pair of blocks they meet in: a row is copied once for each block of the other side."""
+    placed = rows.join(mixed_groups(rows, block), "k").withColumn("at", F.xxhash64("id"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     side = lambda x, i, j: (F.col("k").alias(f"{x}k"), i.alias(f"{x}i"), j.alias(f"{x}j"), F.col("id").alias(x), F.col("component").alias(f"{x}c"), F.col("s").alias(f"{x}s"), F.col("t").alias(f"{x}t"))
     own = placed.where("not asks").withColumn("of", each("asked")).select(*side("a", F.pmod("at", "own"), F.col("of")))
-    asked = placed.where("asks").withColumn("of", each("own")).select(*side("b", F.col("of"), F.pmod("at", "asked")))
+    return own, placed.where("asks").withColumn("of", each("own")).select(*side("b", F.col("of"), F.pmod("at", "asked")))
+
+
+def mixed_pairs(rows: DataFrame, lines: DataFrame, block: int) -> DataFrame:
+    """a, b: lines of a hot segment in different components whose sketches allow a link. rows: k, id, asks, component, s, t;
+    lines: id, line."""
+    crowded = written(mixed_groups(rows, block).where("own > 1 or asked > 1").select("k"), "crowded")
+    if not crowded.isEmpty():
+        many = rows.join(small(crowded), "k", "left_semi")
+        inside = written(many.select("id").distinct(), "crowded_lines")
+        keys = written(rare_grams(lines.join(small(inside), "id", "left_semi")), "grams")
+        finer = many.join(keys, "id").withColumn("gram", F.explode("grams")).withColumn("k", F.xxhash64("k", "gram")).drop("gram", "grams")
+        rows = written(rows.join(small(crowded), "k", "left_anti").unionByName(finer), "hot_rows")
+    own, asked = dealt(rows, block)
     same = (own["ak"] == asked["bk"]) & (own["ai"] == asked["bi"]) & (own["aj"] == asked["bj"])
     return own.join(asked, same & (F.col("ac") != F.col("bc")) & sketches_fit("a", "b")).select("a", "b")
 
@@ -242,13 +278,13 @@ def near_lines(docs: DataFrame, counted: DataFrame, min_chars: int = MIN_CHARS)
         released(keyed, copied, hot)
         return links
     inside = written(rows.select(F.col("id").alias("h1")).distinct(), "hot_lines")
-    lines = fuzzy.join(small(inside), "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    lines = written(lines.select(F.col("h1").alias("id"), name("h1", "h2").alias("node"), sketches(F.col("line")).alias("both")).select("id", "node", "both.s", "both.t"), "sketches")
+    texts = fuzzy.join(small(inside), "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    lines = written(texts.select(F.col("h1").alias("id"), name("h1", "h2").alias("node"), sketches(F.col("line")).alias("both")).select("id", "node", "both.s", "both.t"), "sketches")
     rows = written(rows.join(lines, "id"), "hot_rows")
     links = verified(pairs.unionByName(star_pairs(rows)), fuzzy)
     released(keyed, copied, hot)
     rows = rows.join(small(written(line_components(links), "components")), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return links.unionByName(verified(mixed_pairs(rows.drop("node"), BLOCK), fuzzy))
+    return links.unionByName(verified(mixed_pairs(rows.drop("node"), texts.select(F.col("h1").alias("id"), "line"), BLOCK), fuzzy))
 
 
 def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
