@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidecurve.plans import link_queries, meal_queries, retrieval_queries, signal_queries, stream_queries, text_queries
+from tidecurve.plans import link_queries, meal_queries, retrieval_queries, signal_queries, stream_queries, text_queries, trial_queries
 
-PARTS = (signal_queries, meal_queries, text_queries, link_queries, stream_queries, retrieval_queries)
+PARTS = (signal_queries, meal_queries, text_queries, link_queries, stream_queries, retrieval_queries, trial_queries)
 
 
 def queries() -> dict:
