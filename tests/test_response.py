@@ -71,3 +71,11 @@ def test_next_meal_limits_the_window(spark):
 def test_quality_of_reasons(spark):
     df = spark.createDataFrame([([], ["peak_underestimated"], True), ([], ["weak_baseline"], True), ([], [], False), (["x"], [], True)], "e array<string>, d array<string>, m boolean")
     assert [r.q for r in df.select(pairing.quality(F.col("e"), F.col("d"), F.col("m")).alias("q")).collect()] == ["ok", "degraded", "degraded", "excluded"]
+
+
+def test_exclusion_counts_come_sorted(spark):
+    rows = [("u", "excluded", ["b", "c"]), ("u", "excluded", ["c"]), ("t", "excluded", ["a"]), ("u", "excluded", []), ("u", "excluded", None), ("u", "ok", ["c"])]
+    df = spark.createDataFrame(rows, "user_id string, quality string, exclusions array<string>")
+    assert [tuple(r) for r in analysis.exclusion_counts(df).collect()] == [("c", 2), ("a", 1), ("b", 1)]
+    assert [tuple(r) for r in analysis.exclusion_counts(df, "user_id").collect()] == [("t", "a", 1), ("u", "c", 2), ("u", "b", 1)]
+    assert analysis.exclusion_counts(df.limit(0)).count() == 0

@@ -45,5 +45,5 @@ def summary(rows: DataFrame) -> DataFrame:
 
 
 def exclusion_counts(rows: DataFrame, *by: str) -> DataFrame:
-    """How often each reason excludes a meal; the most frequent first where it matters is up to the reader."""
-    return rows.where("quality = 'excluded'").select(*by, F.explode("exclusions").alias("reason")).groupBy(*by, "reason").agg(F.count("*").alias("n"))
+    """How often each reason excludes a meal, in each group of `by`: the most frequent first, equal ones by name."""
+    return rows.where("quality = 'excluded'").select(*by, F.explode("exclusions").alias("reason")).groupBy(*by, "reason").agg(F.count("*").alias("n")).orderBy(*by, F.desc("n"), "reason")
