@@ -219,17 +219,24 @@ class MediaArchive(DataSource):
         return ArchiveWriter(self.options["path"])
 
 
+def _register(spark: SparkSession) -> None:
+    """Make media_archive known. Spark looks its name up in the thread's active session, which a thread begun elsewhere lacks and
+    which may be another one of the application; creating a frame makes spark the active one."""
+    spark.dataSource.register(MediaArchive)
+    spark.createDataFrame([], MEMBERS)
+
+
 def store_media(df: DataFrame, path: str, key: str = "doc_id", payload: str = "text") -> None:
     """Write (key, payload) as archives under path. key: an integer; payload: a string (as UTF-8) or binary column."""
     if not isinstance(df.schema[key].dataType, IntegralType):
         raise TypeError(f"{key} is no integer column")
-    df.sparkSession.dataSource.register(MediaArchive)
+    _register(df.sparkSession)
     df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload")).write.format("media_archive").mode("append").save(path)
 
 
 def read_media(spark: SparkSession, path: str, **options) -> DataFrame:
     """Members of the archives under path: key, media (the image's bytes), error (null if well read)."""
-    spark.dataSource.register(MediaArchive)
+    _register(spark)
     return spark.read.format("media_archive").options(**options).load(path)
 
 
