@@ -72,3 +72,37 @@ def test_long_lists_are_not_broadcast(spark, monkeypatch):
     long = common.written(spark.range(100).select("id", F.array_repeat(F.lit(1), 1000).alias("x")), "long")
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() or "UnresolvedHint" in df._jdf.queryExecution().logical().toString()
     assert hinted(common.small_lists(few)) and not hinted(common.small_lists(long))
+
+
+def test_masses_and_threshold_come_from_every_row(spark, monkeypatch):
+    rnd = np.random.default_rng(8)
+    rows = rnd.normal(size=(4000, 3))
+    grown = quality.Forest.fit(rows, trees=5, sample=64)
+    masses = [np.bincount(node, minlength=len(tree[0])) for tree, node in zip(grown.trees, grown.leaves(rows), strict=True)]
+    assert all(m.sum() == 4000 for m in masses)
+    lone = [np.full_like(m, 0) for m in masses]
+    assert (grown.weighed(masses, 64).score(rows) < grown.weighed(lone, 64).score(rows)).all()  # fuller leaves lie deeper
+
+    scores, bad = np.round(rnd.random(3000), 3), rnd.random(3000) < 0.3
+    bad |= scores > 0.9
+    df = spark.createDataFrame([(float(s), bool(b)) for s, b in zip(scores, bad, strict=True)], "score double, bad boolean").repartition(5)
+    for ranges in (1, 7, 4096):
+        monkeypatch.setattr(quality, "RANGES", ranges)
+        assert abs(quality.threshold(df, 2.0) - quality.calibrated(scores, bad, 2.0)) < 1e-12
+    assert quality.threshold(df.where("bad"), 2.0) == quality.threshold(df.limit(0), 2.0) == math.inf
+
+
+def test_labelled_rows_beyond_the_draw_count(spark):
+    rnd = np.random.default_rng(6)
+    said = lambda n: "\n".join(" ".join("".join(rnd.choice(list("abdeginorst"), rnd.integers(2, 9))) for _ in range(9)) for _ in range(n))
+    texts = [(i, said(8 + i % 5) + ("" if i % 4 else " ".join(f"#{k} ${k}{i} | !" for k in range(30)))) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(300)], "doc_id long, quality int")
+    seen = []
+    plain = quality.threshold
+    quality.threshold = lambda scored, strictness: seen.append(scored.count()) or plain(scored, strictness)
+    try:
+        quality.fit(docs, labels, sample_rows=40)
+    finally:
+        quality.threshold = plain
+    assert seen == [300]
