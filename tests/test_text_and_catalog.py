@@ -73,3 +73,17 @@ def test_writing_twice_adds_nothing(spark):
     first = upsert.merge_readings(rows, None)
     assert sorted(r.value for r in first.collect()) == [4.0, 6.0]
     assert upsert.merge_readings(rows, first).count() == 0
+
+
+def test_alike_names_are_looked_for_where_a_text_stays_unsure(spark, monkeypatch):
+    asked, plain = [], catalog.fuzzy_candidates
+    monkeypatch.setattr(catalog, "fuzzy_candidates", lambda labels, *a, **k: asked.append({r.label for r in labels.select("label").collect()}) or plain(labels, *a, **k))
+    aliases = spark.createDataFrame([(1, "mango", None), (2, "yogur natural", None), (3, "papaya", None)], "food_id int, normalized string, user_id string")
+    sure = spark.createDataFrame([("1", "u", "mango con papaya"), ("2", "u", "mango, papaya"), ("3", "u", "papaya")], "text_id string, user_id string, text string")
+    got = sorted((r.text_id, r.item_no, r.part_no, r.food_id, r.method) for r in catalog.resolve_texts(sure, aliases).collect())
+    assert got == [("1", 0, 0, 1, "exact_alias"), ("1", 0, 1, 3, "exact_alias"), ("2", 0, 0, 1, "exact_alias"), ("2", 1, 0, 3, "exact_alias"), ("3", 0, 0, 3, "exact_alias")]
+    assert asked == []
+    some = spark.createDataFrame([("1", "u", "mango con yogur naturel"), ("2", "u", "papayas"), ("3", "u", "zzz con qqq")], "text_id string, user_id string, text string")
+    got = sorted((r.text_id, r.item_no, r.part_no, r.item.label, r.food_id, r.method) for r in catalog.resolve_texts(some, aliases).collect())
+    assert got == [("1", 0, 0, "mango", 1, "exact_alias"), ("1", 0, 1, "yogur naturel", 2, "fuzzy"), ("2", 0, 0, "papayas", 3, "fuzzy"), ("3", 0, 0, "zzz con qqq", None, None)]
+    assert sorted(map(sorted, asked)) == [["papayas", "zzz con qqq"], ["yogur naturel"]]

@@ -6,13 +6,16 @@ aliases: food_id, normalized, user_id (null: everyone's). labels: label_id, user
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecurve.config import DEFAULT, Thresholds
 from tidecurve.functions import text
 from tidecurve.operators.tables import settled
 
+#: Texts of a task.
+TASK_TEXTS = 10_000
+
 
 def exact_candidates(labels: DataFrame, aliases: DataFrame, on: str) -> DataFrame:
     """label_id, food_id, confidence, method of the aliases equal to labels[on]: 1.0 for the user's own, else 0.97."""
@@ -51,16 +54,24 @@ def fuzzy_candidates(labels: DataFrame, aliases: DataFrame, k: int = 5, cfg: Thr
     return ranked.select("label_id", "food_id", F.least(F.lit(cfg.fuzzy_cap), -F.col("b.less")).alias("confidence"), F.lit("fuzzy").alias("method"))
 
 
-def resolve_labels(labels: DataFrame, aliases: DataFrame, k: int = 5, cfg: Thresholds = DEFAULT) -> DataFrame:
-    """label_id, food_id, confidence, method: exact, else exact without stop words, else fuzzy; at most k a label."""
+def exact_tiers(labels: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(label_id, food_id, confidence, method of exact matches, else of those without stop words; the labels without either)."""
     named = settled(labels.withColumn("normalized", text.normalize(F.col("label"))).where("normalized <> ''").withColumn("stripped", text.strip_stopwords(F.col("normalized"))))
     first = settled(exact_candidates(named, aliases, "normalized"))
     rest = settled(named.join(first, "label_id", "left_anti"))
     second = settled(exact_candidates(rest.where("stripped <> normalized"), aliases, "stripped"))
-    third = fuzzy_candidates(rest.join(second, "label_id", "left_anti"), aliases, k, cfg)
-    met = first.unionByName(second).unionByName(settled(third))
+    return first.unionByName(second), rest.join(second, "label_id", "left_anti")
+
+
+def best_few(candidates: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("label_id").orderBy(F.desc("confidence"), "food_id"))
-    return met.withColumn("place", place).where(F.col("place") <= k).drop("place")
+    return candidates.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
+def resolve_labels(labels: DataFrame, aliases: DataFrame, k: int = 5, cfg: Thresholds = DEFAULT) -> DataFrame:
+    """label_id, food_id, confidence, method: exact, else exact without stop words, else fuzzy; at most k a label."""
+    met, rest = exact_tiers(labels, aliases)
+    return best_few(met.unionByName(settled(fuzzy_candidates(rest, aliases, k, cfg))), k)
 
 
 def best_candidates(candidates: DataFrame) -> DataFrame:
@@ -74,24 +85,40 @@ def resolve_texts(texts: DataFrame, aliases: DataFrame, cfg: Thresholds = DEFAUL
 
     A text that is an alias as a whole is one item. Else it is split; an item without an exact match is split again at a connector
     if two parts or more match exactly, or one of two parts does."""
-    exact = lambda c: c.where(F.col("confidence") >= cfg.auto_assign_min)
+    sure = lambda c: c.where(F.col("confidence") >= cfg.auto_assign_min)
+    named = lambda rows, label: rows.select("label_id", "user_id", label.alias("label"))
+    # What is alike is never sure (unless the thresholds say so), and only what is sure splits a text: so alike names are looked for
+    # at the end, for items and parts that stay.
+    alike = cfg.fuzzy_cap >= cfg.auto_assign_min
+
+    def known(labels: DataFrame) -> DataFrame:
+        return settled(best_candidates(resolve_labels(labels, aliases, cfg=cfg) if alike else best_few(exact_tiers(labels, aliases)[0], 5)))
+
+    def completed(rows: DataFrame, label: Column, found: DataFrame) -> DataFrame:
+        """rows with their best candidate, of which the exact ones are found."""
+        if not alike:
+            rest = settled(named(rows, label).join(found, "label_id", "left_anti").withColumn("normalized", text.normalize(F.col("label"))).where("normalized <> ''"))
+            if not rest.isEmpty():
+                found = found.unionByName(settled(best_candidates(fuzzy_candidates(rest, aliases, cfg=cfg))))
+        return rows.join(found, "label_id", "left")
+
     clean = texts.withColumn("text", text.squeeze_ends(F.coalesce("text", F.lit("")))).where("text <> ''")
-    whole = exact(best_candidates(resolve_labels(clean.select(F.col("text_id").alias("label_id"), "user_id", F.col("text").alias("label")), aliases, cfg=cfg)))
+    # Texts are short and their work long: dealt by rows, as a file's bytes would give them to few tasks.
+    clean = settled(clean.repartition(max(1, -(-texts.count() // TASK_TEXTS))))
+    whole = sure(known(named(clean.withColumn("label_id", F.col("text_id")), F.col("text"))))
     wholes = clean.join(whole.select(F.col("label_id").alias("text_id"), "food_id", "confidence", "method"), "text_id").select("text_id", "user_id", F.lit(0).alias("item_no"), F.lit(0).alias("part_no"), text.parsed_item(F.col("text")).alias("item"), "food_id", "confidence", "method")
     wholes = settled(wholes)
     rest = clean.join(wholes.select("text_id"), "text_id", "left_anti")
     items = rest.select("text_id", "user_id", F.posexplode(F.transform(text.split_items(F.col("text")), text.parsed_item)).alias("item_no", "item"))
     items = settled(items.withColumn("label_id", F.concat_ws(":", "text_id", "item_no")))
-    found = settled(best_candidates(resolve_labels(items.select("label_id", "user_id", F.col("item.label").alias("label")), aliases, cfg=cfg)))
-    sure = exact(found).select("label_id")
-    parts = items.join(sure, "label_id", "left_anti").select("text_id", "user_id", "item_no", F.col("label_id").alias("item_id"), F.posexplode(text.split_on_connector(F.col("item.label"))).alias("part_no", "part"))
+    found = known(named(items, F.col("item.label")))
+    parts = items.join(sure(found).select("label_id"), "label_id", "left_anti").select("text_id", "user_id", "item_no", F.col("label_id").alias("item_id"), F.posexplode(text.split_on_connector(F.col("item.label"))).alias("part_no", "part"))
     parts = settled(parts.withColumn("label_id", F.concat_ws(":", "item_id", "part_no")))
-    part_found = best_candidates(resolve_labels(parts.select("label_id", "user_id", F.col("part").alias("label")), aliases, cfg=cfg))
-    told = settled(parts.join(part_found, "label_id", "left"))
-    counts = told.groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") >= cfg.auto_assign_min).alias("hits"))
-    split = counts.where((F.col("hits") >= 2) | ((F.col("hits") == 1) & (F.col("n") == 2))).select("item_id")
-    split_rows = told.join(split, "item_id").select("text_id", "user_id", "item_no", "part_no", text.parsed_item(F.col("part")).alias("item"), "food_id", "confidence", "method")
-    kept = items.join(split.withColumnRenamed("item_id", "label_id"), "label_id", "left_anti").join(found, "label_id", "left")
+    part_found = known(named(parts, F.col("part")))
+    counts = parts.join(part_found, "label_id", "left").groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") >= cfg.auto_assign_min).alias("hits"))
+    split = settled(counts.where((F.col("hits") >= 2) | ((F.col("hits") == 1) & (F.col("n") == 2))).select("item_id"))
+    split_rows = completed(parts.join(split, "item_id", "left_semi"), F.col("part"), part_found).select("text_id", "user_id", "item_no", "part_no", text.parsed_item(F.col("part")).alias("item"), "food_id", "confidence", "method")
+    kept = completed(items.join(split.withColumnRenamed("item_id", "label_id"), "label_id", "left_anti"), F.col("item.label"), found)
     item_rows = kept.select("text_id", "user_id", "item_no", F.lit(0).alias("part_no"), "item", "food_id", "confidence", "method")
     return wholes.unionByName(item_rows).unionByName(split_rows)
 
