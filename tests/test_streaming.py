@@ -115,3 +115,10 @@ def test_a_vendor_s_stream_restarts_without_reading_twice(spark, tmp_path):
     assert len(slices) > 5 and all(a.upto == b.after for a, b in zip(slices, slices[1:], strict=False))
     late = vendor.VendorReader(vendor.ParquetAdapter(folder, vendor.Capabilities("x", 5, max_history_days=1), adapter.columns), 600)
     assert late.initialOffset()["us"] == (70 - 24) * 3_600_000_000
+
+
+def test_state_travels_with_the_rows(spark, tmp_path):
+    df = spark.createDataFrame([("u", "s", 1)], "user_id string, serial string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    df.write.parquet(str(tmp_path / "in"))
+    updates = sessions.session_updates(sessions.keyed_session(spark).readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    assert "FlatMapGroupsInPandasWithState" in updates._jdf.queryExecution().logical().toString()  # no call to the state for each session
