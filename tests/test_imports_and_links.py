@@ -69,6 +69,18 @@ def test_synthetic_sensors_are_read_back(spark, tmp_path):
     assert listed == sorted(listed, key=lambda x: [y[0] for y in listed].index(x[0])) or len(listed) == 2688
 
 
+def test_written_sensor_files_follow_the_rows(spark, tmp_path, monkeypatch):
+    """Users don't make files: a file has many sensors, and any number of files gives the same."""
+    folders = iter([f"file://{tmp_path}/one", f"file://{tmp_path}/many"])
+    monkeypatch.setattr(link_queries, "settled_path", lambda *_: next(folders))
+    rows = lambda: sorted(map(tuple, catalogue.queries()["sensor_files"](spark, SF).collect()))
+    first = rows()
+    users, n = spark.read.parquet(f"{SF}/events.parquet").agg(F.count_distinct("user_id"), F.count("*")).first()
+    assert len(first) == users and len(list(tmp_path.glob("one/*/*/*.txt"))) == 2 < users
+    monkeypatch.setattr(link_queries, "FILE_ROWS", n // 4)
+    assert rows() == first and 2 < len(list(tmp_path.glob("many/*/*/*.txt"))) <= 10
+
+
 def test_local_times(spark):
     walls = ["2026-03-08 01:59", "2026-03-08 02:30", "2026-11-01 01:30", "2026-11-01 02:00", "2026-11-01 00:59", None]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(walls)], "i int, w string").withColumn("wall", F.to_timestamp_ntz("w", F.lit("yyyy-MM-dd HH:mm")))

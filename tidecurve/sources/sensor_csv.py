@@ -216,7 +216,12 @@ def date_orders(stamps: DataFrame, hint: str | None = None) -> DataFrame:
     """path, date_order (null if it can't be told), how: of the raw time stamps (path, raw) of each file.
 
     Years first or parts over 12 decide; both over 12 is a mixed file; else the order in which the series is denser by 0.15, else the hint."""
-    parts = stamps.select("path", date_parts(F.col("raw")).alias("p")).where("p is not null")
+    return _orders(stamps.select("path", date_parts(F.col("raw")).alias("p")), hint)
+
+
+def _orders(parts: DataFrame, hint: str | None) -> DataFrame:
+    """date_orders() of date parts (path, p)."""
+    parts = parts.where("p is not null")
     firm = parts.groupBy("path").agg(F.max("p.g1").alias("a"), F.max("p.g2").alias("b"))
     both = parts.select("path", "p", F.explode(F.array(F.lit("DMY"), F.lit("MDY"))).alias("ord")).withColumn("t", assembled(F.col("p"), F.col("ord")).cast("timestamp"))
     # Only gaps of up to an hour are looked at, so windows by day, with the last hour of the day before, see them all.
@@ -244,11 +249,13 @@ def parse(spark: SparkSession, path: str, zone: str, hint: str | None = None, us
     """(readings, food_log, files) of all files under a path; wall clocks are in the zone. user: whose a file is, as a column of its
     path; a session is a user's sensor, so that files without a serial are one session of each user. Without it all are one user's."""
     cells, known = read_cells(spark, path)
-    heads = headers(cells)
+    heads = settled(headers(cells))
     at = lambda c: F.get("cells", F.col(f"c_{c}"))
-    body = cells.join(heads, "path").where((F.col("block") > 0) | (F.col("row_no") > F.col("header_no"))).withColumn("raw", at("timestamp"))
-    orders = date_orders(body.select("path", "raw"), hint)
-    timed = body.join(orders, "path").withColumn("wall", assembled(date_parts(F.col("raw")), F.col("date_order"))).where("wall is not null")
+    body = cells.join(broadcast_small(heads)[0].drop("names"), "path").where((F.col("block") > 0) | (F.col("row_no") > F.col("header_no")))
+    # Written: a plan would put the patterns of date_parts() in place of each use of a part.
+    body = settled(body.withColumn("p", date_parts(at("timestamp"))))
+    orders = settled(_orders(body.select("path", "p"), hint))
+    timed = body.join(broadcast_small(orders)[0], "path").withColumn("wall", assembled(F.col("p"), F.col("date_order"))).where("wall is not null")
     timed = timed.withColumn("ts", to_utc(F.col("wall"), zone)).withColumn("tz_offset_min", ((F.unix_micros(F.col("wall").cast("timestamp")) - F.unix_micros("ts")) / 6e7).cast("short"))
     serial = F.coalesce(F.nullif(F.trim(at("serial")), F.lit("")), F.lit("unknown"))
     device = F.nullif(F.trim(at("device")), F.lit(""))
