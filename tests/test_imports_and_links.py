@@ -81,6 +81,18 @@ def test_written_sensor_files_follow_the_rows(spark, tmp_path, monkeypatch):
     assert rows() == first and 2 < len(list(tmp_path.glob("many/*/*/*.txt"))) <= 10
 
 
+def test_items_of_a_task_are_bounded(spark, monkeypatch):
+    """However few bytes are shuffled, items are dealt by rows; what is linked stays the same."""
+    monkeypatch.setattr(catalog, "TASK_ITEMS", 100)
+    item = F.struct(F.concat(F.lit("food "), "id").alias("raw"), F.lit(None).cast("double").alias("quantity_value"), F.lit(None).cast("string").alias("quantity_unit"), F.lit(None).cast("string").alias("preparation"))
+    resolved = spark.range(2000).select(F.expr("id div 2").alias("text_id"), F.lit("ana").alias("user_id"), F.col("id").cast("int").alias("item_no"), F.lit(0).alias("part_no"), item.alias("item"), F.col("id").alias("food_id"), F.lit(0.97).alias("confidence"), F.lit("exact_alias").alias("method"))
+    existing = spark.range(0, 1000, 10).select(F.col("id").alias("meal_id"), (F.col("id") % 20 == 0).alias("user_corrected"))
+    linked = catalog.link_items(resolved, existing, rebuild=True)
+    assert linked.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 300
+    assert sorted(r["item_no"] for r in linked.collect()) == [i for i in range(2000) if i // 2 % 20]
+    assert catalog.link_items(resolved, existing).count() == 1800 and catalog.link_items(resolved).count() == 2000
+
+
 def test_local_times(spark):
     walls = ["2026-03-08 01:59", "2026-03-08 02:30", "2026-11-01 01:30", "2026-11-01 02:00", "2026-11-01 00:59", None]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(walls)], "i int, w string").withColumn("wall", F.to_timestamp_ntz("w", F.lit("yyyy-MM-dd HH:mm")))

@@ -13,8 +13,8 @@ from tidecurve.config import DEFAULT, Thresholds
 from tidecurve.functions import text
 from tidecurve.operators.tables import settled
 
-#: Texts of a task.
-TASK_TEXTS = 10_000
+#: Texts of a task; items of a task that stored meals are looked up for.
+TASK_TEXTS, TASK_ITEMS = 10_000, 250_000
 
 
 def exact_candidates(labels: DataFrame, aliases: DataFrame, on: str) -> DataFrame:
@@ -132,6 +132,8 @@ def link_items(resolved: DataFrame, existing: DataFrame | None = None, rebuild:
     skipped (unless rebuild), meals with an item that a user corrected always."""
     rows = resolved.withColumnRenamed("text_id", "meal_id")
     if existing is not None:
+        # Dealt by rows: shuffled bytes tell little of what a task's items take when they are sorted and counted.
+        rows = rows.repartition(max(1, -(-resolved.count() // TASK_ITEMS)), "meal_id")
         held = existing.groupBy("meal_id").agg(F.bool_or("user_corrected").alias("corrected"))
         rows = rows.join(held.where("corrected") if rebuild else held, "meal_id", "left_anti")
     sure = F.col("confidence") >= cfg.auto_assign_min
