@@ -60,11 +60,16 @@ def released(*tables: DataFrame) -> None:
             df.written_at = None
 
 
-def small(df: DataFrame) -> DataFrame:
-    """The frame, marked for broadcast if it takes BROADCAST_BYTES at most by its rows and columns; else any join of it
-    is Spark's choice. It should be a written table: it is counted."""
+def fits(df: DataFrame, times: int = 1) -> bool:
+    """Whether the frame takes BROADCAST_BYTES at most by its rows and columns, `times` over. It should be a written table: it is
+    counted."""
     width = ROW_BYTES + sum(WIDE_BYTES if f.dataType.typeName() in ("string", "binary", "array", "struct") else 8 for f in df.schema)
-    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+    return df.count() * width * times <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The frame, marked for broadcast if it fits; else any join of it is Spark's choice."""
+    return F.broadcast(df) if fits(df) else df
 
 
 def small_lists(df: DataFrame) -> DataFrame:

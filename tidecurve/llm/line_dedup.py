@@ -23,7 +23,8 @@ class, whatever their length; lines of ``min_chars`` code points or more join th
 5. Links give classes (connected components), classes give each occurrence its verdict. No link between classes is
    passed over; links within a class that a shorter path already joined aren't all listed.
 
-Tables of copies, classes and candidates are broadcast up to ``BROADCAST_BYTES`` and joined by a shuffle beyond.
+Tables of copies, classes and candidates, and the texts of lines that met, are broadcast up to ``BROADCAST_BYTES`` and joined by a
+shuffle beyond.
 
 Two edits turn a short line into another line altogether, so ``min_chars`` (16) is a parameter: on both ends of a link.
 
@@ -36,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecurve.llm.common import released, small, small_lists, written
+from tidecurve.llm.common import BROADCAST_BYTES, ROW_BYTES, WIDE_BYTES, fits, released, small, small_lists, written
 from tidecurve.llm.graph import components
 
 EDITS, MIN_CHARS = 2, 16
@@ -191,11 +192,18 @@ def sketches_fit(x: str, y: str, edits: int = EDITS) -> Column:
     return (apart("s") <= 4 * edits) & (apart("t") <= 4 * edits)
 
 
+def short_texts(texts: DataFrame) -> DataFrame:
+    """As small(), for lines: their bytes are counted."""
+    size = texts.agg(F.sum(F.octet_length("line").cast("long") + ROW_BYTES + WIDE_BYTES)).first()[0] or 0
+    return F.broadcast(texts) if size <= BROADCAST_BYTES else texts
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs a, b of line hashes the links a1, a2, b1, b2 (two hashes each). texts: h1, h2, line, length."""
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     if pairs.isEmpty():
         return pairs.select(F.col("a").alias("a1"), F.col("a").alias("a2"), F.col("b").alias("b1"), F.col("b").alias("b2"))
+    texts = short_texts(texts)
     left, right = (texts.select(F.col("h1").alias(x), F.col("h2").alias(f"{x}2"), F.col("length").alias(f"{x}n"), F.col("line").alias(f"{x}l")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").where(F.abs(F.col("an") - F.col("bn")) <= EDITS)
     swap = F.col("an") < F.col("bn")
@@ -246,7 +254,8 @@ def mixed_groups(rows: DataFrame, block: int) -> DataFrame:
 
 def dealt(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """Index rows and probes with the pair of blocks they meet in: a row is copied once for each block of the other side."""
-    placed = rows.join(mixed_groups(rows, block), "k").withColumn("at", F.xxhash64("id"))
+    groups = mixed_groups(rows, block)
+    placed = rows.join(F.broadcast(groups) if fits(rows) else groups, "k").withColumn("at", F.xxhash64("id"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     side = lambda x, i, j: (F.col("k").alias(f"{x}k"), i.alias(f"{x}i"), j.alias(f"{x}j"), F.col("id").alias(x), F.col("component").alias(f"{x}c"), F.col("s").alias(f"{x}s"), F.col("t").alias(f"{x}t"))
     own = placed.where("not asks").withColumn("of", each("asked")).select(*side("a", F.pmod("at", "own"), F.col("of")))
@@ -289,11 +298,12 @@ def near_lines(docs: DataFrame, counted: DataFrame, min_chars: int = MIN_CHARS)
     index, probes = own.join(small(hot), "k", "left_anti").withColumnRenamed("id", "a"), asked.withColumnRenamed("id", "b")
     # A task holds its share of the index: two numbers a row, HOT rows a key. Lines of one length meet in both directions.
     met = index.hint("shuffle_hash").join(probes, "k").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    met = written(met.distinct(), "met")
+    met = written(met, "met")  # a pair may be there once for each segment: pairs are told apart with the others, when few are left
     rows = own.join(small(hot), "k", "left_semi").select("k", "id", F.lit(False).alias("asks")).unionByName(asked.join(small(hot), "k", "left_semi").select("k", "id", F.lit(True).alias("asks")))
     rows = written(rows.distinct(), "hot_rows")
-    wanted = written(met.select(F.explode(F.array("a", "b")).alias("h1")).unionByName(rows.select(F.col("id").alias("h1"))).distinct(), "wanted")
-    texts = lines_of(docs).where(F.length("line") >= min_chars).join(small(wanted), "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    ends = met.select(F.explode(F.array("a", "b")).alias("h1"), F.lit(False).alias("hot")).unionByName(rows.select(F.col("id").alias("h1"), F.lit(True).alias("hot")))
+    wanted = written(ends.groupBy("h1").agg(F.max("hot").alias("hot")), "wanted")
+    texts = lines_of(docs).where(F.length("line") >= min_chars).join(small(wanted), "h1").groupBy("h1", "h2", "hot").agg(F.first("line").alias("line"))
     texts = written(texts.withColumn("length", F.length("line")), "lines")
     counts = written(texts.select("h1", letter_counts(F.col("line")).alias("letters")), "letters")
     x, y = (small(counts).select(F.col("h1").alias(c), F.col("letters").alias(f"{c}n")) for c in "ab")
@@ -301,8 +311,7 @@ def near_lines(docs: DataFrame, counted: DataFrame, min_chars: int = MIN_CHARS)
     released(keyed, copied, hot, wanted)
     if rows.isEmpty():
         return named(verified(pairs, texts))
-    inside = written(rows.select(F.col("id").alias("h1")).distinct(), "hot_lines")
-    lines = texts.join(small(inside), "h1", "left_semi").select(F.col("h1").alias("id"), name("h1", "h2").alias("node"), sketches(F.col("line")).alias("both"))
+    lines = texts.where("hot").select(F.col("h1").alias("id"), name("h1", "h2").alias("node"), sketches(F.col("line")).alias("both"))
     lines = written(lines.select("id", "node", "both.s", "both.t"), "sketches")
     rows = written(rows.join(lines, "id"), "hot_rows")
     links = verified(pairs.unionByName(star_pairs(rows)), texts)
@@ -322,7 +331,7 @@ def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", min_char
     known = counted.withColumn("node", name("h1", "h2")).join(small(near), "node", "left").where("n > 1 or component is not null")
     known = written(known.withColumn("class", F.coalesce("component", "node")).select("h1", "h2", "first", "class"), "known")
     firsts = known.groupBy("class").agg(F.min("first").alias("first"), F.count("*").alias("size"))
-    table = written(known.drop("first").join(firsts, "class"), "classes")
+    table = written(known.drop("first").join(F.broadcast(firsts) if fits(known) else firsts, "class"), "classes")
     found = lines_of(docs).join(small(table), ["h1", "h2"]).select("key", "version", "pos", "class", "size", "first")
     place = F.dense_rank().over(Window.partitionBy("key", "class").orderBy("version", "pos"))
     return found.withColumn("place", place).select("key", "version", "pos", "class", "size", (~(F.col("key").eqNullSafe(F.col("first")) & (F.col("place") == 1))).alias("dropped"))
@@ -331,10 +340,12 @@ def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", min_char
 def by_document(told: DataFrame) -> DataFrame:
     """key, version, dropped (sorted line numbers), near (lines whose class holds other texts), classes (theirs and those of
     dropped lines, sorted) of the documents that decisions() names."""
-    once = told.groupBy("key", "version", "pos").agg(F.max("dropped").alias("dropped"), F.max("size").alias("size"), F.max("class").alias("class"))
-    found = once.groupBy("key", "version").agg(
-        F.sort_array(F.collect_list(F.when(F.col("dropped"), F.col("pos")))).alias("dropped"), F.sum((F.col("size") > 1).cast("long")).alias("near"),
-        F.sort_array(F.collect_list(F.struct("pos", "class"))).alias("classes"),
+    # Rows that repeat a text have equal lines: a set holds each once.
+    lines = F.sort_array(F.collect_set(F.struct("pos", "class", "dropped", "size"))).alias("lines")
+    found = told.groupBy("key", "version").agg(lines)
+    found = found.select(
+        "key", "version", F.transform(F.filter("lines", lambda x: x["dropped"]), lambda x: x["pos"]).alias("dropped"),
+        F.size(F.filter("lines", lambda x: x["size"] > 1)).cast("long").alias("near"), F.col("lines").alias("classes"),
     )
     return found.withColumn("classes", F.transform("classes", lambda c: F.concat_ws(":", c["pos"].cast("string"), c["class"])))
 
